@@ -137,7 +137,6 @@ def _neighbours(agree: int, edges: bool):
                 head = own.slice(0, REACH - seen) if head is None else pa.concat_tables([head, own.slice(0, REACH - seen)])
             seen += len(own)
             rows = own if kept is None else pa.concat_tables([kept, own])
-            old = 0 if kept is None else len(kept)
             tree, nodes = rows["tree"].to_numpy(), rows["node"].to_numpy()
             keys = np.frombuffer(b"".join(rows["key"].to_pylist()), np.uint8).reshape(len(rows), 4 * DEPTH)
             short = np.frombuffer(b"".join(rows["short"].to_pylist()), np.uint8).reshape(len(rows), TREES * DEPTH)
@@ -146,7 +145,6 @@ def _neighbours(agree: int, edges: bool):
                 m = len(got[0])
                 yield pa.record_batch([pa.array(got[0]), pa.array(got[1]), pa.array(got[2].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], ["a", "b", "equal", "tree", "key", "short"])
             kept = tail = rows.slice(max(0, len(rows) - REACH))
-            del old
         if edges and seen:
             both = pa.concat_tables([head, tail]).combine_chunks()
             m = len(both)
@@ -256,16 +254,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "equal").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "equal"))
     best = both.groupBy("u").agg(F.max_by("v", F.struct("equal", -F.col("v"))).alias("v"))
     links = S.cut(confirmed(best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), sets, percent))
-    while True:
-        roots = components(links)
-        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        more = S.cut(confirmed(apart, sets, percent))
-        links = links.unionByName(more)
-        if more.isEmpty():
-            break
-        roots = components(links)
-        break
+    roots = components(links)
+    # then every other candidate between classes that these links leave apart
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    more = S.cut(confirmed(apart, sets, percent))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     labelled = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing, near_duplicates, secrets, sharding
 
-QUERIES = {f.__name__: f for f in (decontaminate.op2_decontaminate,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        decontaminate.op2_decontaminate,
+        sharding.op5_sharding,
+        near_duplicates.op6_near_duplicates,
+        secrets.op7_secrets,
+        mixing.op8_mixing,
+    )
+}
+ORACLES: dict[str, str] = {**sharding.ORACLES, **secrets.ORACLES, **mixing.ORACLES}
