@@ -20,6 +20,6 @@ QUERIES = {"link_inventory": link_inventory}
 ORACLES = {
     "link_inventory": r"""
         SELECT page_id, len(regexp_extract_all(html, '<a\s([^>]*)>(.*?)</a>', 0, 'is'))::BIGINT AS n_links,
-               len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '<a\s([^>]*)>(.*?)</a>', 1, 'is'), a -> regexp_extract(a, '\bhref="([^"]*)"', 1, 'i')), h -> h <> '')))::BIGINT AS n_targets
+               len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '<a\s([^>]*)>(.*?)</a>', 1, 'is'), lambda a: regexp_extract(a, '\bhref="([^"]*)"', 1, 'i')), lambda h: h <> '')))::BIGINT AS n_targets
         FROM pages""",
 }
