@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_duplicates, secrets, sharding
+from . import class_lm, decontaminate, language, mixing, near_duplicates, neighbours, secrets, sharding, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
         decontaminate.op2_decontaminate,
+        neighbours.op3_neighbours,
+        language.op4_language,
         sharding.op5_sharding,
         near_duplicates.op6_near_duplicates,
         secrets.op7_secrets,
         mixing.op8_mixing,
+        token_files.op9_token_files,
+        class_lm.op10_class_lm,
     )
 }
 ORACLES: dict[str, str] = {**sharding.ORACLES, **secrets.ORACLES, **mixing.ORACLES}
