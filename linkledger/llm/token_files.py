@@ -54,9 +54,10 @@ def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     characters; characters next to it that might be Unicode spaces rule a place out.
     """
     n = len(buf)
-    starts = np.unique(off[:-1][off[:-1] < off[1:]])
+    place = np.zeros(n + 1, bool)
+    place[off] = True  # first characters of texts, and last, have no neighbour in their text
     if n < 3:
-        return starts
+        return np.flatnonzero(place[:-1])
     white = buf <= 0x20
     lead = np.zeros(256, bool)
     lead[[0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -65,10 +66,9 @@ def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     third[2:] = lead[buf[:-4]] & (buf[:-4] != 0xC2)
     alone = before & ~third & ~white[2:] & ~lead[buf[2:]]
     at = np.flatnonzero(alone & ((buf[1:-1] == 0x20) | (buf[1:-1] == 0x0A))) + 1
-    edge = np.zeros(n + 1, bool)  # first characters of texts, or last, have no neighbour in their text
-    edge[off] = True
-    at = at[~edge[at] & ~edge[at + 1]]
-    return np.unique(np.concatenate([starts, at, at[buf[at] == 0x0A] + 1]))
+    at = at[~place[at] & ~place[at + 1]]
+    place[at] = place[at[buf[at] == 0x0A] + 1] = True
+    return np.flatnonzero(place[:-1])
 
 
 class Encoder:
@@ -162,7 +162,7 @@ def id_arrays(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[li
     for batch in batches:
         buf, off = B.text_bytes(batch.column(1))
         doc_ids = batch.column(0).to_pylist()
-        for lo, hi in B.slabs(off, 4 << 20):
+        for lo, hi in B.slabs(off, 2 << 20):
             ids, n = encoder(path).encode(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             yield doc_ids[lo:hi], np.insert(ids, np.cumsum(n), END), n + 1
 
