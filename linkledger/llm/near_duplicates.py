@@ -29,14 +29,13 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from . import _spark as S
 from .graph import components
+from .sketch import in_sketch, sketch_of
 
 #: Trees of the forest, MinHash values in each key, and values that neighbours must share.
 TREES, DEPTH, LEAST = 12, 8, 3
 #: How many following rows of the order each row is compared with.
 REACH = 4
 WORDS = B.Words(B.SPACES, seed=6)
-#: Bits of the sketch that spares most documents from having their sets sent: 4 MB.
-SKETCH_BITS = 1 << 25
 FEATURES = "struct<n:long,node:long,check:long,signature:binary>"
 
 
@@ -173,9 +172,7 @@ def _sets(shingle: int, sketch):
     """The sets, six bytes of each hash, of the rows that the sketch has; null for others."""
 
     def sets(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        slot = (B.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(B.U64)) % B.U64(SKETCH_BITS)).astype(np.int64)
-        bits = np.frombuffer(sketch.value, np.uint8)
-        wanted = (bits[slot >> 3] >> (slot & 7)) & 1 == 1
+        wanted = in_sketch(sketch, ids)
         rows = np.flatnonzero(wanted)
         n, node, packed = [None] * len(ids), [None] * len(ids), [None] * len(ids)
         for k, one in zip(rows.tolist(), shingle_sets(texts.take(pa.array(rows)), shingle), strict=True):
@@ -224,22 +221,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", _confirm(percent)("pa", "na", "pb", "nb").alias("ok")).where("ok").select("a", "b")
 
 
-def sketch_of(ids: DataFrame, column: str):
-    """A bit for each id, as a broadcast of SKETCH_BITS bits whatever their number; ids that share bits only cost work."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = B.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(B.U64)) % B.U64(SKETCH_BITS)
-            yield pa.record_batch([pa.array(np.unique(slot).astype(np.int64))], ["slot"])
-
-    slots = ids.select(F.col(column).cast("long")).mapInArrow(bits, "slot long")
-    maps = slots.groupBy((F.col("slot") / 32768).cast("long").alias("page")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
-    out = bytearray(SKETCH_BITS // 8)
-    for row in maps.toLocalIterator():
-        out[row["page"] * 4096 : row["page"] * 4096 + 4096] = row["bits"]
-    return ids.sparkSession.sparkContext.broadcast(bytes(out))
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept (doc_id is the component's smallest)."""
     made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _features(shingle)(F.col(text)).alias("f"))

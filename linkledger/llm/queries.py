@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontaminate, language, mixing, near_duplicates, neighbours, secrets, sharding, token_files
+from . import class_lm, decontaminate, language, mixing, near_duplicates, neighbours, repeats, secrets, sharding, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
+        repeats.op1_repeats,
         decontaminate.op2_decontaminate,
         neighbours.op3_neighbours,
         language.op4_language,

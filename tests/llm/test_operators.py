@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from linkledger.llm import class_lm, decontaminate, language, mixing, near_duplicates, neighbours, secrets, sharding, token_files
+from linkledger.llm import class_lm, decontaminate, language, mixing, near_duplicates, neighbours, repeats, secrets, sharding, token_files
 
 from . import brute
 
@@ -42,6 +42,37 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
 
 
+def awkward():
+    random.seed(11)
+    words = lambda n: " ".join("".join(random.choices("abcdeé", k=random.randrange(2, 9))) for _ in range(n))
+    shared, other, near = words(80), words(60), words(300).split()
+    texts = ["x" * 199, "x" * 200, "y" * 201, "y" * 500, "ab" * 150, shared, words(30) + shared + words(9), shared[3:230] + words(20), other + words(40) + other, words(500), None, "", "", "é" * 100, "é" * 100, shared[:199] + "!", "q" + other[:200] + "r"]
+    for _ in range(12):
+        copy = list(near)
+        copy[random.randrange(len(copy))] = "EDIT"
+        texts.append(" ".join(copy[random.randrange(9) :]))
+    return [(k, t) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("table", ["odd", "small", "awkward"])
+def test_repeats(spark, request, table, monkeypatch):
+    docs = spark.createDataFrame(awkward(), "doc_id long, text string").repartition(4) if table == "awkward" else request.getfixturevalue(table)
+    want = brute.repeats(pairs(docs))
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = repeats.find_repeats(docs)
+    assert rows(got, *columns) == want
+    for r in got.collect():
+        assert sum(b - a for a, b in zip(r["starts"], r["ends"], strict=True)) == r["n_removed"]
+
+
+def test_repeats_of_an_empty_table(odd):
+    assert repeats.find_repeats(odd.where("false")).collect() == []
+
+
+def test_cover():
+    assert {(a - b) % repeats.MODULUS for a in repeats.COVER.tolist() for b in repeats.COVER.tolist()} == set(range(repeats.MODULUS))
+
+
 @pytest.mark.parametrize("table", ["odd", "small"])
 def test_contamination(spark, request, table):
     docs = request.getfixturevalue(table)
