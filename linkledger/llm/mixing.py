@@ -80,10 +80,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows with the same doc_id must have the same source and text, as they have after
     near-duplicates are dropped.
     """
-    wanted = mix(docs, doc_id, text, source).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("_copies"))
-    wanted = wanted.where("_copies > 0").withColumnRenamed("doc_id", "_doc_id")
-    copies = docs.join(wanted, F.col(doc_id).eqNullSafe(F.col("_doc_id")))
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    own, copies, nth = (S.free_name(docs, n) for n in ("_own", "_copies", "_nth"))
+    taken = mix(docs, doc_id, text, source).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias(copies))
+    wanted = taken.where(F.col(copies) > 0).withColumnRenamed("doc_id", own)
+    repeated = docs.join(wanted, F.col(doc_id).eqNullSafe(F.col(own))).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return repeated.drop(own, copies, nth)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -251,8 +251,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of rows with the kept doc_id, all stay."""
-    drop = near_duplicates(docs, doc_id, text, shingle, percent).where("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col(doc_id).cast("long") == F.col("_drop"), "left_anti")
+    own = S.free_name(docs, "_drop")
+    drop = near_duplicates(docs, doc_id, text, shingle, percent).where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(drop, F.col(doc_id).cast("long") == F.col(own), "left_anti")
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:

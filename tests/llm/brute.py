@@ -106,3 +106,12 @@ def tokens(docs, path):
         out.append((i, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         at += len(ids)
     return out
+
+
+def pipeline(rows, items, known):
+    """Rows (doc_id, text, lang, source, n_chars) that stay before the mix; known: ids with a language."""
+    rows = [r for r in rows if r[0] in known]
+    kept = {r[0] for r in near([(r[0], r[1]) for r in rows], 5) if r[3]}
+    rows = [r for r in rows if r[0] in kept]
+    dirty = {r[0] for r in contamination([(r[0], r[1]) for r in rows], items) if r[5]}
+    return sorted(r for r in rows if r[0] not in dirty)
