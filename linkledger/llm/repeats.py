@@ -401,11 +401,10 @@ def repeats_of(texts: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(own), pa.array(n.astype(np.int64))], ["least", "n"])
 
     pieces = S.cut(cells.select("least").mapInArrow(runs, "least long, n long").groupBy("least").agg(F.sum("n").alias("n")))
-    totals = pieces.agg(F.sum("n").alias("n")).join(cells.agg(F.sum("n_starts").alias("starts"))).first()
-    least = max(1000, (totals["n"] or 0) // 1000)
+    n_pieces, n_starts = (pieces.agg(F.sum("n")).first()[0] or 0), (cells.agg(F.sum("n_starts")).first()[0] or 0)
+    least = max(1000, n_pieces // 1000)
     hot = spark.sparkContext.broadcast(np.array([r["least"] for r in pieces.where(F.col("n") > least).select("least").collect()], np.int64).view(B.U64))  # a thousand at most
-    size = (totals["starts"] or 0) + LENGTH * (totals["n"] or 0)
-    buckets = max(64, -(-size // BUCKET))
+    buckets = max(64, -(-(n_starts + LENGTH * n_pieces) // BUCKET))
     asked = cells.select("cell", "text", "starts", "lengths", "least").mapInArrow(_pieces(hot, buckets), PIECES)
     answers = asked.groupBy("bucket").applyInArrow(_answers, "cell long, bucket int, named boolean, bits binary")
     answers = answers.groupBy("cell").agg(F.collect_list(F.struct("bucket", "named", "bits")).alias("answers"))
