@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import links
+from .operators import changes, links, migration, names, redaction, reports, rules, similarity, trees, visits
 
-QUERIES = {**links.QUERIES}
-ORACLES = {**links.ORACLES}
+_MODULES = (links, names, changes, visits, rules, reports, migration, similarity, redaction, trees)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
