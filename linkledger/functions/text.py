@@ -235,10 +235,29 @@ def path_under(base: Column, path: Column) -> Column:
     return F.when(path.rlike(r"^(/|\\|[A-Za-z]:[\\/])"), path).otherwise(F.concat_ws("/", F.regexp_replace(base, "/+$", ""), path))
 
 
-def since(seconds: Column) -> Column:
-    """A time span in words, in its largest unit."""
-    def unit(n: Column, name: str) -> Column:
-        return F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
-
-    whole = lambda n: F.floor(seconds / n).cast("long")
-    return F.when(seconds < 60, "just now").when(seconds < 3600, unit(whole(60), "minute")).when(seconds < 86400, unit(whole(3600), "hour")).otherwise(unit(whole(86400), "day"))
+def since(moment: Column, now: Column) -> Column:
+    """How long ago a moment was, in words; from a week on, its date."""
+    seconds = F.timestamp_diff("SECOND", moment, now)
+    n = lambda unit: F.floor(seconds / unit).cast("string")
+    return (
+        F.when(seconds < 120, "just now")
+        .when(seconds < 3600, F.concat(n(60), F.lit(" minutes ago")))
+        .when(seconds < 7200, "1 hour ago")
+        .when(seconds < 86400, F.concat(n(3600), F.lit(" hours ago")))
+        .when(seconds < 2 * 86400, "yesterday")
+        .when(seconds < 7 * 86400, F.concat(n(86400), F.lit(" days ago")))
+        .otherwise(F.date_format(moment, "d MMM yyyy"))
+    )
+
+
+def remaining(seconds: Column) -> Column:
+    """A time that is left, in words and rounded down; an empty text when it is over."""
+    n = lambda unit: F.floor(seconds / unit).cast("string")
+    return (
+        F.when(seconds <= 0, "")
+        .when(seconds < 120, "under a minute")
+        .when(seconds < 3600, F.concat(n(60), F.lit(" minutes")))
+        .when(seconds < 7200, "1 hour")
+        .when(seconds < 48 * 3600, F.concat(n(3600), F.lit(" hours")))
+        .otherwise(F.concat(n(86400), F.lit(" days")))
+    )

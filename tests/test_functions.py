@@ -60,7 +60,10 @@ CASES = [
     (T.folder_key, ("C:\\Users\\Me\\A//b/./",), "c:/users/me/a/b"),
     (T.is_mojibake, ("GrÃ¶Ãe",), True),
     (T.is_mojibake, ("Größe",), False),
-    (T.since, (7300,), "2 hours ago"),
+    (lambda a, b: T.since(a.cast("timestamp"), b.cast("timestamp")), ("2024-01-01 00:00:00", "2024-01-01 02:01:00"), "2 hours ago"),
+    (lambda a, b: T.since(a.cast("timestamp"), b.cast("timestamp")), ("2024-01-01 00:00:00", "2024-01-09 00:00:00"), "1 Jan 2024"),
+    (T.remaining, (90,), "under a minute"),
+    (T.remaining, (47 * 3600,), "47 hours"),
     (U.resolve, ("https://h.org/a/b?x=1", "../c.pdf"), "https://h.org/c.pdf"),
     (U.resolve, ("https://h.org/a/b", "//k.org/z"), "https://k.org/z"),
     (U.resolve, ("https://h.org/a/b", "/z?q=1#f"), "https://h.org/z?q=1#f"),
