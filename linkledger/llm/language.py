@@ -129,12 +129,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from excerpts of about `sample` labelled documents of each language."""
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict[str, bytes]:
+    """What to learn each language from: excerpts of about `sample` of its labelled documents, LEARNED bytes at most."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("doc_id is not null and text is not null and lang is not null")
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).toLocalIterator()}
     if not n:
-        return Model({})
+        return {}
     share = F.element_at(F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, min(1.0, sample / v)))), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - EXCERPT)) + 1
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < share * (1 << 30))
@@ -142,21 +142,34 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     texts: dict[str, list[bytes]] = {}
     for r in excerpts.orderBy("lang", F.xxhash64("doc_id", F.lit("order"))).toLocalIterator():
         texts.setdefault(r["lang"], []).append(r["text"].encode())
-    return Model({k: b" ".join(v)[:LEARNED] for k, v in texts.items() if any(v)})
+    return {k: b" ".join(v)[:LEARNED] for k, v in texts.items() if any(v)}
 
 
-def identify(docs: DataFrame, model: Model, result: str, text: str = "text") -> DataFrame:
-    """docs with `result`: struct<lang, score>."""
-    if not model.languages:
+_MODELS: dict[tuple, Model] = {}
+
+
+def model_of(texts: dict[str, bytes]) -> Model:
+    """The automata of the texts, built once by each worker; they take some hundred times the room of the texts."""
+    key = tuple(sorted(texts.items()))
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(texts)
+    return _MODELS[key]
+
+
+def identify(docs: DataFrame, learned: dict[str, bytes], result: str, text: str = "text") -> DataFrame:
+    """docs with `result`: struct<lang, score>, by what learn() gave."""
+    if not learned:
         return docs.withColumn(result, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score")))
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    known = docs.sparkSession.sparkContext.broadcast(learned)
 
     def predict(texts: pa.Array) -> pa.Array:
+        model = model_of(known.value)
         buf, off = B.text_bytes(texts)
         langs, scores = [], []
         for lo, hi in B.slabs(off):
-            best, score = known.value.predict(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            langs += [known.value.languages[k] for k in best.tolist()]
+            best, score = model.predict(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            langs += [model.languages[k] for k in best.tolist()]
             scores += score.tolist()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
@@ -172,12 +185,12 @@ def identify(docs: DataFrame, model: Model, result: str, text: str = "text") ->
 def known_documents(docs: DataFrame) -> DataFrame:
     """docs without those of unknown language; all their columns. Learns from all labelled rows of docs that aren't held out."""
     result = S.free_name(docs, "_language")
-    model = learn(docs.where(~held_out(F.col("doc_id"))))
-    return identify(docs, model, result).where(F.col(result)["lang"] != UNKNOWN).drop(result)
+    learned = learn(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, learned, result).where(F.col(result)["lang"] != UNKNOWN).drop(result)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the documents that aren't held out."""
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = learn(docs.where(~held_out(F.col("doc_id"))))
-    return identify(docs.select("doc_id", "text"), model, "found").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+    learned = learn(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text"), learned, "found").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
