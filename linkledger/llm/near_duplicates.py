@@ -12,7 +12,8 @@ each class, then every candidate between classes that these links leave apart.
 
 Defined cases: A-Z count as a-z; a text with fewer words than a shingle is one shingle;
 null, empty and wordless texts have no set and link with nothing; ties are broken by
-the smaller id; repeated rows are equal sets; other columns never enter. No group is
+the smaller id; repeated rows are equal sets; rows without an id link, and are kept
+where no row of their component has one; other columns never enter. No group is
 gathered in one task: classes are aggregated before the shuffle, trees are split by
 ranges that include the row's id, and pairs go only to neighbours.
 """
@@ -223,13 +224,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept (doc_id is the component's smallest)."""
-    made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _features(shingle)(F.col(text)).alias("f"))
-    rows = S.cut(made.select("doc_id", "f.n", "f.node", "f.check", "f.signature"))
-    classes = S.cut(rows.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature")))
+    named = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))  # rows without an id go by their text
+    made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), named.alias("named"), _features(shingle)(F.col(text)).alias("f"))
+    rows = S.cut(made.select("doc_id", "named", "f.n", "f.node", "f.check", "f.signature"))
+    classes = S.cut(rows.where("n > 0").groupBy("node", "check").agg(F.min("named").alias("named"), F.first("signature").alias("signature")))
     pairs = S.cut(candidates(classes, percent / 100))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sketch = sketch_of(classes.join(ends, "node", "left_semi"), "doc_id")
-    sets = docs.select(_sets(shingle, sketch)(F.col(doc_id).cast("long"), F.col(text)).alias("s")).where("s is not null").select("s.*")
+    sketch = sketch_of(classes.join(ends, "node", "left_semi"), "named")
+    sets = docs.select(_sets(shingle, sketch)(named, F.col(text)).alias("s")).where("s is not null").select("s.*")
     sets = S.cut(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed")))
     # the best candidate of each node first
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "equal").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "equal"))
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
