@@ -61,6 +61,11 @@ def active_alert(status: DataFrame, dismissed: Column) -> DataFrame:
     return latest.where(~F.col("outcome").isin("success", "skipped") & ~F.coalesce(F.col("timestamp") == dismissed, F.lit(False)))
 
 
+def succeeded_on(status: DataFrame, day: Column, zone: str) -> DataFrame:
+    """One row: whether a success was recorded on a calendar day of a zone."""
+    return status.agg(F.coalesce(F.bool_or((F.col("outcome") == "success") & (F.to_date(F.from_utc_timestamp("timestamp", zone)) == day)), F.lit(False)).alias("succeeded"))
+
+
 def visit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each section's line of the visit report."""
     return report_lines(V.visit_stats(spark, sf_dir)).select("course", "section_url", "line")
@@ -72,8 +77,26 @@ def log_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitting_lines(e, "user_id", "event_id", "props", 100, 600).select("user_id", "event_id")
 
 
-QUERIES = {"visit_report": visit_report, "log_budget": log_budget}
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "skipped").otherwise("partial")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("timestamp"), kind.alias("outcome"), F.col("event_id").alias("n"))
+
+
+def latest_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status that a person should see now, if any."""
+    return active_alert(_status(spark, sf_dir).where("n % 8 = 1"), F.lit(None).cast("timestamp")).select("n", "outcome")
+
+
+def success_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a run succeeded on a day."""
+    return succeeded_on(_status(spark, sf_dir), F.lit("2024-01-05").cast("date"), "UTC")
+
+
+QUERIES = {"latest_alert": latest_alert, "success_of_day": success_of_day, "visit_report": visit_report, "log_budget": log_budget}
+_STATUS = "SELECT ts, event_id AS n, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'skipped' ELSE 'partial' END AS outcome FROM events"
 ORACLES = {
+    "latest_alert": f"SELECT n, outcome FROM (SELECT * FROM ({_STATUS}) WHERE n % 8 = 1 ORDER BY ts DESC LIMIT 1) WHERE outcome NOT IN ('success', 'skipped')",
+    "success_of_day": f"SELECT coalesce(bool_or(outcome = 'success' AND ts::DATE = DATE '2024-01-05'), false) AS succeeded FROM ({_STATUS})",
     "visit_report": V.ORACLES["visit_stats"].replace("SELECT course, section_url, count(*)", ", stats AS (SELECT course, section_url, count(*)", 1)
     + """) SELECT course, section_url, rpad(course, 30, ' ') || ' ' || rpad(section_title, 35, ' ') || ' ' || lpad(visits::VARCHAR, 6, ' ') || ' ' || lpad(empty_visits::VARCHAR, 6, ' ') || '  '
         || CASE WHEN always_empty THEN 'empty on all ' || visits || ' visit(s)' || CASE WHEN had_children THEN ' (container - files live in subsections)' ELSE '' END WHEN empty_visits > 0 THEN 'empty on ' || empty_visits || ' of ' || visits || ' visit(s)' ELSE '' END AS line FROM stats""",

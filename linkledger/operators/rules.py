@@ -114,6 +114,22 @@ def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str) -> DataFram
     return names.join(best, name, "left")
 
 
+def problems(rules: DataFrame) -> DataFrame:
+    """(kind, pattern, problem) of rules (kind, pattern, value) that can't be used; kinds are course_folder, section_name, destination and course."""
+    blank = lambda c: T.strip(F.col(c)) == ""
+    bare = F.regexp_replace(T.strip(F.col("pattern")), r"(?i)/\{blatt\}$", "")
+    sheet = bare != T.strip(F.col("pattern"))
+    open_class = F.regexp_replace("pattern", r"\\.", "").rlike(r"\[[^\]]*$")
+    what = (
+        F.when(blank("pattern"), "empty pattern")
+        .when((F.col("kind") == "destination") & ~bare.rlike("^.+/[^/]+$"), "not in the form course/section")
+        .when((F.col("kind") != "course") & blank("value"), "empty value")
+        .when((F.col("kind") == "destination") & F.lower("value").contains(T.SHEET_PLACEHOLDER) & ~sheet, "placeholder without sheet rule")
+        .when(F.col("kind").isin("course", "course_folder") & open_class, "bad pattern")
+    )
+    return rules.select("kind", "pattern", what.alias("problem")).where("problem is not null")
+
+
 def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """The first row of each key, and the rows that collide with it."""
     ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
@@ -151,8 +167,18 @@ def longest_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_prefix(names, owners.withColumn("value", F.concat(F.lit("owner of "), F.col("prefix"))), "path")
 
 
-QUERIES = {"rule_match": rule_match, "rule_precedence": rule_precedence, "key_collisions": key_collisions, "longest_prefix": longest_prefix_match}
+RULES = [("course_folder", " ", "x"), ("course_folder", "a*", " "), ("course_folder", "[ab", "x"), ("course", "*", ""), ("course", "", ""), ("destination", "a", "x"), ("destination", "a/b", "x/{blatt}"), ("destination", "a/b/{Blatt}", "x/{BLATT}"), ("section_name", "s", "t"), ("section_name", "s", "")]
+
+
+def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a few rules."""
+    return problems(spark.createDataFrame(RULES, "kind string, pattern string, value string"))
+
+
+QUERIES = {"rule_problems": rule_problems, "rule_match": rule_match, "rule_precedence": rule_precedence, "key_collisions": key_collisions, "longest_prefix": longest_prefix_match}
 ORACLES = {
+    "rule_problems": """SELECT unnest(['course_folder', 'course_folder', 'course_folder', 'course', 'destination', 'destination', 'section_name']) AS kind, unnest([' ', 'a*', '[ab', '', 'a', 'a/b', 's']) AS pattern,
+        unnest(['empty pattern', 'empty value', 'bad pattern', 'empty pattern', 'not in the form course/section', 'placeholder without sheet rule', 'empty value']) AS problem""",
     "rule_match": """SELECT p_partkey, p_type, CASE WHEN regexp_full_match(lower(p_type), '.*brass') THEN 'metal/brass' WHEN regexp_full_match(lower(p_type), 'polished.*') THEN 'finish/polished'
         WHEN contains(lower(p_type), 'steel') THEN 'metal/steel' WHEN regexp_full_match(lower(p_type), '.mall.*') THEN 'size/small' WHEN contains(lower(p_type), 'e') THEN 'other/e' END AS folder FROM part""",
     "rule_precedence": """SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') AND contains(lower(p_type), 's') AND p_partkey % 3 = 0 THEN 'sheets/Blatt' || lpad((p_partkey % 40)::VARCHAR, 2, '0')

@@ -83,7 +83,10 @@ def suggest(courses: DataFrame, folders: DataFrame, taken: DataFrame) -> DataFra
     if wanted.count() > 10_000:
         raise ValueError("suggest is for the courses of one person")
     free = folders.withColumn("folder_key", T.folder_key(F.col("path"))).join(taken.select(T.folder_key(F.col("path")).alias("folder_key")).distinct(), "folder_key", "left_anti")
-    scored = free.join(F.broadcast(wanted)).withColumn("score", score(F.col("course"), F.col("match_name"))).where(F.col("score") >= LEAST)
+    # whatever scores LEAST or more has a segment and a token with the same first character
+    firsts = lambda words: F.explode(F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(1)))))
+    pairs = free.withColumn("_first", firsts(T.words(F.col("match_name")))).join(F.broadcast(wanted.withColumn("_first", firsts(T.course_tokens(F.col("course"))))), "_first").drop("_first").dropDuplicates(["path", "course"])
+    scored = pairs.withColumn("score", score(F.col("course"), F.col("match_name"))).where(F.col("score") >= LEAST)
     course = Window.partitionBy("course")
     band = scored.withColumn("best", F.max("score").over(course)).withColumn("near", F.col("best") - F.col("score") <= BAND)
     leaf = F.col("near") & F.col("downloads_leaf")
