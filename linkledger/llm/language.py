@@ -28,7 +28,7 @@ from . import _bytes as B
 from . import _spark as S
 
 #: Documents of each language to learn from, about; characters of each, from a place that a hash chooses; bytes of each language.
-SAMPLE, EXCERPT, LEARNED = 200, 2000, 64 << 10
+SAMPLE, EXCERPT, LEARNED = 200, 2000, 32 << 10
 SEGMENT = 256
 SYMBOLS = 64
 UNKNOWN = "und"
