@@ -31,6 +31,11 @@ SIZE = r"(?i)(\d+(?:[.,]\d+)?)\s*(GB|MB|KB|Bytes?)"
 MODIFIED = r"\d{1,2}\.\d{1,2}\.\d{4}(?:,?\s*(?:um\s*)?\d{1,2}:\d{2}(?:\s*Uhr)?)?"
 
 
+def bind(x: Column, function) -> Column:
+    """function of x, with x computed once however often the function uses it."""
+    return F.get(F.transform(F.array(x), function), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, Unicode spaces included."""
     return F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")

@@ -39,6 +39,10 @@ def without_dots(path: Column) -> Column:
 
 def resolve(base: Column, reference: Column) -> Column:
     """The address that a reference on the page `base` means."""
+    return T.bind(reference, lambda r: T.bind(base, lambda b: _resolved(b, r)))
+
+
+def _resolved(base: Column, reference: Column) -> Column:
     absolute, network, path, query = part(reference, 1) != "", reference.startswith("//"), part(reference, 3), reference.rlike(r"^[^#]*\?")
     folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
     merged = F.when((part(base, 2) != "") & (part(base, 3) == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(folder, path))

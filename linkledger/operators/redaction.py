@@ -28,13 +28,12 @@ def _spotless(x: Column) -> Column:
 
 
 def _finished(x: Column) -> Column:
-    x = T.strip(x)
-    return F.when(x == "", NOTHING).when(F.octet_length(x) > MOST, F.concat(_first_bytes(x, MOST), F.lit(CUT))).otherwise(x)
+    return T.bind(T.strip(x), lambda y: F.when(y == "", NOTHING).when(F.octet_length(y) > MOST, F.concat(_first_bytes(y, MOST), F.lit(CUT))).otherwise(y))
 
 
 def sanitize(message: Column) -> Column:
     """A message fit for a status: headers and long tokens redacted, of bounded length, never blank."""
-    return F.when(T.contains_any(F.lower(message), STATE_MARKERS), STATE_MESSAGE).otherwise(_finished(_spotless(message)))
+    return F.when(T.bind(F.lower(message), lambda m: T.contains_any(m, STATE_MARKERS)), STATE_MESSAGE).otherwise(_finished(_spotless(message)))
 
 
 def scrub(message: Column) -> Column:
