@@ -8,7 +8,10 @@ prefix, neighbours down to LEAST equal values are candidates, and where many do,
 nearest have deeper common prefixes, so the depth adapts to each region. Candidates
 whose whole signatures agree too little to be links (four standard deviations below the
 limit) are dropped, the rest are confirmed on the full sets: first the best candidate of
-each class, then every candidate between classes that these links leave apart.
+each class, then every candidate between classes that these links leave apart. Where
+more than REACH rows share LEAST values, the next rows need not be the nearest: of such
+a crowd all pairs that are still in different components are compared, in tiles of
+bounded size, and only links leave a tile.
 
 Defined cases: A-Z count as a-z; a text with fewer words than a shingle is one shingle;
 null, empty and wordless texts have no set and link with nothing; ties are broken by
@@ -34,8 +37,10 @@ from .sketch import in_sketch, sketch_of
 
 #: Trees of the forest, MinHash values in each key, and values that neighbours must share.
 TREES, DEPTH, LEAST = 12, 8, 3
-#: How many following rows of the order each row is compared with.
+#: How many following rows of the order each row is compared with; larger crowds are compared in tiles.
 REACH = 4
+#: Rows and bytes of sets in a tile of a crowd, on average.
+TILE, TILE_BYTES = 2048, 16 << 20
 WORDS = B.Words(B.SPACES, seed=6)
 FEATURES = "struct<n:long,node:long,check:long,signature:binary>"
 
@@ -115,12 +120,15 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(agree: int, edges: bool):
-    """Candidate pairs among rows in order; with `edges`, also the first and last rows, whose neighbours lie in other partitions."""
+    """Candidate pairs among rows in order, and the trees and prefixes of crowds (equal: -1); with `edges`, also the first and last rows, whose neighbours lie in other partitions."""
+
+    def alike(tree, keys, d):
+        return (tree[d:] == tree[:-d]) & (keys[d:, : 4 * LEAST] == keys[:-d, : 4 * LEAST]).all(1)
 
     def pairs_of(tree, keys, nodes, short):
         for d in range(1, REACH + 1):
             if len(nodes) > d:
-                near = (tree[d:] == tree[:-d]) & (keys[d:, : 4 * LEAST] == keys[:-d, : 4 * LEAST]).all(1) & (nodes[d:] != nodes[:-d])
+                near = alike(tree, keys, d) & (nodes[d:] != nodes[:-d])
                 at = np.flatnonzero(near)
                 equal = (short[at + d] == short[at]).sum(1)
                 at, equal = at[equal >= agree], equal[equal >= agree]
@@ -144,6 +152,11 @@ def _neighbours(agree: int, edges: bool):
             if got:  # pairs among the rows kept from the last batch come twice; distinct() follows
                 m = len(got[0])
                 yield pa.record_batch([pa.array(got[0]), pa.array(got[1]), pa.array(got[2].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], ["a", "b", "equal", "tree", "key", "short"])
+            if len(rows) > REACH:
+                at = np.flatnonzero(alike(tree, keys, REACH))
+                crowds = sorted({(int(tree[k]), keys[k, : 4 * LEAST].tobytes()) for k in at})
+                m = len(crowds)
+                yield pa.record_batch([pa.array([0] * m, pa.int64()), pa.array([0] * m, pa.int64()), pa.array([-1] * m, pa.int32()), pa.array([c[0] for c in crowds], pa.int32()), pa.array([c[1] for c in crowds], pa.binary()), pa.nulls(m, pa.binary())], ["a", "b", "equal", "tree", "key", "short"])
             kept = tail = rows.slice(max(0, len(rows) - REACH))
         if edges and seen:
             both = pa.concat_tables([head, tail]).combine_chunks()
@@ -157,8 +170,11 @@ def _neighbours(agree: int, edges: bool):
 _PAIRS = "a long, b long, equal int, tree int, key binary, short binary"
 
 
-def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b, equal): pairs of nodes next to each other in some tree; equal: values that their signatures share."""
+def candidates(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, equal): pairs of nodes next to each other in some tree; equal: values that their signatures share.
+
+    And the crowds, distinct (tree, prefix) that more than REACH rows share.
+    """
     agree = limit_of_agreement(similarity, TREES * DEPTH)
     forest = classes.select("node", "signature").mapInArrow(_plant, "tree int, key binary, node long, short binary")
     n = S.shuffle_partitions(classes.sparkSession)
@@ -166,7 +182,71 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
     found = S.cut(forest.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(agree, True), _PAIRS))
     edges = found.where("equal is null").select("tree", "key", F.col("a").alias("node"), "short").distinct()
     across = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(agree, False), _PAIRS)
-    return found.where("equal is not null").unionByName(across).select("a", "b", "equal").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    both = found.where("equal is not null").unionByName(across)
+    pairs = both.where("equal >= 0").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    return pairs, both.where("equal < 0").select("tree", F.col("key").alias("prefix")).distinct()
+
+
+def members(classes: DataFrame, crowds: DataFrame) -> DataFrame:
+    """(tree, prefix, node): the rows of each crowd."""
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * LEAST)))
+    return classes.select("node", F.posexplode(prefixes).alias("tree", "prefix")).join(crowds, ["tree", "prefix"]).select("tree", "prefix", "node")
+
+
+def _links_of_tiles(agree: int, percent: int):
+    """The links between components in one tile of a crowd, or between two; a pair counts in the first tree where both share a prefix."""
+
+    def links(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        node, root, n, tile = (rows[c].to_numpy() for c in ("node", "root", "n", "tile"))
+        values = np.frombuffer(b"".join(rows["signature"].to_pylist()), ">u4").reshape(-1, TREES, DEPTH)
+        short = (values & 255).astype(np.uint8).reshape(-1, TREES * DEPTH)
+        tree, across = rows["tree"][0].as_py(), rows["i"][0].as_py() != rows["j"][0].as_py()
+        sets = [unpacked(x) for x in rows["packed"].to_pylist()]
+        a, b = [], []
+        for k in range(len(node) - 1):
+            rest = slice(k + 1, len(node))
+            fit = (root[rest] != root[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
+            if across:
+                fit &= tile[rest] != tile[k]
+            at = k + 1 + np.flatnonzero(fit)
+            at = at[(short[at] == short[k]).sum(1) >= agree]
+            at = at[~(values[at, :tree, :LEAST] == values[k, :tree, :LEAST]).all(2).any(1)]
+            if not len(at):
+                continue
+            sizes = np.array([len(sets[x]) for x in at])
+            found = np.concatenate([sets[x] for x in at])
+            where = np.searchsorted(sets[k], found)
+            where[where == len(sets[k])] = 0
+            same = np.add.reduceat((sets[k][where] == found).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            at = at[100 * same >= percent * (n[at] + n[k] - same)]
+            a.append(np.full(len(at), root[k]))
+            b.append(root[at])
+        ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+        pairs = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends)]), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    def typed(rows):
+        return links(rows)
+
+    typed.__annotations__ = {"rows": pa.Table, "return": pa.Table}
+    return typed
+
+
+def crowd_links(crowd: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b): roots between which a crowd's rows have a link.
+
+    A crowd of many tiles is dealt out tile against tile, so that no task holds more than two.
+    """
+    placed = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select("node", F.length("packed").alias("size")), "node")
+    mixed = placed.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("lo <> hi")
+    tiles = F.ceil(F.greatest(F.col("rows") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
+    dealt = placed.join(mixed.select("tree", "prefix", tiles.alias("tiles")), ["tree", "prefix"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    whole = dealt.join(sets, "node").join(classes.select("node", "signature"), "node")
+    unit = whole.select("tree", "prefix", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "root", "n", "packed", "signature")
+    agree = limit_of_agreement(percent / 100, TREES * DEPTH)
+    return unit.groupBy("tree", "prefix", "i", "j").applyInArrow(_links_of_tiles(agree, percent), "a long, b long").distinct()
 
 
 def _sets(shingle: int, sketch):
@@ -228,8 +308,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), named.alias("named"), _features(shingle)(F.col(text)).alias("f"))
     rows = S.cut(made.select("doc_id", "named", "f.n", "f.node", "f.check", "f.signature"))
     classes = S.cut(rows.where("n > 0").groupBy("node", "check").agg(F.min("named").alias("named"), F.first("signature").alias("signature")))
-    pairs = S.cut(candidates(classes, percent / 100))
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    pairs, crowds = candidates(classes, percent / 100)
+    pairs, crowd = S.cut(pairs), S.cut(members(classes, crowds))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
     sketch = sketch_of(classes.join(ends, "node", "left_semi"), "named")
     sets = docs.select(_sets(shingle, sketch)(named, F.col(text)).alias("s")).where("s is not null").select("s.*")
     sets = S.cut(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed")))
@@ -245,6 +326,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     labelled = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # then all pairs of crowds that are still apart
+    last = S.cut(crowd_links(crowd, roots, classes, sets, percent))
+    if not last.isEmpty():
+        joined = components(last).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        labelled = labelled.join(joined, "root", "left").select("doc_id", "n", "node", F.coalesce("whole", "root").alias("root"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

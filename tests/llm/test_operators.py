@@ -94,6 +94,25 @@ def test_near_duplicates(request, table):
     assert sorted(r[0] for r in left.select("doc_id").collect()) == sorted(r[0] for r in brute.near(pairs(docs), 5) if r[3])
 
 
+def test_near_duplicates_in_a_crowd(spark, monkeypatch):
+    """Copies of one text of which most are too far apart, each with a mate within the limit."""
+    rng = random.Random(6)
+    base, texts = [f"w{k}" for k in range(200)], []
+
+    def changed(words, n):
+        return [f"x{rng.random()}" if k in at else w for at in [set(rng.sample(range(200), n))] for k, w in enumerate(words)]
+
+    for _ in range(250):
+        one = changed(base, 8)
+        texts += [one, changed(one, 10)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = brute.near(pairs(docs), 2)
+    assert 20 < len({r[2] for r in want}) < 400
+    assert rows(near_duplicates.near_duplicates(docs, shingle=2), "*") == want
+    monkeypatch.setattr(near_duplicates, "TILE", 50)
+    assert rows(near_duplicates.near_duplicates(docs, shingle=2), "*") == want
+
+
 def test_near_duplicates_of_an_empty_table(odd):
     assert near_duplicates.near_duplicates(odd.where("false")).collect() == []
 
