@@ -2,23 +2,31 @@
 
 A document's set holds its distinct `shingle`-word shingles. Documents with equal sets
 form one class at once. The signature of a class, TREES x DEPTH MinHash values, gives
-one sort key per tree; the trees are kept as one table sorted by (tree, key). In that
-order the rows next to each other share the longest prefixes: where few rows share a
-prefix, neighbours down to LEAST equal values are candidates, and where many do, the
-nearest have deeper common prefixes, so the depth adapts to each region. Candidates
-whose whole signatures agree too little to be links (four standard deviations below the
-limit) are dropped, the rest are confirmed on the full sets: first the best candidate of
-each class, then every candidate between classes that these links leave apart. Where
-more than REACH rows share LEAST values, the next rows need not be the nearest: of such
-a crowd all pairs that are still in different components are compared, in tiles of
-bounded size, and only links leave a tile.
+one sort key per tree; the trees are kept as one table sorted by (tree, key), in which
+the rows that share the longest prefixes stand next to each other. Rows that share LEAST
+values are a region, and how deep a region is searched follows from its size: in small
+ones all pairs are candidates, in larger ones each row meets the BEST rows that share the
+most values of the whole signature. Candidates whose signatures agree too little to be
+links (four standard deviations below the limit) are dropped, the rest are confirmed on
+the full sets: first the best candidate of each class, then every candidate between
+classes that these links leave apart.
+
+Regions in which some row has more than BEST likely partners, or that are larger than a
+tile or lie in two partitions, are crowds. Of a crowd all pairs of rows that are still in
+different components are compared on the full sets, in tiles of bounded size, and only
+links leave a tile. The rows of a crowd's largest component are sent once for each tile of
+other rows, so a crowd that is one component but for a few rows costs little more than
+those. So no link is lost between rows that share LEAST values in some tree; a pair at a
+similarity of exactly 0.8 shares them in none with a chance of 2 in 10000, a closer pair
+with less.
 
 Defined cases: A-Z count as a-z; a text with fewer words than a shingle is one shingle;
-null, empty and wordless texts have no set and link with nothing; ties are broken by
-the smaller id; repeated rows are equal sets; rows without an id link, and are kept
-where no row of their component has one; other columns never enter. No group is
-gathered in one task: classes are aggregated before the shuffle, trees are split by
-ranges that include the row's id, and pairs go only to neighbours.
+null, empty and wordless texts have no set and link with nothing; an empty table gives an
+empty result; ties are broken by the smaller id; repeated rows are equal sets; rows without
+an id link, and are kept where no row of their component has one; very long texts are whole
+sets, one in a task's memory at a time; other columns, whatever their names, never enter.
+No group is gathered in one task: classes are aggregated before the shuffle, trees are
+split by ranges that include the row's id, and crowds are dealt out in tiles.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +44,11 @@ from . import _spark as S
 from .graph import components
 from .sketch import in_sketch, sketch_of
 
-#: Trees of the forest, MinHash values in each key, and values that neighbours must share.
+#: Trees of the forest, MinHash values in each key, and values that the rows of a region share.
 TREES, DEPTH, LEAST = 12, 8, 3
-#: How many following rows of the order each row is compared with; larger crowds are compared in tiles.
-REACH = 4
-#: Rows and bytes of sets in a tile of a crowd, on average.
+#: Rows of a small region, beside the first, and partners of each row that are candidates in larger ones; crowds are compared in tiles.
+REACH, BEST = 4, 8
+#: Rows and bytes of sets in a tile, on average.
 TILE, TILE_BYTES = 2048, 16 << 20
 WORDS = B.Words(B.SPACES, seed=6)
 FEATURES = "struct<n:long,node:long,check:long,signature:binary>"
@@ -106,7 +115,7 @@ def _features(shingle: int):
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each tree: its key, the node, and a byte of each value of the whole signature."""
+    """A row for each tree: its key, the node, its size, and a byte of each value of the whole signature."""
     for batch in batches:
         n = len(batch)
         if not n:
@@ -116,75 +125,100 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.ascontiguousarray((values & 255).astype(np.uint8)).reshape(n, TREES * DEPTH)
         short = pa.array([row.tobytes() for row in short], pa.binary())
         for t in range(TREES):
-            yield pa.record_batch([pa.array(np.full(n, t, np.int32)), pa.array([k.tobytes() for k in keys[:, t]], pa.binary()), batch.column(0), short], ["tree", "key", "node", "short"])
+            yield pa.record_batch([pa.array(np.full(n, t, np.int32)), pa.array([k.tobytes() for k in keys[:, t]], pa.binary()), batch.column(0), batch.column(2), short], ["tree", "key", "node", "n", "short"])
 
 
-def _neighbours(agree: int, edges: bool):
-    """Candidate pairs among rows in order, and the trees and prefixes of crowds (equal: -1); with `edges`, also the first and last rows, whose neighbours lie in other partitions."""
+def _equal_values(short: np.ndarray, rows: slice) -> np.ndarray:
+    """How many values the signatures of `rows` share with all."""
+    out = np.zeros((len(short[rows]), len(short)), np.uint8)
+    for column in np.ascontiguousarray(short.T):
+        out += column[rows][:, None] == column[None, :]
+    return out
 
-    def alike(tree, keys, d):
-        return (tree[d:] == tree[:-d]) & (keys[d:, : 4 * LEAST] == keys[:-d, : 4 * LEAST]).all(1)
 
-    def pairs_of(tree, keys, nodes, short):
+def _search(agree: int, percent: int):
+    """Candidate pairs (a, b, equal) among rows in order; crowds (tree, prefix; equal: -1), and each partition's first and last regions (equal: -2)."""
+
+    def alike(n, m):
+        return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+    def small(nodes, n, short, region, sizes):
+        """All pairs of regions of REACH + 1 rows at most."""
         for d in range(1, REACH + 1):
-            if len(nodes) > d:
-                near = alike(tree, keys, d) & (nodes[d:] != nodes[:-d])
-                at = np.flatnonzero(near)
-                equal = (short[at + d] == short[at]).sum(1)
-                at, equal = at[equal >= agree], equal[equal >= agree]
-                yield np.minimum(nodes[at], nodes[at + d]), np.maximum(nodes[at], nodes[at + d]), equal
+            at = np.flatnonzero((region[d:] == region[:-d]) & (sizes[region[d:]] <= REACH + 1)) if len(nodes) > d else np.zeros(0, np.int64)
+            equal = (short[at + d] == short[at]).sum(1)
+            fit = (equal >= agree) & (nodes[at + d] != nodes[at]) & alike(n[at + d], n[at])
+            yield nodes[at][fit], nodes[at + d][fit], equal[fit]
+
+    def large(nodes, n, short):
+        """The BEST pairs of each row of a region, and whether some row has more."""
+        more = False
+        for a in range(0, len(nodes), 256):
+            rows = slice(a, a + 256)
+            equal = _equal_values(short, rows)
+            equal[(equal < agree) | (nodes[rows, None] == nodes[None, :]) | ~alike(n[rows, None], n[None, :])] = 0
+            more |= bool(((equal > 0).sum(1) > BEST).any())
+            best = np.argpartition(equal, -BEST, axis=1)[:, -BEST:] if len(nodes) > BEST else np.broadcast_to(np.arange(len(nodes)), equal.shape)
+            r, c = np.nonzero(np.take_along_axis(equal, best, 1))
+            yield nodes[a + r], nodes[best[r, c]], equal[r, best[r, c]], more
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
-        head, tail, seen = None, None, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = pa.Table.from_batches([batch])
-            if edges and seen < REACH:
-                head = own.slice(0, REACH - seen) if head is None else pa.concat_tables([head, own.slice(0, REACH - seen)])
-            seen += len(own)
-            rows = own if kept is None else pa.concat_tables([kept, own])
-            tree, nodes = rows["tree"].to_numpy(), rows["node"].to_numpy()
-            keys = np.frombuffer(b"".join(rows["key"].to_pylist()), np.uint8).reshape(len(rows), 4 * DEPTH)
+        ends: list[tuple[int, bytes]] = []
+
+        def rows_of(found: list, crowds: set, equal: int = -1) -> pa.RecordBatch:
+            a, b, e = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            m, k, listed = len(a), len(crowds), sorted(crowds)
+            at = TaskContext.get().partitionId()
+            values = [pa.array(np.append(np.minimum(a, b), np.full(k, at))), pa.array(np.append(np.maximum(a, b), np.zeros(k, np.int64))), pa.array(np.append(e, np.full(k, equal)).astype(np.int32))]
+            return pa.record_batch([*values, pa.array([None] * m + [c[0] for c in listed], pa.int32()), pa.array([None] * m + [c[1] for c in listed], pa.binary())], ["a", "b", "equal", "tree", "prefix"])
+
+        def searched(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            tree, nodes, n = (rows[c].to_numpy() for c in ("tree", "node", "n"))
+            keys = np.frombuffer(b"".join(rows["key"].to_pylist()), np.uint8).reshape(len(rows), 4 * DEPTH)[:, : 4 * LEAST]
             short = np.frombuffer(b"".join(rows["short"].to_pylist()), np.uint8).reshape(len(rows), TREES * DEPTH)
-            got = [np.concatenate(x) for x in zip(*pairs_of(tree, keys, nodes, short), strict=True)] if len(rows) > 1 else []
-            if got:  # pairs among the rows kept from the last batch come twice; distinct() follows
-                m = len(got[0])
-                yield pa.record_batch([pa.array(got[0]), pa.array(got[1]), pa.array(got[2].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], ["a", "b", "equal", "tree", "key", "short"])
-            if len(rows) > REACH:
-                at = np.flatnonzero(alike(tree, keys, REACH))
-                crowds = sorted({(int(tree[k]), keys[k, : 4 * LEAST].tobytes()) for k in at})
-                m = len(crowds)
-                yield pa.record_batch([pa.array([0] * m, pa.int64()), pa.array([0] * m, pa.int64()), pa.array([-1] * m, pa.int32()), pa.array([c[0] for c in crowds], pa.int32()), pa.array([c[1] for c in crowds], pa.binary()), pa.nulls(m, pa.binary())], ["a", "b", "equal", "tree", "key", "short"])
-            kept = tail = rows.slice(max(0, len(rows) - REACH))
-        if edges and seen:
-            both = pa.concat_tables([head, tail]).combine_chunks()
-            m = len(both)
-            for x in pa.table([both["node"], both["node"], pa.nulls(m, pa.int32()), both["tree"], both["key"], both["short"]], ["a", "b", "equal", "tree", "key", "short"]).to_batches():
-                yield x
-
-    return of
+            new = np.concatenate([[True], (tree[1:] != tree[:-1]) | (keys[1:] != keys[:-1]).any(1)])
+            starts = np.append(np.flatnonzero(new), len(rows))
+            region, sizes = np.cumsum(new) - 1, np.diff(starts)
+            name = lambda k: (int(tree[starts[k]]), keys[starts[k]].tobytes())
+            ends[:] = [ends[0] if ends else name(0), name(-2)]
+            stay = starts[-1] if last else starts[-2] + sizes[-1] // TILE * TILE  # the last region goes on in the next rows
+            crowds, found = set(), list(small(nodes[:stay], n[:stay], short[:stay], region[:stay], sizes))
+            for k in np.flatnonzero(sizes > REACH + 1).tolist():
+                for a in range(starts[k], min(starts[k + 1], stay), TILE):
+                    own = slice(a, min(a + TILE, starts[k + 1]))
+                    for x, y, e, more in large(nodes[own], n[own], short[own]):
+                        found.append((x, y, e))
+                        if more or sizes[k] >= TILE:
+                            crowds.add(name(k))
+            return rows_of(found, crowds), rows.slice(stay) if stay < len(rows) else None
 
+        for batch in batches:
+            if len(batch):
+                own = pa.Table.from_batches([batch])
+                out, kept = searched(own if kept is None else pa.concat_tables([kept, own]), False)
+                yield out
+        if kept is not None:
+            yield searched(kept, True)[0]
+        yield rows_of([], set(ends), -2)
 
-_PAIRS = "a long, b long, equal int, tree int, key binary, short binary"
+    return of
 
 
-def candidates(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b, equal): pairs of nodes next to each other in some tree; equal: values that their signatures share.
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, equal): pairs of nodes that some tree has in one region; equal: values that their signatures share.
 
-    And the crowds, distinct (tree, prefix) that more than REACH rows share.
+    And the crowds, distinct (tree, prefix).
     """
-    agree = limit_of_agreement(similarity, TREES * DEPTH)
-    forest = classes.select("node", "signature").mapInArrow(_plant, "tree int, key binary, node long, short binary")
+    agree = limit_of_agreement(percent / 100, TREES * DEPTH)
+    forest = classes.select("node", "signature", "n").mapInArrow(_plant, "tree int, key binary, node long, n long, short binary")
     n = S.shuffle_partitions(classes.sparkSession)
     order = ["tree", "key", "node"]
-    found = S.cut(forest.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(agree, True), _PAIRS))
-    edges = found.where("equal is null").select("tree", "key", F.col("a").alias("node"), "short").distinct()
-    across = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(agree, False), _PAIRS)
-    both = found.where("equal is not null").unionByName(across)
-    pairs = both.where("equal >= 0").groupBy("a", "b").agg(F.max("equal").alias("equal"))
-    return pairs, both.where("equal < 0").select("tree", F.col("key").alias("prefix")).distinct()
+    found = S.cut(forest.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_search(agree, percent), "a long, b long, equal int, tree int, prefix binary"))
+    pairs = found.where("equal >= 0").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    # regions that end one partition and begin another are crowds too
+    crowds = found.where("equal < 0").groupBy("tree", "prefix").agg(F.max("equal").alias("equal"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("equal = -1 or lo < hi")
+    return pairs, crowds.select("tree", "prefix")
 
 
 def members(classes: DataFrame, crowds: DataFrame) -> DataFrame:
@@ -193,38 +227,35 @@ def members(classes: DataFrame, crowds: DataFrame) -> DataFrame:
     return classes.select("node", F.posexplode(prefixes).alias("tree", "prefix")).join(crowds, ["tree", "prefix"]).select("tree", "prefix", "node")
 
 
-def _links_of_tiles(agree: int, percent: int):
-    """The links between components in one tile of a crowd, or between two; a pair counts in the first tree where both share a prefix."""
+def _links_of_tiles(percent: int):
+    """The links between the components of a tile's own rows and of its guests."""
 
     def links(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        node, root, n, tile = (rows[c].to_numpy() for c in ("node", "root", "n", "tile"))
-        values = np.frombuffer(b"".join(rows["signature"].to_pylist()), ">u4").reshape(-1, TREES, DEPTH)
-        short = (values & 255).astype(np.uint8).reshape(-1, TREES * DEPTH)
-        tree, across = rows["tree"][0].as_py(), rows["i"][0].as_py() != rows["j"][0].as_py()
-        sets = [unpacked(x) for x in rows["packed"].to_pylist()]
-        a, b = [], []
-        for k in range(len(node) - 1):
-            rest = slice(k + 1, len(node))
-            fit = (root[rest] != root[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
-            if across:
-                fit &= tile[rest] != tile[k]
-            at = k + 1 + np.flatnonzero(fit)
-            at = at[(short[at] == short[k]).sum(1) >= agree]
-            at = at[~(values[at, :tree, :LEAST] == values[k, :tree, :LEAST]).all(2).any(1)]
-            if not len(at):
-                continue
-            sizes = np.array([len(sets[x]) for x in at])
-            found = np.concatenate([sets[x] for x in at])
-            where = np.searchsorted(sets[k], found)
-            where[where == len(sets[k])] = 0
-            same = np.add.reduceat((sets[k][where] == found).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            at = at[100 * same >= percent * (n[at] + n[k] - same)]
-            a.append(np.full(len(at), root[k]))
-            b.append(root[at])
-        ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-        pairs = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends)]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        root, n, guest = (rows[c].to_numpy() for c in ("root", "n", "guest"))
+        own, guests = np.flatnonzero(~guest), np.flatnonzero(guest)
+        pairs = np.zeros((2, 0), np.int64)
+        if len(own) and len(guests):
+            sets = [unpacked(x) for x in rows["packed"].to_pylist()]
+            sizes = np.array([len(sets[k]) for k in guests])
+            values, codes = np.unique(np.concatenate([sets[k] for k in guests]), return_inverse=True)
+            starts, has = np.cumsum(sizes) - sizes, np.zeros(len(values) + 1, bool)
+            found: set[tuple[int, int]] = set()
+            for k in own.tolist():
+                fit = (root[guests] != root[k]) & (100 * np.minimum(n[guests], n[k]) >= percent * np.maximum(n[guests], n[k]))
+                if not fit.any():
+                    continue
+                where = np.searchsorted(values, sets[k])
+                where[where == len(values)] = 0
+                where = where[values[where] == sets[k]]
+                has[where] = True
+                same = np.add.reduceat(has[codes], starts, dtype=np.int64)
+                has[where] = False
+                at = guests[fit & (100 * same >= percent * (n[guests] + n[k] - same))]
+                found.update((min(x, y), max(x, y)) for x, y in zip(root[at].tolist(), [int(root[k])] * len(at), strict=True))
+            if found:
+                pairs = np.array(sorted(found), np.int64).T
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
     def typed(rows):
         return links(rows)
@@ -233,20 +264,27 @@ def _links_of_tiles(agree: int, percent: int):
     return typed
 
 
-def crowd_links(crowd: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def crowd_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b): roots between which a crowd's rows have a link.
 
-    A crowd of many tiles is dealt out tile against tile, so that no task holds more than two.
+    The rows of a crowd are dealt into tiles, and those outside its largest component into
+    tiles of guests as well; each tile meets each tile of guests.
     """
-    placed = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select("node", F.length("packed").alias("size")), "node")
-    mixed = placed.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("lo <> hi")
-    tiles = F.ceil(F.greatest(F.col("rows") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
-    dealt = placed.join(mixed.select("tree", "prefix", tiles.alias("tiles")), ["tree", "prefix"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    whole = dealt.join(sets, "node").join(classes.select("node", "signature"), "node")
-    unit = whole.select("tree", "prefix", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "root", "n", "packed", "signature")
-    agree = limit_of_agreement(percent / 100, TREES * DEPTH)
-    return unit.groupBy("tree", "prefix", "i", "j").applyInArrow(_links_of_tiles(agree, percent), "a long, b long").distinct()
+    known = crowd.join(roots, "node", "left").select("tree", "prefix", "node", F.coalesce("root", "node").alias("root"))
+    known = S.cut(known.join(sets.select("node", "n"), "node"))
+    each = known.groupBy("tree", "prefix", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    whole = each.groupBy("tree", "prefix").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "n", "root")).alias("top")).where("rows > top.rows")
+    tiles = lambda rows, n: F.ceil(F.greatest(rows / TILE, n * 6 / TILE_BYTES)).cast("int")
+    mixed = whole.select("tree", "prefix", F.col("top.root").alias("most"), tiles(F.col("rows"), F.col("n")).alias("tiles"), tiles(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("others"))
+    dealt = known.drop("n").join(mixed, ["tree", "prefix"])
+    of = lambda name, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(name)).cast("int")
+    as_own = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct("tree", "prefix", of("tiles", 1).alias("i"), j.alias("j"), F.lit(False).alias("guest")))
+    as_guest = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct("tree", "prefix", i.alias("i"), of("others", 2).alias("j"), F.lit(True).alias("guest")))
+    places = F.when(F.col("root") == F.col("most"), as_own).otherwise(F.concat(as_own, as_guest))
+    # a node's set joins its places once, and is copied on the way to the tiles
+    placed = dealt.groupBy("node", "root").agg(F.flatten(F.collect_list(places)).alias("places")).join(sets, "node")
+    unit = placed.select("root", "n", "packed", F.explode("places").alias("at")).select("at.*", "root", "n", "packed")
+    return unit.groupBy("tree", "prefix", "i", "j").applyInArrow(_links_of_tiles(percent), "a long, b long").distinct()
 
 
 def _sets(shingle: int, sketch):
@@ -307,8 +345,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))  # rows without an id go by their text
     made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), named.alias("named"), _features(shingle)(F.col(text)).alias("f"))
     rows = S.cut(made.select("doc_id", "named", "f.n", "f.node", "f.check", "f.signature"))
-    classes = S.cut(rows.where("n > 0").groupBy("node", "check").agg(F.min("named").alias("named"), F.first("signature").alias("signature")))
-    pairs, crowds = candidates(classes, percent / 100)
+    classes = S.cut(rows.where("n > 0").groupBy("node", "check").agg(F.min("named").alias("named"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    pairs, crowds = candidates(classes, percent)
     pairs, crowd = S.cut(pairs), S.cut(members(classes, crowds))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
     sketch = sketch_of(classes.join(ends, "node", "left_semi"), "named")
@@ -327,7 +365,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         roots = components(links.unionByName(more))
     labelled = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # then all pairs of crowds that are still apart
-    last = S.cut(crowd_links(crowd, roots, classes, sets, percent))
+    last = S.cut(crowd_links(crowd, roots, sets, percent))
     if not last.isEmpty():
         joined = components(last).select(F.col("node").alias("root"), F.col("root").alias("whole"))
         labelled = labelled.join(joined, "root", "left").select("doc_id", "n", "node", F.coalesce("whole", "root").alias("root"))
