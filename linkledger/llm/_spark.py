@@ -36,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, each: int = 50_000, least: int = 8) -> DataFrame:
+    """df, cut, in partitions of about `each` rows: small tables don't become shuffle files of a few bytes for every pair of tasks."""
+    held = cut(df)
+    return held.coalesce(max(least, -(-held.count() // each)))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table of Parquet files in the shared checkpoint folder; smaller than a checkpoint."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -11,20 +11,21 @@ from . import _spark as S
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a long, b long); root is the smallest node reachable.
 
-    Each round's edges are checkpointed. Minima are aggregated before the shuffle, and the
-    joins that spread them may be split by adaptive execution, so a node with very many
-    neighbours doesn't stay in one task. Self-loops and repeated edges are allowed.
+    Each round's edges are checkpointed, in partitions that follow their number. Minima are
+    aggregated before the shuffle, and the joins that spread them may be split by adaptive
+    execution, so a node with very many neighbours doesn't stay in one task. Self-loops and
+    repeated edges are allowed.
     """
-    stars = S.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    stars = S.gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
     for _ in range(rounds):
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = S.gathered(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
-        small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo")))
-        stars = S.cut(small.distinct())
+        joined = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = S.gathered(joined.unionByName(least.select("hi", F.col("m").alias("lo"))))
+        stars = S.gathered(small.distinct())
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -214,7 +214,7 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     forest = classes.select("node", "signature", "n").mapInArrow(_plant, "tree int, key binary, node long, n long, short binary")
     n = S.shuffle_partitions(classes.sparkSession)
     order = ["tree", "key", "node"]
-    found = S.cut(forest.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_search(agree, percent), "a long, b long, equal int, tree int, prefix binary"))
+    found = S.gathered(forest.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_search(agree, percent), "a long, b long, equal int, tree int, prefix binary"))
     pairs = found.where("equal >= 0").groupBy("a", "b").agg(F.max("equal").alias("equal"))
     # regions that end one partition and begin another are crowds too
     crowds = found.where("equal < 0").groupBy("tree", "prefix").agg(F.max("equal").alias("equal"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("equal = -1 or lo < hi")
@@ -271,12 +271,12 @@ def crowd_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     tiles of guests as well; each tile meets each tile of guests.
     """
     known = crowd.join(roots, "node", "left").select("tree", "prefix", "node", F.coalesce("root", "node").alias("root"))
-    known = S.cut(known.join(sets.select("node", "n"), "node"))
+    known = S.gathered(known.join(sets.select("node", "n"), "node"))
     each = known.groupBy("tree", "prefix", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     whole = each.groupBy("tree", "prefix").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "n", "root")).alias("top")).where("rows > top.rows")
     tiles = lambda rows, n: F.ceil(F.greatest(rows / TILE, n * 6 / TILE_BYTES)).cast("int")
     mixed = whole.select("tree", "prefix", F.col("top.root").alias("most"), tiles(F.col("rows"), F.col("n")).alias("tiles"), tiles(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("others"))
-    dealt = known.drop("n").join(mixed, ["tree", "prefix"])
+    dealt = S.gathered(known.drop("n").join(mixed, ["tree", "prefix"]))
     of = lambda name, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(name)).cast("int")
     as_own = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct("tree", "prefix", of("tiles", 1).alias("i"), j.alias("j"), F.lit(False).alias("guest")))
     as_guest = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct("tree", "prefix", i.alias("i"), of("others", 2).alias("j"), F.lit(True).alias("guest")))
@@ -347,25 +347,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = S.cut(made.select("doc_id", "named", "f.n", "f.node", "f.check", "f.signature"))
     classes = S.cut(rows.where("n > 0").groupBy("node", "check").agg(F.min("named").alias("named"), F.first("n").alias("n"), F.first("signature").alias("signature")))
     pairs, crowds = candidates(classes, percent)
-    pairs, crowd = S.cut(pairs), S.cut(members(classes, crowds))
+    pairs, crowd = S.gathered(pairs), S.gathered(members(classes, S.gathered(crowds)))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
     sketch = sketch_of(classes.join(ends, "node", "left_semi"), "named")
     sets = docs.select(_sets(shingle, sketch)(named, F.col(text)).alias("s")).where("s is not null").select("s.*")
-    sets = S.cut(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed")))
+    sets = S.gathered(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed")), 5000)
     # the best candidate of each node first
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "equal").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "equal"))
     best = both.groupBy("u").agg(F.max_by("v", F.struct("equal", -F.col("v"))).alias("v"))
-    links = S.cut(confirmed(best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), sets, percent))
-    roots = components(links)
+    links = S.gathered(confirmed(best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), sets, percent))
+    roots = S.gathered(components(links))
     # then every other candidate between classes that these links leave apart
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    more = S.cut(confirmed(apart, sets, percent))
+    more = S.gathered(confirmed(apart, sets, percent))
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        roots = S.gathered(components(links.unionByName(more)))
     labelled = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # then all pairs of crowds that are still apart
-    last = S.cut(crowd_links(crowd, roots, sets, percent))
+    last = S.gathered(crowd_links(crowd, roots, sets, percent))
     if not last.isEmpty():
         joined = components(last).select(F.col("node").alias("root"), F.col("root").alias("whole"))
         labelled = labelled.join(joined, "root", "left").select("doc_id", "n", "node", F.coalesce("whole", "root").alias("root"))
