@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from . import _spark as S
 
 
+#: Edges in a partition, about.
+ROWS = 50_000
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges (hi, lo), cut, in partitions that follow their number; and their number with a sum of hashes."""
+    held = S.cut(edges)
+    now = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+    return held.coalesce(8 + now[0] // ROWS), now
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a long, b long); root is the smallest node reachable.
 
@@ -16,20 +27,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     execution, so a node with very many neighbours doesn't stay in one task. Self-loops and
     repeated edges are allowed.
     """
-    stars = S.gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = None
+    stars, before = _counted(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     for _ in range(rounds):
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = S.gathered(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")))
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        small = S.gathered(joined.unionByName(least.select("hi", F.col("m").alias("lo"))))
-        stars = S.gathered(small.distinct())
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        if now == before:
+        large, now = _counted(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")))
+        if now == before:  # each node has one edge, to the least one of its star
             break
-        before = now
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo")))
+        stars, before = _counted(small.coalesce(8 + now[0] // ROWS).distinct())
     else:
         raise RuntimeError(f"no end of the search for components after {rounds} rounds")
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -264,13 +264,12 @@ def _links_of_tiles(percent: int):
     return typed
 
 
-def crowd_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b): roots between which a crowd's rows have a link.
+def crowd_links(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b): roots between which a crowd's rows (tree, prefix, node, root) have a link.
 
     The rows of a crowd are dealt into tiles, and those outside its largest component into
     tiles of guests as well; each tile meets each tile of guests.
     """
-    known = crowd.join(roots, "node", "left").select("tree", "prefix", "node", F.coalesce("root", "node").alias("root"))
     known = S.gathered(known.join(sets.select("node", "n"), "node"))
     each = known.groupBy("tree", "prefix", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     whole = each.groupBy("tree", "prefix").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "n", "root")).alias("top")).where("rows > top.rows")
@@ -335,9 +334,18 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) that are links."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", _confirm(percent)("pa", "na", "pb", "nb").alias("ok")).where("ok").select("a", "b")
+    return pairs.join(one, "a").join(two, "b").withColumn("ok", _confirm(percent)("pa", "na", "pb", "nb")).where("ok").select(*pairs.columns)
+
+
+def through(rows: DataFrame, joined: list[DataFrame]) -> DataFrame:
+    """rows with what their `root` became in each search for components (node, root) among roots."""
+    for found in joined:
+        whole = found.select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        rows = rows.join(whole, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
+    return rows
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -359,16 +367,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = S.gathered(components(links))
     # then every other candidate between classes that these links leave apart
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
     more = S.gathered(confirmed(apart, sets, percent))
-    if not more.isEmpty():
-        roots = S.gathered(components(links.unionByName(more)))
-    labelled = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = [components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))] if not more.isEmpty() else []
     # then all pairs of crowds that are still apart
-    last = S.gathered(crowd_links(crowd, roots, sets, percent))
+    known = crowd.join(roots, "node", "left").select("tree", "prefix", "node", F.coalesce("root", "node").alias("root"))
+    last = S.gathered(crowd_links(through(known, joined), sets, percent))
     if not last.isEmpty():
-        joined = components(last).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-        labelled = labelled.join(joined, "root", "left").select("doc_id", "n", "node", F.coalesce("whole", "root").alias("root"))
+        joined.append(components(last))
+    labelled = through(rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), joined)
     least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -35,6 +35,6 @@ def sketch_of(ids: DataFrame, column: str):
     slots = ids.select(F.col(column).cast("long")).mapInArrow(bits, "slot long")
     maps = slots.groupBy((F.col("slot") / 32768).cast("long").alias("page")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
     out = bytearray(SKETCH_BITS // 8)
-    for row in maps.toLocalIterator():
+    for row in maps.collect():  # a row for each page, 4 MB in all
         out[row["page"] * 4096 : row["page"] * 4096 + 4096] = row["bits"]
     return ids.sparkSession.sparkContext.broadcast(bytes(out))
