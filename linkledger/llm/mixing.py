@@ -9,10 +9,14 @@ key, -ln(u) / quality, of which the sizes are summed up to the budget; the docum
 which the budget ends gives the words that are left.
 
 Defined cases: null and blank texts have size 0 and are never taken; an all-null source
-column is one source; equal keys are ordered by doc_id, and rows equal in both share
-their places in some order; an empty table gives an empty result. A hot source doesn't
-meet in one task: prefix sums run over ranges of (source, key, doc_id) of all sources.
-Only the table of sources, one row each, is summed in a single task.
+column is one source; equal keys are ordered by doc_id, then size, then the text's hash,
+so that rows with equal or no ids have one order in every run, however they are dealt out;
+rows equal in all of these share their places, and it doesn't show which has which; very
+long texts are counted whole; an empty table gives an empty result; other columns, whatever
+their names, are not read, and `mixed_documents` passes them on. A hot source doesn't meet
+in one task: prefix sums run over ranges of (source, key, doc_id, ...) of all sources. Only
+the table of sources, one row each, is summed in a single task; it is broadcast if it has
+SOURCES rows at most, and joined otherwise.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ SHARE, MOST = 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a text from which its quality weight is full.
 ENOUGH = 100
+#: Sources up to which their table is broadcast: some 10 MB.
+SOURCES = 100_000
 
 
 def uniform(doc_id: Column, seed: str = "mix") -> Column:
@@ -59,32 +65,34 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target and taken."""
+    """Per row of docs: doc_id, source, size, hash (of the text), source_size, target and taken."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("chars"))
-    sized = S.cut(sized.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / quality(F.col("size"), F.col("chars"))).alias("key")))
-    goals = S.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    placed = sized.join(F.broadcast(goals.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = S.running_total(placed, ["rank", "key", "doc_id"], "size", "ahead")
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.xxhash64(text).alias("hash"))
+    sized = S.cut(sized.select("doc_id", "source", "size", "hash", (-F.log(uniform(F.col("doc_id"))) / quality(F.col("size"), F.col("chars"))).alias("key")))
+    goals = S.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))).withColumnRenamed("source", "_source")
+    goals = F.broadcast(goals) if goals.count() <= SOURCES else goals
+    placed = sized.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    placed = S.running_total(placed, ["rank", "key", "doc_id", "size", "hash"], "size", "ahead")
     # whole epochs, then the words left of the target in the order of the keys
     goal = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("ahead") - F.col("before"))))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "hash", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix: each row of docs as often as its text is taken, the last one of a source if half of it is at least.
 
-    Rows with the same doc_id must have the same source and text, as they have after
-    near-duplicates are dropped.
+    Rows with equal id, source and text are taken equally often, as the one that is taken most.
     """
-    own, copies, nth = (S.free_name(docs, n) for n in ("_own", "_copies", "_nth"))
-    taken = mix(docs, doc_id, text, source).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias(copies))
-    wanted = taken.where(F.col(copies) > 0).withColumnRenamed("doc_id", own)
-    repeated = docs.join(wanted, F.col(doc_id).eqNullSafe(F.col(own))).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return repeated.drop(own, copies, nth)
+    names = [S.free_name(docs, n) for n in ("_own", "_source", "_hash", "_copies", "_nth")]
+    own, of, hashed, copies, nth = names
+    taken = mix(docs, doc_id, text, source).where("size > 0").groupBy("doc_id", "source", "hash").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias(copies))
+    wanted = taken.where(F.col(copies) > 0).select(F.col("doc_id").alias(own), F.col("source").alias(of), F.col("hash").alias(hashed), copies)
+    same = F.col(doc_id).eqNullSafe(F.col(own)) & F.col(source).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(hashed))
+    repeated = docs.join(wanted, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return repeated.drop(*names)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -103,7 +111,7 @@ ORACLE = r"""
                FROM ranked WINDOW f AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     even AS (SELECT arg_min(level, nth) AS even FROM filled WHERE level * weight < 2.0 * source_size),
     goals AS (SELECT source, source_size, coalesce(least(2.0 * source_size, even * weight), 2.0 * source_size)::DOUBLE AS target FROM filled, even),
-    ahead AS (SELECT w.doc_id, w.size, g.source_size, g.target, round(g.target)::BIGINT AS goal, coalesce(sum(w.size) OVER (PARTITION BY w.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+    ahead AS (SELECT w.doc_id, w.size, g.source_size, g.target, round(g.target)::BIGINT AS goal, coalesce(sum(w.size) OVER (PARTITION BY w.source ORDER BY key, doc_id, w.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
               FROM weighed w JOIN goals g ON w.source IS NOT DISTINCT FROM g.source),
     parts AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs FROM ahead)
     SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, goal - epochs * source_size - ahead)))::BIGINT AS taken FROM parts"""
