@@ -7,12 +7,16 @@ least cost wins, ties by the language's code point order. The score is the margi
 (second - least) / second; 1 where only one language is known.
 
 Letters are folded to 60 symbols (a-z, and bytes of other letters by their lower five
-bits); everything else separates. Whole texts are parsed, in segments of SEGMENT bytes
-so that many segments advance at once; phrases end where a segment ends.
+bits); everything else separates. Whole texts are parsed. So that a long text doesn't hold
+up the others, its segments of SEGMENT bytes are first read at once, each from the root;
+then each segment is read again from where its predecessor really ended, up to the place
+where both readings agree, until none changes: the phrases are those of one reading from
+the start of the text to its end.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, and so is
-every text where nothing is learned; rows without a language, an id or a text don't
-teach; repeated ids teach once; extra columns, whatever their names, pass through.
+every text where nothing is learned, or the table is empty; rows without a language, an id
+or a text don't teach; repeated ids teach once; very long texts are parsed whole; extra
+columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from . import _spark as S
 
-#: Documents of each language to learn from, about; characters of each, from a place that a hash chooses; bytes of each language.
-SAMPLE, EXCERPT, LEARNED = 200, 2000, 32 << 10
+#: Documents of each language to learn from, about; bytes of each, from a place that a hash chooses; bytes of all languages
+#: together (with more languages each excerpt is shorter); and labels that are learned, the most frequent ones.
+SAMPLE, EXCERPT, LEARNED, LABELS = 200, 320, 512 << 10, 1000
 SEGMENT = 256
 SYMBOLS = 64
 UNKNOWN = "und"
@@ -98,21 +103,41 @@ class Model:
         begin = off[:-1][of] + nth * SEGMENT
         length = np.minimum(SEGMENT, off[1:][of] - begin)
         order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(nth[order] > 0, place[np.maximum(order - 1, 0)], -1)
+        begin, length, of = begin[order], length[order], of[order]
         alive = np.searchsorted(-length, -np.arange(1, SEGMENT + 1), side="right")
-        state = np.repeat(np.array(self.roots, np.uint32)[:, None], len(order), axis=1)
-        count = np.zeros(state.shape, np.uint32)
+        roots = np.repeat(np.array(self.roots, np.uint32)[:, None], len(order), axis=1)
+        read = np.zeros((SEGMENT, *roots.shape), np.uint32)
+        end, begun = roots.copy(), roots
         for t in range(SEGMENT):
             k = int(alive[t])
             if not k:
                 break
-            step = self.table.take(state[:, :k] + symbols[begin[:k] + t])
-            count[:, :k] += step >> np.uint32(31)
-            np.bitwise_and(step, ~MISS, out=state[:, :k])
-        out = np.zeros((len(self.roots), len(sizes)), np.int64)
-        for k in range(len(self.roots)):
-            out[k] = np.bincount(of[order], weights=count[k] + 1, minlength=len(sizes))[: len(sizes)]
-        return out
+            step = self.table.take(end[:, :k] + symbols[begin[:k] + t])
+            read[t, :, :k] = step
+            np.bitwise_and(step, ~MISS, out=end[:, :k])
+        while True:
+            start = np.where(before >= 0, end[:, before], roots)
+            lang, row = np.nonzero(start != begun)
+            if not len(row):
+                break
+            state, begun = start[lang, row], start
+            for t in range(SEGMENT):
+                over = length[row] <= t
+                if over.any():
+                    end[lang[over], row[over]] = state[over]
+                    lang, row, state = lang[~over], row[~over], state[~over]
+                step = self.table.take(state + symbols[begin[row] + t])
+                apart = ((step ^ read[t, lang, row]) & ~MISS) != 0
+                read[t, lang, row] = step
+                lang, row, state = lang[apart], row[apart], (step & ~MISS)[apart]
+                if not len(row):
+                    break
+            end[lang, row] = state
+        count = (read >> np.uint32(31)).sum(0)
+        return np.stack([np.bincount(of, weights=one, minlength=len(sizes))[: len(sizes)] for one in count]).astype(np.int64) + (sizes > 0)
 
     def predict(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of each text's language, and its score."""
@@ -130,19 +155,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict[str, bytes]:
-    """What to learn each language from: excerpts of about `sample` of its labelled documents, LEARNED bytes at most."""
+    """What to learn each language from: excerpts of EXCERPT bytes of about `sample` of its labelled documents.
+
+    The driver holds about `sample` excerpts of each of LABELS languages at most, LEARNED bytes in all.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("doc_id is not null and text is not null and lang is not null")
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).toLocalIterator()}
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS)
+    n = {r["lang"]: r["n"] for r in counted.collect()}
     if not n:
         return {}
+    size = max(1, min(EXCERPT, LEARNED // (len(n) * sample)))
     share = F.element_at(F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, min(1.0, sample / v)))), F.col("lang"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - EXCERPT)) + 1
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - size)) + 1
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < share * (1 << 30))
-    excerpts = chosen.select("lang", "doc_id", F.col("text").substr(place.cast("int"), F.lit(EXCERPT)).alias("text")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    excerpts = chosen.select("lang", "doc_id", F.col("text").substr(place.cast("int"), F.lit(size)).alias("text")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     texts: dict[str, list[bytes]] = {}
     for r in excerpts.orderBy("lang", F.xxhash64("doc_id", F.lit("order"))).toLocalIterator():
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
-    return {k: b" ".join(v)[:LEARNED] for k, v in texts.items() if any(v)}
+        texts.setdefault(r["lang"], []).append(r["text"].encode()[:size])
+    return {k: b" ".join(v) for k, v in texts.items() if any(v)}
 
 
 _MODELS: dict[tuple, Model] = {}

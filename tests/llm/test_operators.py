@@ -133,18 +133,17 @@ def test_languages(odd, small):
 def test_phrases_are_longest_matches():
     texts = {"a": b"the cat sat on the mat and the cat ran", "b": "élan vital été où déjà".encode()}
     model = language.Model(texts)
-    for text in (b"the catsat xx mat", b"", b"zzz", "déjà élan".encode(), b"the cat sat on the mat and " * 30):
+    for text in (b"the catsat xx mat", b"", b"zzz", "déjà élan".encode(), b"the cat sat on the mat and " * 30, b"the cat sat on the mat and the cat ran" * 40, b"on the " + b"catsat" * 200):
         want = []
         for name in model.languages:
-            own, x, n = language._FOLD[np.frombuffer(texts[name], np.uint8)].tobytes(), language._FOLD[np.frombuffer(text, np.uint8)].tobytes(), 0
-            for k in range(0, len(x), language.SEGMENT):
-                match, n = b"", n + 1
-                for c in x[k : k + language.SEGMENT]:
-                    longer = match + bytes([c])
-                    if longer in own:
-                        match = longer
-                    else:
-                        n, match = n + 1, bytes([c]) if bytes([c]) in own else b""
+            own, x, n = language._FOLD[np.frombuffer(texts[name], np.uint8)].tobytes(), language._FOLD[np.frombuffer(text, np.uint8)].tobytes(), int(len(text) > 0)
+            match = b""
+            for c in x:
+                longer = match + bytes([c])
+                if longer in own:
+                    match = longer
+                else:
+                    n, match = n + 1, bytes([c]) if bytes([c]) in own else b""
             want.append(n)
         got = model.phrases(language._FOLD[np.frombuffer(text, np.uint8)], np.array([0, len(text)]))[:, 0].tolist()
         assert got == want
