@@ -8,8 +8,11 @@ a node keeps its nearest neighbours that are nearer to it than to one another, a
 links back to it, up to a fixed number. (Neighbour lists are found exactly, in blocks,
 inside the bounded shard, rather than by one insertion after the other.)
 
-Queries are packed into blocks; each block meets each shard, descends the levels and
-widens a beam of BEAM nodes on the lowest. The shards' results are merged by score.
+Queries are packed into blocks; each block meets each shard of its dimension, descends the
+levels and widens a beam of BEAM nodes on the lowest. The shards' results are merged by
+score. Work grows as queries times shards. A choice of shards by coarse centroids was
+measured and left out: of vectors without clusters, a quarter of the rows, those nearest by
+centroid, hold just 0.6 of the 20 nearest.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
 take no part; vectors meet only those of their own length; equal vectors are one node,
@@ -35,7 +38,7 @@ from . import _bytes as B
 from . import _spark as S
 
 #: Rows of a shard, about, and queries of a block.
-SHARD, BLOCK = 8192, 512
+SHARD, BLOCK = 16384, 512
 #: Links of a node that are chosen, links at most, candidates for them, one in LEVEL rises a level.
 LINKS, MOST, CANDIDATES, LEVEL = 16, 32, 40, 16
 BEAM = 128
@@ -210,15 +213,20 @@ class Shard:
         return r[keep], vec[keep], score[keep]
 
 
-def index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
-    """A row for each shard of vectors (vec_id, vector), as INDEX has it."""
+def index(vectors: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, dict[int, int]]:
+    """A row for each shard of vectors (vec_id, vector), as INDEX has it, and how many shards each length of vectors has."""
     sized = vectors.withColumn("dims", F.size("vector"))
-    n = {r["dims"]: r["n"] for r in sized.groupBy("dims").agg(F.count("*").alias("n")).toLocalIterator()}  # a row for each length of vectors
+    n = {r["dims"]: r["n"] for r in sized.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
+    counts = {d: max(1, round(m / shard)) for d, m in n.items()}
     if not n:
-        return vectors.sparkSession.createDataFrame([], INDEX)
-    shards = F.element_at(F.create_map(*(F.lit(x) for d, m in n.items() for x in (d, max(1, round(m / shard))))), F.col("dims"))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), shards).cast("int"))
-    return S.cut(dealt.groupBy("dims", "shard").applyInPandas(build(k), INDEX))
+        return vectors.sparkSession.createDataFrame([], INDEX), counts
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), shards_of(counts)).cast("int"))
+    return S.cut(dealt.groupBy("dims", "shard").applyInPandas(build(k), INDEX)), counts
+
+
+def shards_of(counts: dict[int, int]) -> Column:
+    """The number of shards of the row's `dims`."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in counts.items() for x in pair)), F.col("dims"))
 
 
 def blocks(queries: DataFrame) -> DataFrame:
@@ -248,9 +256,10 @@ def blocks(queries: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k nearest rows found."""
     rows = lambda df, name: df.where(usable(F.col(vector))).select(F.col(vec_id).cast("long").alias(name), F.col(vector).cast("array<double>").alias("vector")).where(F.col(name).isNotNull())
-    graph = index(rows(vectors, "vec_id"), k, shard)
-    asked = S.cut(blocks(rows(queries, "query_id").dropDuplicates()))
-    pairs = asked.join(graph.select("dims", "shard"), "dims").join(graph, ["dims", "shard"])
+    graph, counts = index(rows(vectors, "vec_id"), k, shard)
+    asked = S.cut(blocks(rows(queries, "query_id").dropDuplicates())).where(F.col("dims").isin(list(counts)))
+    every = F.sequence(F.lit(0), shards_of(counts) - 1) if counts else F.array().cast("array<int>")
+    pairs = asked.withColumn("shard", F.explode(every)).join(graph, ["dims", "shard"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
