@@ -83,7 +83,7 @@ def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: i
         last = same.join(open_, F.col("hash") == F.col("fine"), "left_semi").select(F.lit(BITS).alias("depth"), F.col("hash").alias("prefix"), F.col("n_bytes").alias("shard_bytes"), F.col("n_docs").alias("shard_docs"))
         leaves = leaves.unionByName(last)
     leaves = S.cut(leaves)
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().toLocalIterator())  # BITS at most
+    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # BITS at most
     # each hash looks for its leaf at every depth that leaves have
     tried = F.array(*(F.struct(F.lit(d).alias("depth"), prefix(F.col("hash"), d).alias("prefix")) for d in depths or [0]))
     hashes = same.select("hash", F.explode(tried).alias("at")).select("hash", "at.*")
