@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by sampled suffixes.
+"""Removal of repeated byte strings by suffixes sampled at a difference cover.
 
 Every byte covered by a string of LENGTH bytes that also starts elsewhere is removed.
 
@@ -6,22 +6,30 @@ Every byte covered by a string of LENGTH bytes that also starts elsewhere is rem
    strings of LENGTH bytes, some position less than MODULUS bytes on is sampled in both,
    and LENGTH - MODULUS + 1 bytes from there lie in both. These tuples get names, which
    are dealt to buckets and sorted; names next to an equal one are repeated.
-2. Recurse: what starts within reach of no repeated tuple is done. Of the texts that
-   have some, the starts in reach of one are kept as runs.
+2. What starts within reach of no repeated tuple is done. A tuple and the bytes before it
+   make up a whole string of LENGTH bytes, so names of names, the recursion of a complete
+   suffix order, have nothing left to tell. Of the texts that have repeated tuples, the
+   starts in reach of one are kept as runs.
 3. Merge: the remaining suffixes meet by the least hash of the GRAM-byte strings in
    their first LENGTH bytes, so that a run travels as one piece of text, not as a name
-   for each start. In each bucket they are sorted by their first LENGTH bytes, and
-   neighbours are compared.
+   for each start. In each bucket they are put in the order of the names of their first
+   LENGTH bytes, and neighbours with one name are compared byte by byte.
+
+So this is not a complete suffix array: suffixes are ordered by names, not by their bytes,
+and only as far as LENGTH bytes. A complete order takes records of 16 bytes or more for
+each byte of text in every round of sorting, which no limit on disk of a few times the
+input allows.
 
 Texts are known by their hash. Equal texts are one text that is repeated as a whole.
 Hashes that hold more than a thousandth of all pieces are not gathered: there, each
-start is sent by the name of its string, once for each cell of texts.
+start is sent by two names of its string, 128 bits, once for each cell of texts.
 
 Defined cases: null texts are empty; texts shorter than LENGTH stay as they are;
 overlaps of a string with itself count; repeated rows are removed in all copies, the
-first included; empty tables give empty results; extra columns are not read. Names are
-64-bit hashes, compared inside their bucket. Memory: a slab of texts or the longest
-text, or a bucket of about BUCKET bytes of pieces.
+first included; empty tables give empty results; very long texts are whole, one in a
+task's memory at a time; extra columns, whatever their names, are not read. Names of
+samples only choose what is compared. Memory: a slab of texts or the longest text, or a
+bucket of about BUCKET bytes of pieces.
 """
 
 from __future__ import annotations
@@ -46,7 +54,7 @@ TUPLE = LENGTH - MODULUS + 1
 GRAM = 16
 #: Bytes of text in a slab of samples and in a cell, and of text or of pieces for each bucket.
 SLAB, CELL, TEXT_BUCKET, BUCKET = 8 << 20, 2 << 20, 16 << 20, 8 << 20
-_VALUE = B.byte_values(21)
+_VALUE, _SECOND = B.byte_values(21), B.byte_values(22)
 _AT = np.full(MODULUS, -1)
 _AT[COVER] = np.arange(len(COVER))
 
@@ -54,9 +62,9 @@ _AT[COVER] = np.arange(len(COVER))
 class Names:
     """Names of strings in a buffer, by the sums of its bytes' values."""
 
-    def __init__(self, buf: np.ndarray) -> None:
+    def __init__(self, buf: np.ndarray, values: np.ndarray = _VALUE) -> None:
         self.sums = np.zeros(len(buf) + 1, B.U64)
-        np.cumsum(_VALUE[buf] * B.power_table(B.BASE, len(buf)), out=self.sums[1:])
+        np.cumsum(values[buf] * B.power_table(B.BASE, len(buf)), out=self.sums[1:])
         self.inverse = B.power_table(B.INVERSE, len(buf) + 1)
 
     def at(self, starts: np.ndarray, n: int) -> np.ndarray:
@@ -200,7 +208,8 @@ def _repeated_samples(table: pa.Table) -> pa.Table:
 def repeated_samples(texts: DataFrame) -> DataFrame:
     """(key, at): ordinals of repeated samples of texts (key, text), a text's in several rows and perhaps several times."""
     total = texts.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    asked = texts.mapInArrow(_samples(max(32, -(-total // TEXT_BUCKET))), SAMPLES)
+    buckets = max(32, -(-total // TEXT_BUCKET))
+    asked = texts.mapInArrow(_samples(buckets), SAMPLES).repartition(buckets, "bucket")
     return S.written(asked.groupBy("bucket").applyInArrow(_repeated_samples, "key long, at array<int>"))
 
 
@@ -274,7 +283,8 @@ class Cell:
         self.bucket, self.starts, self.lengths = bucket[self.runs], starts[self.runs], lengths[self.runs]
         self.hot_starts = self.spread(starts[warm], lengths[warm])
         if len(self.hot_starts):
-            self.names, self.which, self.count = np.unique(Names(self.buf).at(self.hot_starts, LENGTH), return_inverse=True, return_counts=True)
+            self.names, first, self.which, self.count = np.unique(Names(self.buf).at(self.hot_starts, LENGTH), return_index=True, return_inverse=True, return_counts=True)
+            self.second = Names(self.buf, _SECOND).at(self.hot_starts[first], LENGTH)
             self.name_bucket = (self.names % B.U64(buckets)).astype(np.int64)
             self.by_name = np.argsort(self.name_bucket, kind="stable")
 
@@ -310,7 +320,7 @@ def _pieces(hot, buckets: int):
                 by = cell.name_bucket[cell.by_name]
                 for b in np.unique(by).tolist():
                     own = cell.by_name[np.searchsorted(by, b) : np.searchsorted(by, b, "right")]
-                    out.append((b, name, True, b"", cell.names[own].tobytes()))
+                    out.append((b, name, True, cell.second[own].tobytes(), cell.names[own].tobytes()))
             if out:
                 kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in PIECES.split(", ")])
@@ -318,6 +328,32 @@ def _pieces(hot, buckets: int):
     return of
 
 
+def _same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH bytes at a and at b are equal, place by place."""
+    words = np.lib.stride_tricks.sliding_window_view(text, 8)
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), 1 << 18):
+        x, y, own = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)], out[lo : lo + (1 << 18)]
+        for k in range(0, LENGTH, 8):
+            own &= (words[x + k].view(B.U64) == words[y + k].view(B.U64)).ravel()
+    return out
+
+
+def _repeated(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which of the strings of LENGTH bytes at `starts` are there twice or more."""
+    names = Names(text).at(starts, LENGTH)
+    order = np.argsort(names, kind="stable")
+    equal = np.flatnonzero(names[order][1:] == names[order][:-1])
+    same = _same_bytes(text, starts[order[equal]], starts[order[equal + 1]])
+    yes = np.zeros(len(starts), bool)
+    yes[order[equal[same]]] = yes[order[equal[same] + 1]] = True
+    for name in np.unique(names[order[equal[~same]]]):  # different strings of one name
+        own = np.flatnonzero(names == name)
+        strings = [text[s : s + LENGTH].tobytes() for s in starts[own].tolist()]
+        yes[own] = [strings.count(x) > 1 for x in strings]
+    return yes
+
+
 def _answers(table: pa.Table) -> pa.Table:
     """For each row of a bucket, bits that tell which of its starts, or names, are repeated."""
     rows = [{c: table.column(c)[k] for c in table.column_names} for k in range(len(table))]
@@ -327,20 +363,24 @@ def _answers(table: pa.Table) -> pa.Table:
         if not own:
             continue
         if named:
-            each = [np.frombuffer(r["data"].as_buffer(), B.U64) for r in own]
+            sizes = [len(r["data"].as_buffer()) // 8 for r in own]
+            names, second = (np.concatenate([np.frombuffer(r[c].as_buffer(), B.U64) for r in own]) for c in ("data", "lengths"))
+            order = np.lexsort((second, names))
+            equal = (names[order][1:] == names[order][:-1]) & (second[order][1:] == second[order][:-1])
+            yes = np.zeros(len(names), bool)
+            yes[order[1:]] |= equal
+            yes[order[:-1]] |= equal
         else:
-            unpack, each = zstandard.ZstdDecompressor(), []
+            unpack, texts, starts, at = zstandard.ZstdDecompressor(), [], [], 0
             for r in own:
                 text, lengths = np.frombuffer(unpack.decompress(r["data"].as_py()), np.uint8), unzipped(r["lengths"].as_py())
                 whole = lengths + LENGTH - 1
-                each.append(Names(text).at(Cell.spread(np.cumsum(whole) - whole, lengths), LENGTH))
-        names = np.concatenate(each)
-        order = np.argsort(names, kind="stable")
-        equal = names[order][1:] == names[order][:-1]
-        yes = np.zeros(len(names), bool)
-        yes[order[1:]] |= equal
-        yes[order[:-1]] |= equal
-        for r, bits in zip(own, np.split(yes, np.cumsum([len(e) for e in each])[:-1]), strict=True):
+                texts.append(text)
+                starts.append(at + Cell.spread(np.cumsum(whole) - whole, lengths))
+                at += len(text)
+            sizes = [len(s) for s in starts]
+            yes = _repeated(np.concatenate(texts), np.concatenate(starts))
+        for r, bits in zip(own, np.split(yes, np.cumsum(sizes)[:-1]), strict=True):
             out.append((r["cell"].as_py(), r["bucket"].as_py(), named, np.packbits(bits).tobytes()))
     kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
     return pa.table([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["cell", "bucket", "named", "bits"])
@@ -405,7 +445,7 @@ def repeats_of(texts: DataFrame) -> DataFrame:
     least = max(1000, n_pieces // 1000)
     hot = spark.sparkContext.broadcast(np.array([r["least"] for r in pieces.where(F.col("n") > least).select("least").collect()], np.int64).view(B.U64))  # a thousand at most
     buckets = max(64, -(-(n_starts + LENGTH * n_pieces) // BUCKET))
-    asked = cells.select("cell", "text", "starts", "lengths", "least").mapInArrow(_pieces(hot, buckets), PIECES)
+    asked = cells.select("cell", "text", "starts", "lengths", "least").mapInArrow(_pieces(hot, buckets), PIECES).repartition(buckets, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(_answers, "cell long, bucket int, named boolean, bits binary")
     answers = answers.groupBy("cell").agg(F.collect_list(F.struct("bucket", "named", "bits")).alias("answers"))
     return S.written(cells.join(answers, "cell").drop("n_starts").mapInArrow(_removed(hot, buckets), RESULT))
