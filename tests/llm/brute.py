@@ -96,6 +96,32 @@ def base_scores(docs):
     return {i: (len(w), sum(count[x] > 0 for x in w), n, sum(math.log10(count[x] + 0.5) - whole for x in w)) for i, t in docs for w in [[*words(t), None]]}
 
 
+def class_scores(docs, class_of, classes, prior):
+    """{doc_id: score} by class bigrams over the training texts; class_of gives a word's class, None if it was seen once or never."""
+    kind = lambda w: 1 if w[-1].isdigit() and w[-1].isascii() else 0 if not w[-1].isascii() or w[-1].isalpha() else 2
+    code = lambda w: classes if w is None else classes + 1 + kind(w) if class_of(w) is None else class_of(w)
+    texts = [[*words(t), None] for i, t in docs if not held_out(i, 1)]
+    count = Counter(w for t in texts for w in t)
+    pairs, width = Counter(), classes + 4
+    for t in texts:
+        codes = [classes, *map(code, t)]
+        pairs.update(zip(codes[:-1], codes[1:], strict=True))
+    mass = [0.5 * (c > classes) for c in range(width)]
+    for w, n in count.items():
+        mass[code(w)] += n + 0.5
+    whole = max(sum(mass), 0.5)
+    before = Counter()
+    for (a, _), n in pairs.items():
+        before[a] += n
+    follow = lambda a, b: max((pairs[a, b] + prior * mass[b] / whole) / (before[a] + prior), 1e-300)
+    out = {}
+    for i, t in docs:
+        tokens = [*words(t), None]
+        codes = [classes, *map(code, tokens)]
+        out[i] = sum(math.log10(follow(a, b)) + math.log10(count[w] + 0.5) - math.log10(max(mass[b], 0.5)) for a, b, w in zip(codes[:-1], codes[1:], tokens, strict=True))
+    return out
+
+
 def tokens(docs, path):
     """(doc_id, start, n_tokens, ids_crc32) of rows with distinct ids."""
     from tokenizers import Tokenizer
