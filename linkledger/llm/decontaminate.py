@@ -9,11 +9,14 @@ benchmark's windows.
 
 Fingerprints of training texts are joined with those of the benchmark inside the scan,
 against a broadcast part of the benchmark of at most `part_windows` windows. A larger
-benchmark is read in several such parts, one scan each, and hits are merged by row.
+benchmark is read in several such parts, one scan each, and hits are merged by row. Parts
+are dealt by item and window, so neither a long item nor a window of many items makes one large.
 
 Defined cases: null or wordless texts have no words and are never contaminated; an
-empty benchmark hits nothing; items with the same text are all reported; repeated rows
-get equal results; other columns of the documents pass through, whatever their names.
+empty benchmark hits nothing, and an empty table gives an empty result; items with the
+same text are all reported; items without id or text are left out; repeated rows get equal
+results; very long texts are read whole; other columns of the documents pass through,
+whatever their names.
 Memory: one slab of texts, or the longest document, beside the broadcast part.
 """
 
@@ -32,7 +35,7 @@ from . import _bytes as B
 from . import _spark as S
 
 WINDOW, GRAM = 13, 5
-#: Windows in one broadcast part: 24 bytes each, so 24 MB.
+#: Windows in one broadcast part, about: 32 bytes each, so 32 MB.
 PART_WINDOWS = 1_000_000
 #: Fixed value: bytes that are no part of a word.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -59,7 +62,9 @@ def fingerprints(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     return smallest(B.spans_of(hashes, gram), window - gram + 1)
 
 
-def _windows(window: int):
+def _windows(window: int, gram: int):
+    """The distinct windows of each item, with the fingerprints of full ones."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = B.text_bytes(batch.column(1))
@@ -72,24 +77,9 @@ def _windows(window: int):
                     own = hashes[first[d] : first[d + 1]]
                     n = min(window, len(own))
                     if n:
-                        spans = np.unique(B.spans_of(own, n))
-                        yield pa.record_batch([pa.array(np.full(len(spans), ids[lo + d])), pa.array(np.full(len(spans), n, np.int32)), pa.array(spans.view(np.int64)), pa.array(np.full(len(spans), 0, np.int64))], ["item_id", "n", "span", "x"])
-
-    return of
-
-
-def _prints(window: int, gram: int):
-    """The distinct fingerprints of the items' full windows."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = B.text_bytes(batch.column(0))
-            for lo, hi in B.slabs(off):
-                part, inner = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                starts, ends, first = WORDS.find(part, inner)
-                hashes = WORDS.hash(part, starts, ends)
-                found = [fingerprints(hashes[first[d] : first[d + 1]], window, gram) for d in range(hi - lo)]
-                yield pa.record_batch([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["print"])
+                        spans, at = np.unique(B.spans_of(own, n), return_index=True)
+                        prints = fingerprints(own, window, gram)[at].view(np.int64) if n == window else np.zeros(len(spans), np.int64)
+                        yield pa.record_batch([pa.array(np.full(len(spans), ids[lo + d])), pa.array(np.full(len(spans), n, np.int32)), pa.array(spans.view(np.int64)), pa.array(prints)], ["item_id", "n", "span", "print"])
 
     return of
 
@@ -173,13 +163,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, result: str, text: str = "t
     """docs with a column `result`: n_words, hit word ranges (starts, ends) and the items with occurring windows, ascending."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    windows = S.cut(items.mapInArrow(_windows(window), "item_id long, n int, span long, x long").select("item_id", "n", "span").distinct())
+    windows = S.cut(items.mapInArrow(_windows(window, gram), "item_id long, n int, span long, print long").distinct())
     parts = max(1, -(-windows.count() // part_windows))
-    part_of = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    part_of = F.pmod(F.xxhash64("item_id", "span"), F.lit(parts))
     found = None
     for k in range(parts):
-        prints = items.where(part_of == k).select("text").mapInArrow(_prints(window, gram), "print long").distinct().toPandas()["print"].to_numpy(np.int64)
-        own = windows.where(part_of == k).toPandas()
+        own = windows.where(part_of == k).toPandas()  # part_windows rows, about
+        prints = np.unique(own.loc[own["n"] == window, "print"].to_numpy(np.int64))
         tables = {}
         for n, rows in own.groupby("n"):
             spans, ids = rows["span"].to_numpy(np.int64).view(B.U64), rows["item_id"].to_numpy(np.int64)
