@@ -1,13 +1,13 @@
 """Sharding by extendible hashing.
 
-A directory is indexed by the leading bits of each document's hash. It begins with as
-many bits as shards of the limit would need if all were full, and only buckets above the
-byte limit split on one more bit, until every shard fits. Sizes are summed once for
-prefixes some bits finer than the directory, and buckets are sums of those; documents
-are read again for finer prefixes only where a bucket is still too large.
-
-Defined cases: a null text has 0 bytes; a document that is longer than the limit is a
-shard of its own as soon as bits tell it from others; rows with one and the same id get
+A directory is indexed by the leading bits of each document's hash. It begins with one
+bucket, and only buckets above the byte limit split on one more bit, until every shard
+fits. Sizes are summed once for prefixes some bits finer than shards of the limit would
+need if all were full, and all buckets above are sums of those; documents are read again
+for finer prefixes only where a bucket is still too large.
+
+Defined cases: a null text has 0 bytes; a document that is longer than the limit, however
+long, is a shard of its own as soon as bits tell it from others; rows with one and the same id get
 an ordinal in their hash where together they exceed the limit, so they can split too; an
 empty table gives an empty result; other columns, whatever their names, pass through.
 Directories are tables, and rows reach their shard by a join on the prefix.
@@ -43,7 +43,7 @@ def directory(sizes: DataFrame, depth: int, finest: int, limit: int) -> tuple[Da
     levels = levels.groupBy("depth", F.expr(f"shiftright(fine, {finest} - depth)").alias("prefix")).agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_docs").alias("shard_docs"))
     levels = levels.withColumn("fits", (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1))
     above = levels.where("not fits").select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-    # a leaf fits and its parent doesn't, or it is at the directory's first depth
+    # a leaf fits and its parent doesn't, or it is at the first depth
     leaves = levels.where("fits").join(above, ["depth", "prefix"], "left_semi").unionByName(levels.where(F.col("fits") & (F.col("depth") == depth)))
     return leaves.drop("fits"), levels.where(~F.col("fits") & (F.col("depth") == finest)).select(F.col("prefix").alias("fine"))
 
@@ -64,21 +64,18 @@ def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: i
         rows = S.cut(rows.join(large, hashed, "left_anti").unionByName(again))
         same = S.cut(rows.select(F.col(hashed).alias("hash"), F.col(size).alias("n_bytes")).groupBy("hash").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_docs")))
     total = same.agg(F.sum("n_bytes")).first()[0] or 0
-    depth = max(0, math.floor(math.log2(max(1, total / limit))))
-    leaves, open_, start = None, None, depth
+    # the finest prefixes of the first round are FINER bits beyond full shards
+    leaves, open_, start, finest = None, None, 0, min(BITS, max(0, math.floor(math.log2(max(1, total / limit)))) + FINER)
     while True:
-        finest = min(BITS, start + FINER)
         sizes = same if open_ is None else same.withColumn("coarse", prefix(F.col("hash"), start)).join(open_, F.col("coarse") == F.col("fine"), "left_semi")
         sizes = sizes.groupBy(prefix(F.col("hash"), finest).alias("fine")).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_docs").alias("n_docs"))
         found, open_ = directory(S.cut(sizes), start, finest, limit)
-        if open_ is not None and start > depth:
-            found = found.where(F.col("depth") > start)
-        found = S.cut(found)
+        found = S.cut(found.where(F.col("depth") > start) if start else found)
         leaves = found if leaves is None else leaves.unionByName(found)
         open_ = S.cut(open_)
         if finest == BITS or open_.isEmpty():
             break
-        start = finest
+        start, finest = finest, min(BITS, finest + FINER)
     if finest == BITS:  # hashes that no bit tells apart
         last = same.join(open_, F.col("hash") == F.col("fine"), "left_semi").select(F.lit(BITS).alias("depth"), F.col("hash").alias("prefix"), F.col("n_bytes").alias("shard_bytes"), F.col("n_docs").alias("shard_docs"))
         leaves = leaves.unionByName(last)
@@ -97,11 +94,14 @@ def op5_sharding(spark, sf_dir: str) -> DataFrame:
     return shards(docs).drop("text")
 
 
-ORACLE = f"""
+def oracle(limit: int = LIMIT) -> str:
+    """The same as SQL, for any limit."""
+    return f"""
     WITH docs AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS hash FROM documents),
-    first AS (SELECT greatest(0, floor(log2(greatest(1, sum(n_bytes) / {LIMIT}.0))))::INT AS first FROM docs),
-    levels AS (SELECT d AS depth, hash >> ({BITS} - d) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM docs, range(0, {BITS} + 1) r(d), first WHERE d >= first GROUP BY ALL),
-    leaves AS (SELECT prefix, depth, shard_bytes, shard_docs FROM levels WHERE shard_bytes <= {LIMIT} OR shard_docs = 1 OR depth = {BITS}),
+    levels AS (SELECT d AS depth, hash >> ({BITS} - d) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM docs, range(0, {BITS} + 1) r(d) GROUP BY ALL),
+    leaves AS (SELECT prefix, depth, shard_bytes, shard_docs FROM levels WHERE shard_bytes <= {limit} OR shard_docs = 1 OR depth = {BITS}),
     found AS (SELECT doc_id, n_bytes, arg_min(l, depth) AS l FROM docs JOIN leaves l ON prefix = hash >> ({BITS} - depth)::INT GROUP BY ALL)
     SELECT doc_id, n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(l.prefix), l.depth::INT, '0') END AS shard, l.depth::INT AS depth, l.shard_bytes AS shard_bytes, l.shard_docs AS shard_docs FROM found"""
-ORACLES = {"op5_sharding": ORACLE}
+
+
+ORACLES = {"op5_sharding": oracle()}

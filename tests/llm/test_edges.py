@@ -58,7 +58,15 @@ def test_near_duplicates(rows):
 
 
 def test_secrets(rows):
-    assert secrets.scan(rows, "found").count() == 9
+    got = secrets.scan(rows.withColumn("_base", F.lit("clash")).withColumn("found", F.lit("clash")), "_found")
+    assert got.count() == 9 and {"_base", "found"} <= set(got.columns)
+    assert secrets.scan(rows.where("false"), "found").collect() == []
+
+
+def test_empty_tables(rows):
+    none = rows.where("false")
+    assert near_duplicates.near_duplicates(none).collect() == [] and mixing.mix(none).collect() == [] and sharding.shards(none).collect() == []
+    assert decontaminate.find_hits(none, rows.select(F.col("doc_id").alias("item_id"), "text"), "h").collect() == []
 
 
 def test_mixing(rows):

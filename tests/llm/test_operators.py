@@ -187,6 +187,19 @@ def test_shards(odd, small):
     assert sharding.shards(odd.where("false")).collect() == []
 
 
+def test_shards_split_as_sql_says(small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for limit in (3000, 20_000, 1 << 40):
+        want = con.execute(sharding.oracle(limit)).fetchall()
+        columns = ["doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs"]
+        got = rows(sharding.shards(small, limit=limit), *columns)
+        assert got == sorted(want, key=str)
+        assert (len({r[2] for r in got}) > 8) == (limit < 1 << 40)
+
+
 def test_rows_of_one_id_split(spark):
     docs = spark.createDataFrame([(7, "x" * 100)] * 300 + [(8, "y")], "doc_id long, text string")
     by = sharding.shards(docs, limit=1000).groupBy("shard").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).collect()
