@@ -45,6 +45,8 @@ FREQUENT = 1 << 18
 KINDS = 3
 END = CLASSES
 WIDTH = CLASSES + 1 + KINDS
+#: Of a number below twice WIDTH.
+SLOT = "u1" if 2 * WIDTH <= 256 else "<u2"
 PRIOR = 30.0
 WORDS = B.Words(B.SPACES, seed=10)
 #: The end's hash; no word has a kind of 3.
@@ -152,54 +154,71 @@ def _as_class(table: Table, hashes, kinds, more):
     return table.classes_of(table.find(hashes), hashes, kinds, more)
 
 
+CONTEXTS = "bucket int, words binary, lengths binary, slots binary, counts binary, pair long, n long"
+
+
 def context_counts(texts: DataFrame, known, buckets: int) -> DataFrame:
-    """(bucket, words, slots, counts): how often words stand before and after each class, packed.
+    """CONTEXTS: how often words stand before and after each class, packed; and, without bucket, the class bigrams (pair, n).
 
     Slot c is class c after the word, WIDTH + c is class c before it. A word's counts are in
     the bucket of its hash. Words of the table are counted, or, where `known` says so, all others.
     """
     beyond = known.value[1]
+    slots_of = 2 * WIDTH
+    names = [c.split()[0] for c in CONTEXTS.split(", ")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value[0]
-        held, size = [], 0
+        held, size, joint = [], 0, np.zeros(WIDTH * WIDTH, np.int64)
 
         def packed() -> Iterator[pa.RecordBatch]:
             words, slots, counts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            words = words if beyond else table.hashes[words.astype(np.int64)]
             bucket = (B.mix(words) % B.U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             words, slots, counts, bucket = words[order], slots[order], counts[order], bucket[order]
             for b in np.unique(bucket).tolist():
                 own = slice(np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right"))
                 new = np.flatnonzero(np.diff(words[own], prepend=~words[own][:1]))
-                data = [words[own][new], np.diff(np.append(new, len(words[own]))).astype("<u2"), slots[own].astype(np.uint8 if 2 * WIDTH <= 256 else "<u2"), counts[own].astype("<u4")]
-                yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes())], pa.binary()) for x in data)], ["bucket", "words", "lengths", "slots", "counts"])
+                data = [words[own][new], np.diff(np.append(new, len(words[own]))).astype("<u2"), slots[own].astype(SLOT), counts[own].astype("<u4")]
+                yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes())], pa.binary()) for x in data), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
 
         for batch in batches:
             more = more_words(batch.column(1))
             for _, _, hashes, kinds, first in word_slabs(batch.column(0)):
                 rows = table.find(hashes)
                 chain = with_ends(table.classes_of(rows, hashes, kinds, more), first, END)
+                joint += np.bincount(chain[:-1] * WIDTH + chain[1:], minlength=WIDTH * WIDTH)
                 at = np.arange(len(hashes)) + np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1
                 own = np.flatnonzero((rows < 0) == beyond)
-                words, slots = np.concatenate([hashes[own], hashes[own]]), np.concatenate([chain[at[own] + 1], WIDTH + chain[at[own] - 1]])
-                held.append(summed(words, slots, np.ones(len(words), np.int64)))
+                slots = np.concatenate([chain[at[own] + 1], WIDTH + chain[at[own] - 1]])
+                if beyond:
+                    held.append(summed(np.tile(hashes[own], 2), slots, np.ones(len(slots), np.int64)))
+                else:  # a word and a slot as one number
+                    keys, n = np.unique(np.tile(rows[own], 2) * slots_of + slots, return_counts=True)
+                    held.append(((keys // slots_of).astype(B.U64), keys % slots_of, n))
                 size += len(held[-1][0])
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield from packed()
                     held, size = [], 0
         if size:
             yield from packed()
+        pairs = np.flatnonzero(joint)
+        yield pa.record_batch([*(pa.nulls(len(pairs), kind) for kind in (pa.int32(), *[pa.binary()] * 4)), pa.array(pairs), pa.array(joint[pairs])], names)
 
-    return texts.mapInArrow(count, "bucket int, words binary, lengths binary, slots binary, counts binary")
+    return texts.mapInArrow(count, CONTEXTS)
 
 
 def summed(words: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (word, slot), ascending, with the sums of their counts."""
-    order = np.lexsort((slots, words))
-    words, slots = words[order], slots[order]
-    new = np.concatenate([[True], (words[1:] != words[:-1]) | (slots[1:] != slots[:-1])]) if len(words) else np.zeros(0, bool)
-    return words[new], slots[new], np.add.reduceat(counts[order], np.flatnonzero(new)) if len(words) else counts
+    if not len(words):
+        return words, slots, counts
+    own, of = np.unique(words, return_inverse=True)
+    keys = of * (2 * WIDTH) + slots
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return own[keys[new] // (2 * WIDTH)], keys[new] % (2 * WIDTH), np.add.reduceat(counts[order], new)
 
 
 def best_classes(words: np.ndarray, slots: np.ndarray, counts: np.ndarray, current: np.ndarray, joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +258,7 @@ def _moved(known, joint: np.ndarray):
     def moved(rows: pa.Table) -> pa.Table:
         table = known.value[0]
         words = np.repeat(unpacked(rows["words"], "<u8"), unpacked(rows["lengths"], "<u2"))
-        words, slots, counts = summed(words, unpacked(rows["slots"], "u1" if 2 * WIDTH <= 256 else "<u2").astype(np.int64), unpacked(rows["counts"], "<u4").astype(np.int64))
+        words, slots, counts = summed(words, unpacked(rows["slots"], SLOT).astype(np.int64), unpacked(rows["counts"], "<u4").astype(np.int64))
         starts = np.flatnonzero(np.diff(words, prepend=~words[:1]))
         n = np.add.reduceat(np.where(slots < WIDTH, counts, 0), starts)
         at = table.find(words[starts])
@@ -258,8 +277,10 @@ def _moved(known, joint: np.ndarray):
 def exchanged(texts: DataFrame, table: Table, beyond: bool, buckets: int) -> DataFrame:
     """(hash, class, n) of the table's words, or of all others seen twice or more, each in the class that fits it best."""
     known = texts.sparkSession.sparkContext.broadcast((table, beyond))
-    joint = dense(bigram_counts(texts, texts.sparkSession.sparkContext.broadcast(table), WIDTH, _as_class), WIDTH)
-    return context_counts(texts, known, buckets).groupBy("bucket").applyInArrow(_moved(known, joint), "hash long, class int, n long")
+    contexts = S.written(context_counts(texts, known, buckets))
+    joint = dense(contexts.where("bucket is null").groupBy("pair").agg(F.sum("n").alias("n")), WIDTH)
+    packed = contexts.where("bucket is not null").select("bucket", "words", "lengths", "slots", "counts")
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_moved(known, joint), "hash long, class int, n long")
 
 
 def dense(pairs: DataFrame, width: int) -> np.ndarray:
