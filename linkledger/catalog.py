@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import changes, discovery, links, messages, migration, names, redaction, reports, rules, similarity, snapshots, trees, usage, visits
+from .operators import addresses, changes, discovery, links, merges, messages, migration, names, redaction, reports, rules, similarity, snapshots, trees, usage, values, visits
 
-_MODULES = (links, names, changes, visits, rules, reports, migration, similarity, redaction, trees, discovery, messages, snapshots, usage)
+_MODULES = (links, names, changes, visits, rules, reports, migration, similarity, redaction, trees, discovery, messages, snapshots, usage, addresses, values, merges)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -41,20 +41,20 @@ def plain(x: Column) -> Column:
     return T.collapse(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
 
 
-def anchors(pages: DataFrame, key: str = "page_id", body: str = "html") -> DataFrame:
-    """A row for each anchor: key, pos (from 0), href, onclick, data_href, data_url, title, class_name, file_name, text and row_text.
+def anchors(pages: DataFrame, kept: list[str], body: str = "html") -> DataFrame:
+    """A row for each anchor: the kept columns, pos (from 0), href, onclick, data_href, data_url, title, class_name, file_name, text and row_text.
 
     row_text is the text of the table row around an anchor if that row has exactly one
     anchor with data-file-name; without such a row it is the anchor's own text.
     """
     rows = F.filter(F.regexp_extract_all(F.col(body), F.lit(ROW), F.lit(0)), lambda r: F.size(F.regexp_extract_all(r, F.lit("(?i)data-file-name="), F.lit(0))) == 1)
     of_rows = F.transform(rows, lambda r: F.struct(F.regexp_extract(r, ANCHOR, 0).alias("anchor"), plain(r).alias("text")))
-    found = pages.select(F.col(key), of_rows.alias("rows"), F.col(body).alias("body")).select(key, "rows", F.posexplode(F.regexp_extract_all("body", F.lit(ANCHOR), F.lit(0))).alias("pos", "anchor"))
+    found = pages.select(*kept, of_rows.alias("rows"), F.col(body).alias("body")).select(*kept, "rows", F.posexplode(F.regexp_extract_all("body", F.lit(ANCHOR), F.lit(0))).alias("pos", "anchor"))
     head, text = F.regexp_extract("anchor", ANCHOR, 1), plain(F.regexp_extract("anchor", ANCHOR, 2))
     row = F.get(F.filter("rows", lambda r: r["anchor"] == F.col("anchor")), F.lit(0))["text"]
-    values = found.select(key, "pos", *(attribute(head, a).alias(n) for a, n in (("href", "href"), ("onclick", "onclick"), ("data-href", "data_href"), ("data-url", "data_url"), ("title", "title"), ("class", "class_name"), ("data-file-name", "file_name"))), text.alias("text"), row.alias("row_text"))
+    values = found.select(*kept, "pos", *(attribute(head, a).alias(n) for a, n in (("href", "href"), ("onclick", "onclick"), ("data-href", "data_href"), ("data-url", "data_url"), ("title", "title"), ("class", "class_name"), ("data-file-name", "file_name"))), text.alias("text"), row.alias("row_text"))
     values = values.withColumn("row_text", F.coalesce(T.none_if_blank(F.col("row_text")), F.col("text")))
-    return values.select(key, "pos", *(unescape(F.col(c)).alias(c) for c in ("href", "onclick", "data_href", "data_url", "title", "class_name", "file_name", "text", "row_text")))
+    return values.select(*kept, "pos", *(unescape(F.col(c)).alias(c) for c in ("href", "onclick", "data_href", "data_url", "title", "class_name", "file_name", "text", "row_text")))
 
 
 def show_all_url(body: Column) -> Column:

@@ -15,7 +15,7 @@ RESERVED = ["CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5",
 #: Letters and the letters that stand for them in comparisons.
 FOLDED = ("äöüáàâãåéèêëíìîïóòôõøúùûñçý", "aouaaaaaeeeeiiiiooooouuuncy")
 #: Words of course titles without meaning of their own.
-STOP_WORDS = ["und", "and", "oder", "or"]
+STOP_WORDS = ["und", "and", "oder", "or", "der", "die", "das", "den", "dem", "des", "the", "of", "for", "fur", "mit", "with", "im", "in", "zu", "zur", "zum", "von", "a", "an", "am"]
 NOISE_WORDS = ["sose", "wise", "ss", "ws", "so", "wi", "sommer", "winter", "semester", "sem", "modul", "module", "kurs", "kurse", "course"]
 #: What stands before the number of a sheet; single letters only without separator.
 SHEET_MARKERS = ["blatt", "bl", "uebung", "ubung", "ue", "ub", "loesung", "losung", "loe", "lsg", "serie", "sheet"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Hours to wait after the first, second, ... failure; the first entry is for none.
-BACKOFF_HOURS = [0, 24, 72, 168]
+BACKOFF_HOURS = [0, 6, 24, 72, 168]
 
 
 def changed(size: Column, modified: Column, known: Column, old_size: Column, old_modified: Column) -> Column:
@@ -82,7 +82,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
         key.cast("string").alias("key"),
         F.when(key % 3 != 0, F.floor("o_totalprice").cast("long") + F.when(key % 11 == 0, 1).otherwise(0)).alias("size"),
         F.when(key % 6 != 0, F.col("o_orderpriority")).alias("modified"),
-        F.when(key % 9 == 0, (key % 5).cast("int")).otherwise(0).alias("fail_count"),
+        F.when(key % 9 == 0, (key % 7).cast("int")).otherwise(0).alias("fail_count"),
         F.when(key % 9 == 0, F.lit("2024-01-10 00:00:00")).alias("failed_at"),
         (key % 13 == 0).alias("unverified"),
     )
@@ -118,16 +118,16 @@ _ORDERS = f"""
     WITH listing AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderkey::VARCHAR AS path, o_custkey::VARCHAR AS url,
                             CASE WHEN o_orderkey % 7 <> 0 THEN floor(o_totalprice)::BIGINT END AS size, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS modified FROM orders),
     state AS (SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 3 <> 0 THEN floor(o_totalprice)::BIGINT + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END END AS size,
-                     CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS modified, CASE WHEN o_orderkey % 9 = 0 THEN (o_orderkey % 5)::INT ELSE 0 END AS fail_count,
+                     CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS modified, CASE WHEN o_orderkey % 9 = 0 THEN (o_orderkey % 7)::INT ELSE 0 END AS fail_count,
                      CASE WHEN o_orderkey % 9 = 0 THEN '2024-01-10 00:00:00' END AS failed_at, o_orderkey % 13 = 0 AS unverified FROM orders WHERE o_orderkey % 4 <> 0),
-    planned AS (SELECT l.*, CASE WHEN s.fail_count > 0 AND s.failed_at::TIMESTAMP + ([0, 24, 72, 168])[least(s.fail_count, 3) + 1] * INTERVAL 1 HOUR > TIMESTAMP '{NOW}' THEN 'BACKOFF'
+    planned AS (SELECT l.*, CASE WHEN s.fail_count > 0 AND s.failed_at::TIMESTAMP + ([0, 6, 24, 72, 168])[least(s.fail_count, 4) + 1] * INTERVAL 1 HOUR > TIMESTAMP '{NOW}' THEN 'BACKOFF'
                               WHEN s.key IS NULL OR (l.size IS NOT NULL AND l.size IS DISTINCT FROM s.size) OR (l.modified IS NOT NULL AND l.modified IS DISTINCT FROM s.modified) OR k % 10 = 1 THEN 'DOWNLOAD'
                               WHEN s.unverified OR (s.size IS NULL AND s.modified IS NULL) THEN 'VERIFY' ELSE 'SKIP' END AS action
                 FROM listing l LEFT JOIN state s USING (key))"""
 QUERIES = {"change_plan": change_plan, "backoff_eligible": backoff_eligible, "state_merge": state_merge}
 ORACLES = {
     "change_plan": f"{_ORDERS} SELECT key, path, url, size, modified, action FROM planned",
-    "backoff_eligible": f"{_ORDERS} SELECT key, fail_count, ([0, 24, 72, 168])[least(fail_count, 3) + 1]::INT AS hours, failed_at::TIMESTAMP + ([0, 24, 72, 168])[least(fail_count, 3) + 1] * INTERVAL 1 HOUR <= TIMESTAMP '{NOW}' AS ready FROM state WHERE fail_count > 0",
+    "backoff_eligible": f"{_ORDERS} SELECT key, fail_count, ([0, 6, 24, 72, 168])[least(fail_count, 4) + 1]::INT AS hours, failed_at::TIMESTAMP + ([0, 6, 24, 72, 168])[least(fail_count, 4) + 1] * INTERVAL 1 HOUR <= TIMESTAMP '{NOW}' AS ready FROM state WHERE fail_count > 0",
     "state_merge": f"""{_ORDERS}, done AS (SELECT key, size, modified, CASE WHEN k % 8 = 0 THEN 'failed' WHEN action = 'VERIFY' THEN 'unchanged' ELSE 'ok' END AS status FROM planned WHERE action IN ('DOWNLOAD', 'VERIFY'))
         SELECT key, CASE WHEN status = 'ok' THEN d.size ELSE s.size END AS size, CASE WHEN status = 'ok' THEN d.modified ELSE s.modified END AS modified,
                CASE WHEN status = 'ok' THEN 0 WHEN status = 'failed' THEN coalesce(fail_count, 0) + 1 ELSE fail_count END AS fail_count,

@@ -63,9 +63,9 @@ def course_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users by kind of event in the first days against the next ones."""
+    """Users by kind of event in the first half of the month against the second one."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("course"), F.col("user_id").alias("key"), F.dayofmonth("ts").alias("day"))
-    return coverage(e.where("day <= 3"), e.where("day between 4 and 6"))
+    return coverage(e.where("day <= 15"), e.where("day > 15"))
 
 
 QUERIES = {f.__name__: f for f in (course_cards, course_order, section_coverage)}
@@ -76,7 +76,7 @@ ORACLES = {
         SELECT entry, title, 'https://h.example/auth/RepositoryEntry/' || entry AS url FROM r WHERE nth = 1""",
     "course_order": "WITH f AS (SELECT c_mktsegment AS course, min(c_name) AS first FROM customer GROUP BY 1) SELECT course, row_number() OVER (ORDER BY first, course)::INT AS course_index, (count(*) OVER ())::INT AS total_courses FROM f",
     "section_coverage": """
-        WITH e AS (SELECT DISTINCT event_type AS course, user_id AS key, day(ts) <= 3 AS early FROM events WHERE day(ts) <= 6),
+        WITH e AS (SELECT DISTINCT event_type AS course, user_id AS key, day(ts) <= 15 AS early FROM events),
         b AS (SELECT course, key, bool_or(early) AS k, bool_or(NOT early) AS v FROM e GROUP BY 1, 2)
         SELECT course, count(*) FILTER (k) AS n_known, count(*) FILTER (v) AS n_visited, count(*) FILTER (NOT v) AS missing, count(*) FILTER (NOT k) AS extra FROM b GROUP BY 1""",
 }

@@ -11,7 +11,7 @@ from . import visits as V
 
 #: Bytes that the address of a report may have, and exit codes by kind of failure.
 BUDGET = 6500
-EXIT_CODES = {"not_ready": 2, "already_running": 3, "offline": 4, "already_succeeded": 5}
+EXIT_CODES = {"not_ready": 3, "already_running": 4, "offline": 5, "already_succeeded": 6}
 HEAD = ["Course", "Section", "Visits", "Empty", "Notes"]
 
 
@@ -56,8 +56,8 @@ def fitting_lines(lines: DataFrame, key: str, number: str, text: str, fixed: int
 
 
 def active_alert(status: DataFrame, dismissed: Column) -> DataFrame:
-    """The latest status, if it is neither a success nor skipped nor dismissed."""
-    latest = status.orderBy(F.desc("timestamp")).limit(1)
+    """The latest status (timestamp, n, outcome), the larger number among equal times, if it is neither a success nor skipped nor dismissed."""
+    latest = status.orderBy(F.desc("timestamp"), F.desc("n")).limit(1)
     return latest.where(~F.col("outcome").isin("success", "skipped") & ~F.coalesce(F.col("timestamp") == dismissed, F.lit(False)))
 
 
@@ -84,7 +84,7 @@ def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status that a person should see now, if any."""
-    return active_alert(_status(spark, sf_dir).where("n % 8 = 1"), F.lit(None).cast("timestamp")).select("n", "outcome")
+    return active_alert(_status(spark, sf_dir), F.lit(None).cast("timestamp")).select("n", "outcome")
 
 
 def success_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def success_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"latest_alert": latest_alert, "success_of_day": success_of_day, "visit_report": visit_report, "log_budget": log_budget}
 _STATUS = "SELECT ts, event_id AS n, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'skipped' ELSE 'partial' END AS outcome FROM events"
 ORACLES = {
-    "latest_alert": f"SELECT n, outcome FROM (SELECT * FROM ({_STATUS}) WHERE n % 8 = 1 ORDER BY ts DESC LIMIT 1) WHERE outcome NOT IN ('success', 'skipped')",
+    "latest_alert": f"SELECT n, outcome FROM (SELECT * FROM ({_STATUS}) ORDER BY ts DESC, n DESC LIMIT 1) WHERE outcome NOT IN ('success', 'skipped')",
     "success_of_day": f"SELECT coalesce(bool_or(outcome = 'success' AND ts::DATE = DATE '2024-01-05'), false) AS succeeded FROM ({_STATUS})",
     "visit_report": V.ORACLES["visit_stats"].replace("SELECT course, section_url, count(*)", ", stats AS (SELECT course, section_url, count(*)", 1)
     + """) SELECT course, section_url, rpad(course, 30, ' ') || ' ' || rpad(section_title, 35, ' ') || ' ' || lpad(visits::VARCHAR, 6, ' ') || ' ' || lpad(empty_visits::VARCHAR, 6, ' ') || '  '

@@ -15,10 +15,12 @@ def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.safe_name(F.col("text")).alias("name"))
 
 
-SIZES = ["245 KB", "1,5 MB", "223,7KB", "185,9KB", "no size", "2 GB left", "12 Bytes", "1.234,5 KB"]
-DATES = ["am 16.06.2026 um 14:11 Uhr", "01.07.2026, 09:06 Uhr", "01.07.2026", "nothing", "x 3.10.2025 um 11:07 y"]
-SHEETS = ["ue01_nm10_wi26-27.pdf", "p01.py", "Blatt1_A10.pdf", "Übung 7.pdf", "ue2026.pdf", "nm10.pdf", "U00.pdf", "A10_Blatt3.pdf", "Kapitel1.pdf", "Serie-12.txt"]
-VERSIONS = [("0.2.0", "0.1.0"), ("v1.3", "1.2.9"), ("1.2", "1.2.0"), ("1.2.1", "1.2"), ("1.0", "dev"), ("0.10", "0.9")]
+SIZES = ["77 KB", "about 3,25 MB", "0.5GB", "41 Bytes free", "none", "9 kb and 10 MB", "6.543,2 KB"]
+DATES = ["seit 2.5.2031 um 8:45 Uhr", "30.11.2029, 23:59 Uhr", "5.6.2030", "no date", "up to 17.12.2028 um 6:30 or later"]
+
+
+#: What stands before a number in a file name: markers, single letters, and others.
+FRONTS = ["Blatt", "ue_", "Serie-", "Übung ", "p", "A", "p_", "nm", "Kapitel", "xBlatt"]
 
 
 def size_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,19 +36,28 @@ def modified_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheet numbers of a few file names."""
-    return spark.createDataFrame([(n,) for n in SHEETS], "name string").select("name", T.sheet_number(F.col("name")).alias("number"))
+    """Sheet numbers of file names made of parts' names and numbers: with markers, single letters, none, and too many digits."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    key, n = F.col("p_partkey"), (F.col("p_partkey") % 130).cast("string")
+    marker = F.get(F.array(*map(F.lit, FRONTS)), (key % len(FRONTS)).cast("int"))
+    name = F.concat(F.when(key % 3 == 0, F.concat(F.substring_index("p_name", " ", 1), F.lit("_"))).otherwise(""), marker, n, F.when(key % 5 == 0, "-x7").otherwise(""), F.lit(".pdf"))
+    return parts.select("p_partkey", name.alias("name")).select("p_partkey", "name", T.sheet_number(F.col("name")).alias("number"))
 
 
 def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether versions are newer."""
-    return spark.createDataFrame(VERSIONS, "latest string, current string").select("latest", "current", F.coalesce(T.is_newer(F.col("latest"), F.col("current")).cast("string"), F.lit("unknown")).alias("newer"))
+    """Whether versions made of lines' numbers are newer than others, of two and of three numbers, with a v or not, and some that are none."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    a, b, c, d = (F.col(x).cast("string") for x in ("l_linenumber", "l_part", "l_supp", "l_rest"))
+    small = lines.withColumn("l_part", F.col("l_partkey") % 12).withColumn("l_supp", F.col("l_suppkey") % 12).withColumn("l_rest", F.col("l_orderkey") % 3)
+    latest = F.concat(F.when(F.col("l_part") == 3, "v").otherwise(""), a, F.lit("."), b, F.lit("."), d)
+    current = F.when(F.col("l_part") == 7, "dev").otherwise(F.concat(a, F.lit("."), c))
+    return small.select("l_orderkey", "l_linenumber", F.coalesce(T.is_newer(latest, current).cast("string"), F.lit("unknown")).alias("newer"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's anchors with absolute addresses, the first of each address."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    links = H.anchors(pages).join(pages.select("page_id", "url"), "page_id")
+    links = H.anchors(pages, ["page_id", "url"])
     target = U.link_target(F.col("href"), F.col("onclick"), F.col("data_href"), F.col("data_url"))
     found = links.select("page_id", "pos", U.resolve(F.col("url"), target).alias("target"), F.col("text").alias("name")).where("target <> ''")
     return found.groupBy("page_id", "target").agg(F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"))
@@ -81,8 +92,14 @@ ORACLES = {
     "modified_parse": rf"""
         WITH d AS ({_FEW(DATES)} UNION ALL SELECT doc_id, text FROM documents)
         SELECT doc_id, nullif(regexp_extract(text, '\d{{1,2}}\.\d{{1,2}}\.\d{{4}}(?:,?\s*(?:um\s*)?\d{{1,2}}:\d{{2}}(?:\s*Uhr)?)?', 0), '') AS modified FROM d""",
-    "sheet_number": "SELECT unnest([" + ", ".join(f"'{s}'" for s in SHEETS) + "]) AS name, unnest([1, 1, 1, 7, NULL, NULL, 0, 3, NULL, 12]) AS number",
-    "version_compare": "SELECT unnest([" + ", ".join(f"'{a}'" for a, _ in VERSIONS) + "]) AS latest, unnest([" + ", ".join(f"'{b}'" for _, b in VERSIONS) + "]) AS current, unnest(['true', 'true', 'false', 'true', 'unknown', 'true']) AS newer",
+    # by what was put together: a known marker is the first, and its number has one or two digits; single letters bear no separator
+    "sheet_number": f"""
+        WITH p AS (SELECT p_partkey, ({FRONTS})[(p_partkey % {len(FRONTS)})::INT + 1] AS front, p_partkey % 130 AS n, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) || '_' ELSE '' END AS head,
+                          CASE WHEN p_partkey % 5 = 0 THEN '-x7' ELSE '' END AS tail FROM part)
+        SELECT p_partkey, head || front || n || tail || '.pdf' AS name, CASE WHEN n < 100 AND front IN ('Blatt', 'ue_', 'Serie-', 'Übung ', 'p', 'A') THEN n::INT END AS number FROM p""",
+    "version_compare": """
+        WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey % 12 AS p, l_suppkey % 12 AS s, l_orderkey % 3 AS r FROM lineitem)
+        SELECT l_orderkey, l_linenumber, CASE WHEN p = 7 THEN 'unknown' WHEN p > s OR (p = s AND r > 0) THEN 'true' ELSE 'false' END AS newer FROM v""",
     "page_links": r"""
         WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s([^>]*)>(.*?)</a>', 0, 'is')) AS anchor, generate_subscripts(regexp_extract_all(html, '<a\s([^>]*)>(.*?)</a>', 0, 'is'), 1) - 1 AS pos FROM pages),
         b AS (SELECT page_id, pos, trim(regexp_extract(regexp_extract(anchor, '<a\s([^>]*)>', 1, 'is'), '(?:^|\s)href="([^"]*)"', 1, 'i')) AS href, regexp_extract(url, '^[a-z]+://[^/]*') AS site,

@@ -122,7 +122,7 @@ def folder_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each type of part against the names of its brand's parts."""
+    """How well each part's type fits its own name."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", "p_type").distinct()
     return parts.select("p_name", "p_type", F.round(score(F.col("p_name"), F.col("p_type")), 6).alias("score"))
 

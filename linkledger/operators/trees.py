@@ -75,6 +75,7 @@ def reachable(roots: DataFrame, links: DataFrame, most: int = 500, rounds: int =
 
     roots: (root, node); links: (source, target). A round joins the frontier with the
     links and takes away what was seen; each is checkpointed, and the first empty one ends it.
+    Nodes that are still unseen after the last round are an error, not left out.
     """
     from ..sources.tables import cut
 
@@ -86,10 +87,16 @@ def reachable(roots: DataFrame, links: DataFrame, most: int = 500, rounds: int =
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError(f"nodes beyond a depth of {rounds}")
     ranked = seen.withColumn("_nth", F.row_number().over(Window.partitionBy("root").orderBy("depth", "node")))
     return ranked.where(F.col("_nth") <= most).drop("_nth")
 
 
+#: Fixed value: nodes of a root at most.
+MOST_NODES = 500
+
+
 def folders_by_name(listing: DataFrame) -> DataFrame:
     """listing (path, modified) with match_name and downloads_leaf: a folder named for its role goes by its parent's name.
 
@@ -116,11 +123,12 @@ def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations that trade: from each region's first nation over orders' supplier and customer nations."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    links = read("supplier").join(read("customer"), F.col("s_suppkey") == F.col("c_custkey") % 50).select(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).where("target % 5 = source % 5").distinct()
-    roots = read("nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("node")).select(F.col("n_regionkey").alias("root"), "node")
-    return reachable(roots, links)
+    """Parts within reach of each brand's first part: from an order's line to its next one."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("target"))
+    links = lines.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("source"), "target").where("source <> target").distinct()
+    roots = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.min("p_partkey").alias("node")).select(F.col("p_brand").alias("root"), "node")
+    return reachable(roots, links, most=MOST_NODES)
 
 
 QUERIES = {"tree_nodes": tree_listing, "reachable_pages": reachable_pages}
@@ -128,7 +136,7 @@ ORACLES = {
     "tree_nodes": """SELECT 'a' AS page, unnest([0, 1, 2]) AS pos, unnest(['11', '22', '33']) AS id, unnest(['/RepositoryEntry/7/CourseNode/11', '/RepositoryEntry/7/CourseNode/22', '/RepositoryEntry/7/CourseNode/33']) AS url,
         unnest(['node-st', 'node-bc', '']) AS class, unnest(['Root', 'One & two', '"Three"']) AS title, unnest([1, 2, 2]) AS depth""",
     "reachable_pages": """
-        WITH RECURSIVE links AS (SELECT DISTINCT s_nationkey AS source, c_nationkey AS target FROM supplier JOIN customer ON s_suppkey = c_custkey % 50 WHERE c_nationkey % 5 = s_nationkey % 5),
-        reach AS (SELECT n_regionkey AS root, min(n_nationkey) AS node, 0 AS depth FROM nation GROUP BY 1 UNION SELECT root, target, depth + 1 FROM reach JOIN links ON node = source WHERE depth < 30)
-        SELECT root, node, min(depth)::INT AS depth FROM reach GROUP BY 1, 2""",
+        WITH RECURSIVE links AS (SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey),
+        reach AS (SELECT p_brand AS root, min(p_partkey) AS node, 0 AS depth FROM part GROUP BY 1 UNION SELECT root, target, depth + 1 FROM reach JOIN links ON node = source WHERE depth < 12)
+        SELECT root, node, min(depth)::INT AS depth FROM reach GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY root ORDER BY min(depth), node) <= 500""",
 }

@@ -15,7 +15,7 @@ from ..operators import rules as R
 
 def files(pages: DataFrame, base: str) -> DataFrame:
     """The files that pages (page_url, entry, course, section, html) link to, the first link of each course and address."""
-    links = H.anchors(pages, "page_url").join(pages.drop("html"), "page_url")
+    links = H.anchors(pages, [c for c in pages.columns if c != "html"])
     target = U.link_target(F.col("href"), F.col("onclick"), F.col("data_href"), F.col("data_url"))
     named = links.withColumn("target", target).where("target <> ''").withColumn("name", T.file_name(F.col("title"), T.first_text(F.col("file_name"), F.col("text")), F.col("target")))
     absolute = named.where(P.is_file(F.col("target"), F.col("name"))).withColumn("url", U.resolve(F.col("page_url"), F.col("target")))
@@ -39,7 +39,7 @@ def placed(found: DataFrame, course_rules: list[tuple[str, str]], section_rules:
 
 def links_to_sections(pages: DataFrame) -> DataFrame:
     """(source, target) of pages (page_url, entry, course, html): section links that stay in the course, by section key."""
-    links = H.anchors(pages, "page_url").join(pages.drop("html"), "page_url")
+    links = H.anchors(pages, [c for c in pages.columns if c != "html"])
     target = U.link_target(F.col("href"), F.col("onclick"), F.col("data_href"), F.col("data_url"))
     title = T.section_title(F.col("title"), F.col("text"))
     url = U.resolve(F.col("page_url"), F.col("target"))

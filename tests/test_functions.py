@@ -124,7 +124,7 @@ ROWS = """<table><tr><td><img></td><td><a data-file-name="a.pdf" href="/sendfile
 
 def test_rows_around_anchors(spark):
     pages = spark.createDataFrame([(1, ROWS)], "page_id long, html string")
-    got = H.anchors(pages).orderBy("pos").collect()
+    got = H.anchors(pages, ["page_id"]).orderBy("pos").collect()
     assert [r["href"] for r in got] == ["/sendfile/1", "/x", "/y", "/out"]
     assert got[0]["text"] == "A & B" and got[0]["row_text"] == "A & B 223,7KB am 03.10.2025 um 11:07 Uhr"
     assert [r["row_text"] for r in got[1:]] == ["x", "y", "out side"]

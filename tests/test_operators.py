@@ -16,7 +16,7 @@ RECORD = "key string, size long, modified string, fail_count int, failed_at stri
 
 def test_plan(spark):
     found = spark.createDataFrame([(k, k, u, s, m) for k, u, s, m in [("new", "a", 1, None), ("same", "a", 1, "x"), ("size", "a", 2, "x"), ("gone", "a", 1, "x"), ("blind", "a", None, None), ("mute", "a", None, "x"), ("waits", "a", 9, "x"), ("ready", "a", 9, "x"), ("same", "b", 3, "y")]], "key string, path string, url string, size long, modified string")
-    state = spark.createDataFrame([("same", 1, "x", 0, None, False), ("size", 1, "x", 0, None, False), ("gone", 1, "x", 0, None, False), ("blind", None, None, 0, None, False), ("mute", 5, "x", 0, None, False), ("waits", 1, "x", 2, "2024-01-10 00:00:00", False), ("ready", 1, "x", 1, "2024-01-01 00:00:00", False)], RECORD)
+    state = spark.createDataFrame([("same", 1, "x", 0, None, False), ("size", 1, "x", 0, None, False), ("gone", 1, "x", 0, None, False), ("blind", None, None, 0, None, False), ("mute", 5, "x", 0, None, False), ("waits", 1, "x", 3, "2024-01-10 00:00:00", False), ("ready", 1, "x", 1, "2024-01-01 00:00:00", False)], RECORD)
     present = spark.createDataFrame([(k,) for k in ("same", "size", "blind", "mute", "waits", "ready")], "key string")
     now = F.lit("2024-01-12 00:00:00").cast("timestamp")
     got = {(r["key"], r["url"]): r["action"] for r in changes.plan(found, state, present, now).collect()}
@@ -25,7 +25,7 @@ def test_plan(spark):
 
 
 def test_backoff_steps(spark):
-    assert [r[0] for r in spark.range(6).select(changes.backoff_hours(F.col("id"))).collect()] == [0, 24, 72, 168, 168, 168]
+    assert [r[0] for r in spark.range(6).select(changes.backoff_hours(F.col("id"))).collect()] == [0, 6, 24, 72, 168, 168]
 
 
 def test_globs():
