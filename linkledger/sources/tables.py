@@ -23,10 +23,13 @@ CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder; a folder of our own only where the session names none, as in tests."""
+    """df in the shared checkpoint folder that the session names; a folder of our own only where one machine is all there is, as in tests."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
