@@ -53,7 +53,7 @@ MODULUS, COVER = 91, np.array([0, 1, 3, 9, 27, 49, 56, 61, 77, 81])
 TUPLE = LENGTH - MODULUS + 1
 GRAM = 16
 #: Bytes of text in a slab of samples and in a cell, and of text or of pieces for each bucket.
-SLAB, CELL, TEXT_BUCKET, BUCKET = 8 << 20, 2 << 20, 16 << 20, 8 << 20
+SLAB, CELL, TEXT_BUCKET, BUCKET = 8 << 20, 2 << 20, 8 << 20, 4 << 20
 _VALUE, _SECOND = B.byte_values(21), B.byte_values(22)
 _AT = np.full(MODULUS, -1)
 _AT[COVER] = np.arange(len(COVER))
@@ -208,7 +208,7 @@ def _repeated_samples(table: pa.Table) -> pa.Table:
 def repeated_samples(texts: DataFrame) -> DataFrame:
     """(key, at): ordinals of repeated samples of texts (key, text), a text's in several rows and perhaps several times."""
     total = texts.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(32, -(-total // TEXT_BUCKET))
+    buckets = max(8, -(-total // TEXT_BUCKET))
     asked = texts.mapInArrow(_samples(buckets), SAMPLES).repartition(buckets, "bucket")
     return S.written(asked.groupBy("bucket").applyInArrow(_repeated_samples, "key long, at array<int>"))
 
@@ -330,12 +330,12 @@ def _pieces(hot, buckets: int):
 
 def _same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the LENGTH bytes at a and at b are equal, place by place."""
-    words = np.lib.stride_tricks.sliding_window_view(text, 8)
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)).view(B.U64).ravel()
     out = np.ones(len(a), bool)
     for lo in range(0, len(a), 1 << 18):
         x, y, own = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)], out[lo : lo + (1 << 18)]
         for k in range(0, LENGTH, 8):
-            own &= (words[x + k].view(B.U64) == words[y + k].view(B.U64)).ravel()
+            own &= words[x + k] == words[y + k]
     return out
 
 
@@ -444,7 +444,7 @@ def repeats_of(texts: DataFrame) -> DataFrame:
     n_pieces, n_starts = (pieces.agg(F.sum("n")).first()[0] or 0), (cells.agg(F.sum("n_starts")).first()[0] or 0)
     least = max(1000, n_pieces // 1000)
     hot = spark.sparkContext.broadcast(np.array([r["least"] for r in pieces.where(F.col("n") > least).select("least").collect()], np.int64).view(B.U64))  # a thousand at most
-    buckets = max(64, -(-(n_starts + LENGTH * n_pieces) // BUCKET))
+    buckets = max(8, -(-(n_starts + LENGTH * n_pieces) // BUCKET))
     asked = cells.select("cell", "text", "starts", "lengths", "least").mapInArrow(_pieces(hot, buckets), PIECES).repartition(buckets, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(_answers, "cell long, bucket int, named boolean, bits binary")
     answers = answers.groupBy("cell").agg(F.collect_list(F.struct("bucket", "named", "bits")).alias("answers"))
