@@ -66,4 +66,12 @@ def redact_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"redact_messages": redact_messages}
-ORACLES: dict[str, str] = {}
+_STATE = " OR ".join(f"contains(lower(text), '{m}')" for m in STATE_MARKERS)
+ORACLES = {
+    # the most characters that have MOST bytes at most
+    "redact_messages": rf"""
+        WITH c AS (SELECT doc_id, {_STATE} AS state, regexp_replace(regexp_replace(text, '\b(cookie|set-cookie|authorization|bearer)\s*[:=]\s*\S+', '\1: [redacted]', 'gi'), '[A-Za-z0-9+/_\-]{{32,}}', '[redacted]', 'g') AS t FROM documents),
+        s AS (SELECT doc_id, state, regexp_replace(t, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS t FROM c)
+        SELECT doc_id, CASE WHEN state THEN '{STATE_MESSAGE}' WHEN t = '' THEN '{NOTHING}'
+            WHEN strlen(t) > {MOST} THEN left(t, list_max(list_filter(range(1, {MOST} + 1), lambda n: strlen(left(t, n)) <= {MOST}))) || '{CUT}' ELSE t END AS message FROM s""",
+}

@@ -167,18 +167,26 @@ def longest_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_prefix(names, owners.withColumn("value", F.concat(F.lit("owner of "), F.col("prefix"))), "path")
 
 
-RULES = [("course_folder", " ", "x"), ("course_folder", "a*", " "), ("course_folder", "[ab", "x"), ("course", "*", ""), ("course", "", ""), ("destination", "a", "x"), ("destination", "a/b", "x/{blatt}"), ("destination", "a/b/{Blatt}", "x/{BLATT}"), ("section_name", "s", "t"), ("section_name", "s", "")]
+#: Rules by the remainder of a number, as kind, pattern and value; {k} is the number.
+RULES = [("course_folder", " ", "x"), ("course_folder", "a{k}*", " "), ("course_folder", "[ab{k}", "x"), ("course", "*{k}", ""), ("course", "", ""), ("destination", "a{k}", "x"), ("destination", "a/b{k}", "x/{blatt}"), ("destination", "a/b{k}/{Blatt}", "x/{BLATT}"), ("section_name", "s{k}", "t"), ("section_name", "s{k}", ""), ("course", "x[{k}", ""), ("destination", "/b{k}", "x"), ("course_folder", "a[{k}]", "y")]
 
 
 def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with a few rules."""
-    return problems(spark.createDataFrame(RULES, "kind string, pattern string, value string"))
+    """What is wrong with rules made of customers' numbers."""
+    key = F.col("c_custkey")
+    shape = F.get(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, ("kind", "pattern", "value"), strict=True))) for r in RULES)), (key % len(RULES)).cast("int"))
+    made = spark.read.parquet(f"{sf_dir}/customer.parquet").select(shape["kind"].alias("kind"), F.replace(shape["pattern"], F.lit("{k}"), key.cast("string")).alias("pattern"), shape["value"].alias("value"))
+    return problems(made)
 
 
 QUERIES = {"rule_problems": rule_problems, "rule_match": rule_match, "rule_precedence": rule_precedence, "key_collisions": key_collisions, "longest_prefix": longest_prefix_match}
 ORACLES = {
-    "rule_problems": """SELECT unnest(['course_folder', 'course_folder', 'course_folder', 'course', 'destination', 'destination', 'section_name']) AS kind, unnest([' ', 'a*', '[ab', '', 'a', 'a/b', 's']) AS pattern,
-        unnest(['empty pattern', 'empty value', 'bad pattern', 'empty pattern', 'not in the form course/section', 'placeholder without sheet rule', 'empty value']) AS problem""",
+    "rule_problems": f"""
+        WITH r AS (SELECT ({[r[0] for r in RULES]})[k + 1] AS kind, replace(({[r[1] for r in RULES]})[k + 1], '{{k}}', c_custkey::VARCHAR) AS pattern, ({[r[2] for r in RULES]})[k + 1] AS value FROM (SELECT *, (c_custkey % {len(RULES)})::INT AS k FROM customer)),
+        p AS (SELECT *, trim(value) = '' AS no_value, regexp_replace(trim(pattern), '/\\{{blatt\\}}$', '', 'i') AS bare FROM r),
+        q AS (SELECT kind, pattern, CASE WHEN trim(pattern) = '' THEN 'empty pattern' WHEN kind = 'destination' AND (strpos(bare, '/') < 2 OR ends_with(bare, '/')) THEN 'not in the form course/section' WHEN kind <> 'course' AND no_value THEN 'empty value'
+            WHEN kind = 'destination' AND contains(lower(value), '{{blatt}}') AND bare = trim(pattern) THEN 'placeholder without sheet rule' WHEN kind LIKE 'course%' AND strpos(pattern, '[') > strpos(pattern, ']') THEN 'bad pattern' END AS problem FROM p)
+        SELECT * FROM q WHERE problem IS NOT NULL""",
     "rule_match": """SELECT p_partkey, p_type, CASE WHEN regexp_full_match(lower(p_type), '.*brass') THEN 'metal/brass' WHEN regexp_full_match(lower(p_type), 'polished.*') THEN 'finish/polished'
         WHEN contains(lower(p_type), 'steel') THEN 'metal/steel' WHEN regexp_full_match(lower(p_type), '.mall.*') THEN 'size/small' WHEN contains(lower(p_type), 'e') THEN 'other/e' END AS folder FROM part""",
     "rule_precedence": """SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') AND contains(lower(p_type), 's') AND p_partkey % 3 = 0 THEN 'sheets/Blatt' || lpad((p_partkey % 40)::VARCHAR, 2, '0')

@@ -122,10 +122,38 @@ def folder_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well each part's type fits its own name."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", "p_type").distinct()
-    return parts.select("p_name", "p_type", F.round(score(F.col("p_name"), F.col("p_type")), 6).alias("score"))
+    """How well folders named for parts of types, shortened, joined or in initials, fit titles of names and types."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")
+    word = lambda n: F.get(F.split("p_type", " "), F.lit(n))
+    kind, n = F.col("p_partkey") % 5, (F.col("p_partkey") % 7 + 2).cast("int")
+    folder = (
+        F.when(kind == 0, F.concat(F.left(word(0), n), F.lit("-"), word(1)))
+        .when(kind == 1, F.concat(F.lower(F.left(word(2), n)), F.lit("_"), F.lower(word(0)), F.lit("x")))
+        .when(kind == 2, F.concat(F.left(word(0), F.lit(1)), F.left(word(1), F.lit(1)), F.left(word(2), F.lit(1))))
+        .when(kind == 3, F.concat(F.left(word(0), F.lit(3)), F.lit(" "), F.right(word(0), F.lit(3)), F.lit(" 20")))
+        .otherwise(F.concat(word(1), F.lit(" of old")))
+    )
+    title = F.concat(F.when(kind == 2, "").otherwise(F.concat("p_name", F.lit(" and the "))), "p_type")
+    made = parts.select("p_partkey", title.alias("title"), folder.alias("folder"))
+    return made.select("p_partkey", "title", "folder", F.round(score(F.col("title"), F.col("folder")), 6).alias("score"))
 
 
 QUERIES = {"folder_suggest": folder_suggest, "name_scores": name_scores}
-ORACLES: dict[str, str] = {}
+_WORDS = lambda x: f"list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: NOT regexp_matches(w, '^[0-9]*$'))"
+_SHARED = "len(list_filter(range(1, least(length(s), length(t)) + 1), lambda n: left(s, n) = left(t, n)))"
+_PAIR = f"CASE WHEN s = t THEN 1.0 WHEN length(s) >= 2 AND starts_with(t, s) THEN 0.9 WHEN length(t) >= 3 AND starts_with(s, t) THEN 0.8 WHEN {_SHARED} >= greatest(3, length(s) - 1) THEN 0.75 WHEN length(s) >= 4 AND contains(t, s) THEN 0.7 ELSE 0.0 END"
+ORACLES = {
+    "name_scores": f"""
+        WITH p AS (SELECT p_partkey, p_partkey % 5 AS kind, (p_partkey % 7 + 2)::INT AS n, string_split(p_type, ' ') AS w, p_name, p_type FROM part),
+        m AS (SELECT p_partkey, CASE WHEN kind = 2 THEN '' ELSE p_name || ' and the ' END || p_type AS title,
+                     CASE kind WHEN 0 THEN left(w[1], n) || '-' || w[2] WHEN 1 THEN lower(left(w[3], n)) || '_' || lower(w[1]) || 'x' WHEN 2 THEN left(w[1], 1) || left(w[2], 1) || left(w[3], 1)
+                               WHEN 3 THEN left(w[1], 3) || ' ' || right(w[1], 3) || ' 20' ELSE w[2] || ' of old' END AS folder FROM p),
+        f AS (SELECT *, {_WORDS("folder")} AS segs, list_filter({_WORDS("title")}, lambda w: w NOT IN ('and', 'the', 'of', 'in', 'for', 'a', 'an')) AS toks FROM m),
+        pairs AS (SELECT p_partkey, s, nth, max({_PAIR}) AS best FROM (SELECT p_partkey, unnest(segs) AS s, generate_subscripts(segs, 1) AS nth, toks FROM f) x, unnest(toks) AS y(t) GROUP BY ALL),
+        means AS (SELECT p_partkey, sum(length(s) * best) / sum(length(s)) AS mean FROM pairs GROUP BY 1),
+        a AS (SELECT *, array_to_string(list_transform(segs, lambda s: left(s, 1)), '') AS own, array_to_string(list_transform(toks, lambda t: left(t, 1)), '') AS whole FROM f),
+        b AS (SELECT *, CASE WHEN length(own) >= 2 AND list_contains(toks, own) THEN 0.9 WHEN len(segs) = 1 AND len(string_split(trim(folder), ' ')) = 1 AND length(segs[1]) >= 2 AND segs[1] = whole THEN 0.85 ELSE 0.0 END AS acronym,
+                     CASE WHEN len(segs) = 2 AND length(segs[1]) + length(segs[2]) >= 4 AND len(list_filter(toks, lambda t: starts_with(t, segs[1]) AND contains(substr(t, length(segs[1]) + 1), segs[2]))) > 0 THEN 0.9
+                          WHEN len(segs) > 2 AND len(list_filter(toks, lambda t: starts_with(t, segs[1]) AND regexp_matches(substr(t, length(segs[1]) + 1), array_to_string(segs[2:], '.*')))) > 0 THEN 0.9 ELSE 0.0 END AS compound FROM a)
+        SELECT p_partkey, title, folder, round(greatest(coalesce(mean, 0), acronym, compound)::DOUBLE, 6) AS score FROM b LEFT JOIN means USING (p_partkey)""",
+}

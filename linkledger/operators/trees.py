@@ -111,15 +111,19 @@ def folders_by_name(listing: DataFrame) -> DataFrame:
     return kept.join(parents, "path", "left_anti").select("path", "match_name", "downloads_leaf", "modified")
 
 
-TREE = """<script>var initial_data = [{"text": "Root ]", "a_attr": {"href": "/RepositoryEntry/7/CourseNode/11", "title": "Root"}, "li_attr": {"class": "node-st"}, "children": [
-    {"text": "<b>One</b> &amp; two", "a_attr": {"href": "/RepositoryEntry/7/CourseNode/22", "class": "node-bc"}, "children": true},
-    {"text": "folder", "a_attr": {"href": "/Overview"}, "children": [{"text": "\\"Three\\"", "a_attr": {"href": "/RepositoryEntry/7/CourseNode/33"}}, {"text": "again", "a_attr": {"href": "/RepositoryEntry/7/CourseNode/11"}}]}]}]; var more = [1];</script>"""
-
-
 def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes of a small tree, on pages of which one has none."""
-    pages = spark.createDataFrame([("a", TREE), ("b", "<p>nothing</p>"), ("c", "var initial_data = [1, 2")], "page string, html string")
-    return tree_nodes(pages, "page", "html")
+    """The nodes of a page for each region: the region, its nations and their suppliers as a tree, and things that are no nodes."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    url = lambda region, id_: F.concat(F.lit("/RepositoryEntry/"), region, F.lit("/CourseNode/"), id_)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["node"])
+    nations = read("nation").select("n_nationkey", "n_name", "n_regionkey")
+    leaf = F.struct(F.col("s_name").alias("text"), F.struct(url(F.col("n_regionkey"), F.col("s_suppkey") + 10000).alias("href"), F.lit("node-bc ").alias("class")).alias("a_attr"), F.lit(True).alias("children"))
+    leaves = read("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(listed(F.struct("s_suppkey", leaf.alias("node"))).alias("children"))
+    branch = F.struct(F.concat(F.lit("<b>"), "n_name", F.lit("</b> &amp; more")).alias("text"), F.struct(F.when(F.col("n_nationkey") % 4 == 1, "/Overview").otherwise(url(F.col("n_regionkey"), F.col("n_nationkey"))).alias("href")).alias("a_attr"), F.struct(F.lit("node-st").alias("class")).alias("li_attr"), F.col("children"))
+    regions = nations.join(leaves, "n_nationkey", "left").groupBy("n_regionkey").agg(listed(F.struct("n_nationkey", branch.alias("node"))).alias("children")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    top = F.array(F.struct(F.lit("ignored ]").alias("text"), F.struct(url(F.col("r_regionkey"), F.col("r_regionkey") + 1000).alias("href"), F.concat(F.col("r_name"), F.lit(' "x"')).alias("title")).alias("a_attr"), F.col("children")))
+    pages = regions.select(F.col("r_name").alias("page"), F.concat(F.lit("<script>var initial_data = "), F.to_json(top), F.lit("; var more = [1];</script>")).alias("html"))
+    return tree_nodes(pages.unionByName(pages.select(F.concat("page", F.lit(" cut")).alias("page"), F.substring("html", 1, 60).alias("html"))), "page", "html")
 
 
 def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +137,12 @@ def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"tree_nodes": tree_listing, "reachable_pages": reachable_pages}
 ORACLES = {
-    "tree_nodes": """SELECT 'a' AS page, unnest([0, 1, 2]) AS pos, unnest(['11', '22', '33']) AS id, unnest(['/RepositoryEntry/7/CourseNode/11', '/RepositoryEntry/7/CourseNode/22', '/RepositoryEntry/7/CourseNode/33']) AS url,
-        unnest(['node-st', 'node-bc', '']) AS class, unnest(['Root', 'One & two', '"Three"']) AS title, unnest([1, 2, 2]) AS depth""",
+    "tree_nodes": """
+        WITH n AS (SELECT r_name AS page, r_regionkey AS r, n_nationkey AS n, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+        nodes AS (SELECT r_name AS page, r_regionkey AS r, -1 AS n, -1 AS s, (r_regionkey + 1000)::VARCHAR AS id, '' AS class, r_name || ' "x"' AS title, 1 AS depth FROM region
+                  UNION ALL SELECT page, r, n, -1, n::VARCHAR, 'node-st', n_name || ' & more', 2 FROM n WHERE n % 4 <> 1
+                  UNION ALL SELECT page, r, n, s_suppkey, (s_suppkey + 10000)::VARCHAR, 'node-bc', s_name, CASE WHEN n % 4 = 1 THEN 2 ELSE 3 END FROM n JOIN supplier ON s_nationkey = n)
+        SELECT page, (row_number() OVER (PARTITION BY page ORDER BY n, s) - 1)::INT AS pos, id, '/RepositoryEntry/' || r || '/CourseNode/' || id AS url, class, title, depth FROM nodes""",
     "reachable_pages": """
         WITH RECURSIVE links AS (SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey),
         reach AS (SELECT p_brand AS root, min(p_partkey) AS node, 0 AS depth FROM part GROUP BY 1 UNION SELECT root, target, depth + 1 FROM reach JOIN links ON node = source WHERE depth < 12)
