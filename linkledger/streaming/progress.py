@@ -1,4 +1,4 @@
-"""Progress events as streams: runs by gaps, stalled runs, and the level of a rate limiter."""
+"""Progress events as streams: runs by gaps, stalled runs, busy hosts, and the level of a rate limiter; and reads that settle."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
-#: Seconds without progress that make a stall, and the limiter's pauses by level.
+#: Seconds without progress that make a stall, and answers that ask to slow down.
 STALL_SECONDS = 180
+BUSY = [429, 503]
+#: The limiter's pauses in seconds by level.
 PAUSES = [0, 2, 10, 30, 60]
 
 
@@ -21,37 +24,34 @@ def gap_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "3 minu
 
 
 def stalls(events: DataFrame, key: str, ts: str = "ts", what: str = "message", late: str = "1 minute") -> DataFrame:
-    """A row for each time that a key stays without events for STALL_SECONDS of event time: key, last, last_message."""
-    schema = f"{key} string, last timestamp, last_message string"
-
-    def watch(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last, message = state.get
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "last": [pd.Timestamp(last, unit="us")], "last_message": [message]})
-            return
-        last, message = state.get if state.exists else (None, None)
-        for at, text in pd.concat(list(batches)).sort_values(ts)[[ts, what]].itertuples(index=False):
-            at = int(at.value // 1000)
-            if last is not None and at - last >= STALL_SECONDS * 1_000_000:
-                yield pd.DataFrame({key: [k[0]], "last": [pd.Timestamp(last, unit="us")], "last_message": [message]})
-            if last is None or at >= last:
-                last, message = at, str(text)
-        state.update((last, message))
-        state.setTimeoutTimestamp(max(last // 1000 + STALL_SECONDS * 1000, state.getCurrentWatermarkMs() + 1))
-
-    named = events.select(F.col(key).cast("string").alias(key), F.col(ts).cast("timestamp").alias(ts), F.col(what).alias(what)).withWatermark(ts, late)
-    return named.groupBy(key).applyInPandasWithState(watch, schema, "last long, message string", "append", GroupStateTimeout.EventTimeTimeout)
+    """A row for each time that a key stays without events for STALL_SECONDS of event time: key, last, last_message.
+
+    A session that ends by such a gap is one; sums of sessions are all that is kept of a key,
+    however many events it has. operators.merges.stall_warnings tells the warnings that follow.
+    """
+    windowed = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, f"{STALL_SECONDS} seconds").alias("w"))
+    return windowed.agg(F.max(ts).alias("last"), F.max_by(what, ts).alias("last_message")).select(key, "last", "last_message")
+
+
+def busy_hosts(answers: DataFrame, host: str, ts: str = "ts", width: str = "1 minute", late: str = "1 minute") -> DataFrame:
+    """For each host and minute of answers (host, ts, status): how many there were, and how many asked to slow down."""
+    windowed = answers.withWatermark(ts, late).groupBy(host, F.window(ts, width).alias("w"))
+    return windowed.agg(F.count("*").alias("answers"), F.count_if(F.col("status").isin(BUSY)).alias("busy")).select(host, F.col("w.start").alias("minute"), "answers", "busy")
 
 
 def _next_level(level: int, status: int) -> int:
-    if status in (429, 503):
+    if status in BUSY:
         return min(level + 1, len(PAUSES) - 1)
     return max(level - 1, 0) if 200 <= status < 400 else level
 
 
 def limiter_levels(answers: DataFrame, key: str) -> DataFrame:
-    """(key, seq, status, level, pause): a host's limiter after each answer (key, seq, status): busy ones raise it, good ones lower it, others leave it."""
+    """(key, seq, status, level, pause): a host's limiter after each answer (key, seq, status): busy ones raise it, good ones lower it, others leave it.
+
+    Each level follows from the one before, so a host's answers of one micro-batch are put in
+    order in one task; the level is all that is kept between batches. operators.merges.paced
+    gives the times that the least spacing asks for.
+    """
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level = state.get[0] if state.exists else 0
@@ -70,16 +70,22 @@ def limiter_levels(answers: DataFrame, key: str) -> DataFrame:
 def stable_read(sizes: DataFrame, key: str, needed: int = 2) -> DataFrame:
     """(key, best, polls, settled) of repeated reads (key, seq, n; n null for a failed read): the largest read, and whether it held.
 
-    A larger read starts the count of equal ones anew and asks for one more of them.
+    A larger read starts the count of equal ones anew and asks for one more of them. All of
+    it is running sums and maxima over a key's reads; nothing gathers them in an array.
     """
-    reads = sizes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "n"))).alias("reads"))
-    start = F.struct(F.lit(-1).cast("long").alias("best"), F.lit(0).alias("streak"), F.lit(needed).alias("needed"), F.lit(0).alias("polls"))
-
-    def step(s, r):
-        n, done = F.coalesce(r["n"].cast("long"), F.lit(-1).cast("long")), s["streak"] >= s["needed"]
-        larger, same = n > s["best"], (n == s["best"]) & (n >= 0)
-        streak = F.when(larger | ~same, 0).otherwise(s["streak"] + 1)
-        more = F.when(larger & (s["best"] >= 0), s["needed"] + 1).otherwise(s["needed"])
-        return F.when(done, s).otherwise(F.struct(F.greatest(n, s["best"]).alias("best"), streak.alias("streak"), more.alias("needed"), (s["polls"] + 1).alias("polls")))
-
-    return reads.select(key, F.aggregate("reads", start, step).alias("s")).select(key, "s.best", "s.polls", (F.col("s.streak") >= F.col("s.needed")).alias("settled"))
+    turn = Window.partitionBy(key).orderBy("seq")
+    before = turn.rowsBetween(Window.unboundedPreceding, -1)
+    upto = turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.coalesce(F.col("n").cast("long"), F.lit(-1).cast("long"))
+    reads = sizes.select(key, "seq", n.alias("n"))
+    marked = reads.withColumn("top", F.coalesce(F.max("n").over(before), F.lit(-1).cast("long")))
+    marked = marked.withColumn("same", (F.col("n") == F.col("top")) & (F.col("n") >= 0)).withColumn("grown", (F.col("n") > F.col("top")) & (F.col("top") >= 0))
+    marked = marked.withColumn("stretch", F.count_if(~F.col("same")).over(upto)).withColumn("asked", needed + F.count_if("grown").over(upto))
+    streak = F.count_if("same").over(Window.partitionBy(key, "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = marked.withColumn("polls", F.row_number().over(turn)).withColumn("best", F.greatest("n", "top")).withColumn("settled", streak >= F.col("asked"))
+    # the first read that settles, or else the last one
+    first = F.min(F.when(F.col("settled"), F.struct("polls", "best")))
+    last = F.max(F.struct("polls", "best"))
+    ends = marked.groupBy(key).agg(first.alias("first"), last.alias("last"))
+    end = F.coalesce("first", "last")
+    return ends.select(key, end["best"].alias("best"), end["polls"].alias("polls"), F.col("first").isNotNull().alias("settled"))

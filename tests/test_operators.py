@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from linkledger.operators import changes, redaction, reports, rules, similarity, trees, visits
+from linkledger.operators import changes, merges, messages, redaction, reports, rules, similarity, trees, visits
 from linkledger.plans import listing
 from linkledger.sources import tables
 from linkledger.streaming import progress
@@ -137,6 +137,38 @@ def test_reads_settle(spark):
     assert got == {"a": (5, True), "b": (-1, False)}
 
 
+def test_warnings_of_a_stall(spark):
+    events = spark.createDataFrame([("a", 0, 1), ("a", 100, 2), ("a", 350, 3), ("b", 0, 4)], "k string, at long, n long")
+    got = merges.stall_warnings(events, "k", "n", F.lit(400).cast("long")).collect()
+    assert sorted((r["k"], r["last"], r["n"], r["quiet"]) for r in got) == [("a", 100, 1, 180), ("a", 100, 2, 210), ("a", 100, 3, 240), *(("b", 0, k + 1, 180 + 30 * k) for k in range(8))]
+
+
+def test_requests_keep_their_distance(spark):
+    sent = merges.paced(spark.createDataFrame([("h", 0, 1), ("h", 100, 2), ("h", 150, 3), ("h", 2000, 4), ("i", 5, 5)], "h string, at long, n long"), "h", "at", "n").orderBy("n").collect()
+    assert [(r["sent"], r["held"]) for r in sent] == [(0, 0), (250, 150), (500, 350), (2000, 0), (5, 0)]
+
+
+def test_alerts(spark):
+    t = datetime(2024, 1, 1)
+    status = lambda *rows: spark.createDataFrame([(t + timedelta(hours=h), n, o) for h, n, o in rows], "timestamp timestamp, n long, outcome string")
+    shown = lambda df, at=None: [r["n"] for r in messages.active_alert(df, F.lit(at).cast("timestamp")).collect()]
+    assert shown(status((0, 1, "success"), (1, 2, "failure"))) == [2]
+    assert shown(status((1, 2, "success"), (1, 3, "failure"))) == [3] and shown(status((1, 2, "failure"), (1, 3, "success"))) == []
+    assert shown(status((1, 2, "failure")), t + timedelta(hours=1)) == [] and shown(status((0, 1, "failure"), (1, 2, "skipped"))) == []
+
+
+def test_course_rows_of_all_courses(spark):
+    got = merges.course_rows(spark.createDataFrame([(0, "*")], "place long, name string"), spark.createDataFrame([("b", "2"), ("a", "1")], "name string, folder string")).orderBy("place").collect()
+    assert [tuple(r) for r in got] == [(0, "a", "1"), (1, "b", "2")]
+
+
+def test_nodes_too_deep_are_an_error(spark):
+    roots, links = spark.createDataFrame([("r", 0)], "root string, node long"), spark.createDataFrame([(k, k + 1) for k in range(9)], "source long, target long")
+    assert trees.reachable(roots, links, rounds=10).count() == 10
+    with pytest.raises(RuntimeError):
+        trees.reachable(roots, links, rounds=4)
+
+
 def run_stream(spark, query, name, mode="append"):
     stream = query.writeStream.format("memory").queryName(name).outputMode(mode).start()
     try:
@@ -159,3 +191,6 @@ def test_streams(spark, tmp_path):
     levels = run_stream(spark, progress.limiter_levels(source("key string, seq long, status int", "a"), "key"), "levels")
     assert [(r["seq"], r["level"], r["pause"]) for r in sorted(levels, key=lambda r: r["seq"])] == [(0, 0, 0), (1, 1, 2), (2, 2, 10), (3, 2, 10), (4, 1, 2)]
     assert {r["last_message"] for r in run_stream(spark, progress.stalls(events, "key"), "stalled")} >= {"y"}
+    spark.createDataFrame([("h", f"{t}{m}", s) for m, s in [("00:01", 200), ("00:30", 503), ("01:10", 429), ("09:00", 200)]], "host string, ts string, status int").coalesce(1).write.json(str(tmp_path / "b"))
+    busy = run_stream(spark, progress.busy_hosts(source("host string, ts timestamp, status int", "b"), "host"), "busy", "complete")
+    assert sorted((r["minute"].minute, r["answers"], r["busy"]) for r in busy) == [(0, 2, 1), (1, 1, 1), (9, 1, 0)]
