@@ -162,7 +162,7 @@ def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> tuple[Dat
 
 
 PART_RULES = [("*brass", "metal/brass"), ("polished*", "finish/polished"), ("STEEL", "metal/steel"), ("?mall*", "size/small"), ("e", "other/e")]
-TABLE_RULES = ["STANDARD*", "brass", "*plated ?teel", "*small*copper", "medium [ab]*", "tin", "*nickel"]
+TABLE_RULES = ["standard ?*", "ROMO", "*c?nomy", "s*all", "[lm][ae]*", "ing", "*ndard"]
 NATION_RULES = [("united*/part", "unions"), ("*/*copper*", "copper"), ("a/s/{blatt}", "sheets/{Blatt}"), ("*/*", "all")]
 
 
@@ -225,7 +225,7 @@ ORACLES = {
     "rule_match": """SELECT p_partkey, p_type, CASE WHEN regexp_full_match(lower(p_type), '.*brass') THEN 'metal/brass' WHEN regexp_full_match(lower(p_type), 'polished.*') THEN 'finish/polished'
         WHEN contains(lower(p_type), 'steel') THEN 'metal/steel' WHEN regexp_full_match(lower(p_type), '.mall.*') THEN 'size/small' WHEN contains(lower(p_type), 'e') THEN 'other/e' END AS folder FROM part""",
     "rule_table_match": f"""
-        WITH r AS (SELECT c_custkey AS priority, ({["^standard.*$", "brass", "^.*plated .teel$", "^.*small.*copper$", "^medium [ab].*$", "tin", "^.*nickel$"]})[c_custkey % {len(TABLE_RULES)} + 1] AS regex FROM customer WHERE c_custkey % 11 = 0 AND c_custkey > 0)
+        WITH r AS (SELECT c_custkey AS priority, ({["^standard ..*$", "romo", "^.*c.nomy$", "^s.*all$", "^[lm][ae].*$", "ing", "^.*ndard$"]})[c_custkey % {len(TABLE_RULES)} + 1] AS regex FROM customer WHERE c_custkey % 11 = 0 AND c_custkey > 0)
         SELECT p_partkey, min(priority) AS priority, 'rule ' || min(priority) AS value FROM part LEFT JOIN r ON regexp_matches(lower(p_type), regex) GROUP BY p_partkey""",
     "rule_precedence": """SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') AND contains(lower(p_type), 's') AND p_partkey % 3 = 0 THEN 'sheets/Blatt' || lpad((p_partkey % 40)::VARCHAR, 2, '0')
         WHEN starts_with(lower(p_name), 'united') AND contains(lower(p_type), 'part') THEN 'unions' WHEN contains(lower(p_type), 'copper') THEN 'copper' ELSE 'all' END AS destination FROM part""",

@@ -100,40 +100,28 @@ def suggest(courses: DataFrame, folders: DataFrame, taken: DataFrame) -> DataFra
     return sure.withColumn("nth", one).where("nth = 1").select("course", "path", "score")
 
 
-COURSES = ["Algorithmen und Datenstrukturen", "Numerische Mathematik", "Programmieren 1 (SoSe 26)", "Softwaretechnologie", "Lineare Algebra", "Analysis"]
-FOLDERS = [
-    ("/u/AlgData/Downloads", "AlgData", True, "2026-05-01"),
-    ("/u/old/AlgData", "AlgData", False, "2025-05-01"),
-    ("/u/NuMa", "NuMa", False, "2026-05-01"),
-    ("/u/Prog", "Prog", False, "2026-05-01"),
-    ("/u/Programmieren", "Programmieren", False, "2025-11-01"),
-    ("/u/ST", "ST", False, "2026-05-01"),
-    ("/u/LinAlg", "LinAlg", False, "2026-05-01"),
-    ("/u/LinAlg2", "Lin-Alg", False, "2026-04-28"),
-    ("/u/Ana", "Ana", False, "2026-05-01"),
-    ("/u/Musik", "Musik", False, "2026-05-01"),
-]
-
-
 def folder_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders for a few courses."""
-    folders = spark.createDataFrame(FOLDERS, "path string, match_name string, downloads_leaf boolean, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
-    return suggest(spark.createDataFrame([(c,) for c in COURSES], "course string"), folders, spark.createDataFrame([], "path string"))
+    """Folders for a course of each name of parts, among folders that parts name in several ways; some are taken."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    key, name = F.col("p_partkey"), F.col("p_name")
+    match = F.when(key % 4 == 0, F.initcap(name)).when(key % 4 == 1, F.left(name, F.lit(5))).when(key % 4 == 2, F.concat(F.left(name, F.lit(6)), F.lit("x"))).otherwise(F.concat(name, F.lit(" old")))
+    made = parts.select(key, F.concat(F.lit("/u/"), key, F.lit("/"), match).alias("path"), match.alias("match_name"), (key % 6 == 0).alias("downloads_leaf"), F.date_add(F.lit("2020-01-01").cast("date"), (key * 7919 % 4000).cast("int")).cast("timestamp").alias("modified"))
+    return suggest(parts.select(F.concat(F.lit("Studies of "), name).alias("course")), made.drop("p_partkey"), made.where(key % 9 == 0).select(F.upper("path").alias("path")))
 
 
 def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well folders named for parts of types, shortened, joined or in initials, fit titles of names and types."""
+    """How well folders named for parts' names, shortened, joined, turned around or in initials, fit titles of names and types."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")
-    word = lambda n: F.get(F.split("p_type", " "), F.lit(n))
+    word = lambda n: F.get(F.split("p_name", " "), F.lit(n))
     kind, n = F.col("p_partkey") % 5, (F.col("p_partkey") % 7 + 2).cast("int")
     folder = (
-        F.when(kind == 0, F.concat(F.left(word(0), n), F.lit("-"), word(1)))
-        .when(kind == 1, F.concat(F.lower(F.left(word(2), n)), F.lit("_"), F.lower(word(0)), F.lit("x")))
-        .when(kind == 2, F.concat(F.left(word(0), F.lit(1)), F.left(word(1), F.lit(1)), F.left(word(2), F.lit(1))))
-        .when(kind == 3, F.concat(F.left(word(0), F.lit(3)), F.lit(" "), F.right(word(0), F.lit(3)), F.lit(" 20")))
+        F.when(kind == 0, F.concat(F.upper(F.left(word(0), n)), F.lit("-"), word(1)))
+        .when(kind == 1, F.concat(F.left(word(1), n), F.lit("_"), word(0), F.lit("x")))
+        .when(kind == 2, F.concat(F.left(word(0), F.lit(1)), F.left(word(1), F.lit(1))))
+        .when(kind == 3, F.concat(F.left(word(0), F.lit(2)), F.lit(" "), F.right(word(0), F.lit(2)), F.lit(" 20")))
         .otherwise(F.concat(word(1), F.lit(" of old")))
     )
-    title = F.concat(F.when(kind == 2, "").otherwise(F.concat("p_name", F.lit(" and the "))), "p_type")
+    title = F.concat("p_name", F.when(kind == 2, "").otherwise(F.concat(F.lit(" and the "), "p_type")))
     made = parts.select("p_partkey", title.alias("title"), folder.alias("folder"))
     return made.select("p_partkey", "title", "folder", F.round(score(F.col("title"), F.col("folder")), 6).alias("score"))
 
@@ -142,18 +130,31 @@ QUERIES = {"folder_suggest": folder_suggest, "name_scores": name_scores}
 _WORDS = lambda x: f"list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: NOT regexp_matches(w, '^[0-9]*$'))"
 _SHARED = "len(list_filter(range(1, least(length(s), length(t)) + 1), lambda n: left(s, n) = left(t, n)))"
 _PAIR = f"CASE WHEN s = t THEN 1.0 WHEN length(s) >= 2 AND starts_with(t, s) THEN 0.9 WHEN length(t) >= 3 AND starts_with(s, t) THEN 0.8 WHEN {_SHARED} >= greatest(3, length(s) - 1) THEN 0.75 WHEN length(s) >= 4 AND contains(t, s) THEN 0.7 ELSE 0.0 END"
-ORACLES = {
-    "name_scores": f"""
-        WITH p AS (SELECT p_partkey, p_partkey % 5 AS kind, (p_partkey % 7 + 2)::INT AS n, string_split(p_type, ' ') AS w, p_name, p_type FROM part),
-        m AS (SELECT p_partkey, CASE WHEN kind = 2 THEN '' ELSE p_name || ' and the ' END || p_type AS title,
-                     CASE kind WHEN 0 THEN left(w[1], n) || '-' || w[2] WHEN 1 THEN lower(left(w[3], n)) || '_' || lower(w[1]) || 'x' WHEN 2 THEN left(w[1], 1) || left(w[2], 1) || left(w[3], 1)
-                               WHEN 3 THEN left(w[1], 3) || ' ' || right(w[1], 3) || ' 20' ELSE w[2] || ' of old' END AS folder FROM p),
-        f AS (SELECT *, {_WORDS("folder")} AS segs, list_filter({_WORDS("title")}, lambda w: w NOT IN ('and', 'the', 'of', 'in', 'for', 'a', 'an')) AS toks FROM m),
-        pairs AS (SELECT p_partkey, s, nth, max({_PAIR}) AS best FROM (SELECT p_partkey, unnest(segs) AS s, generate_subscripts(segs, 1) AS nth, toks FROM f) x, unnest(toks) AS y(t) GROUP BY ALL),
-        means AS (SELECT p_partkey, sum(length(s) * best) / sum(length(s)) AS mean FROM pairs GROUP BY 1),
+#: From m (title, folder and other columns, rows distinct) to scored, with their score.
+_SCORED = f"""
+        k AS (SELECT *, row_number() OVER () AS k FROM m),
+        f AS (SELECT *, {_WORDS("folder")} AS segs, list_filter({_WORDS("title")}, lambda w: w NOT IN ('and', 'the', 'of', 'in', 'for', 'a', 'an')) AS toks FROM k),
+        pairs AS (SELECT k, s, nth, max({_PAIR}) AS best FROM (SELECT k, unnest(segs) AS s, generate_subscripts(segs, 1) AS nth, toks FROM f) x, unnest(toks) AS y(t) GROUP BY ALL),
+        means AS (SELECT k, sum(length(s) * best) / sum(length(s)) AS mean FROM pairs GROUP BY 1),
         a AS (SELECT *, array_to_string(list_transform(segs, lambda s: left(s, 1)), '') AS own, array_to_string(list_transform(toks, lambda t: left(t, 1)), '') AS whole FROM f),
         b AS (SELECT *, CASE WHEN length(own) >= 2 AND list_contains(toks, own) THEN 0.9 WHEN len(segs) = 1 AND len(string_split(trim(folder), ' ')) = 1 AND length(segs[1]) >= 2 AND segs[1] = whole THEN 0.85 ELSE 0.0 END AS acronym,
                      CASE WHEN len(segs) = 2 AND length(segs[1]) + length(segs[2]) >= 4 AND len(list_filter(toks, lambda t: starts_with(t, segs[1]) AND contains(substr(t, length(segs[1]) + 1), segs[2]))) > 0 THEN 0.9
-                          WHEN len(segs) > 2 AND len(list_filter(toks, lambda t: starts_with(t, segs[1]) AND regexp_matches(substr(t, length(segs[1]) + 1), array_to_string(segs[2:], '.*')))) > 0 THEN 0.9 ELSE 0.0 END AS compound FROM a)
-        SELECT p_partkey, title, folder, round(greatest(coalesce(mean, 0), acronym, compound)::DOUBLE, 6) AS score FROM b LEFT JOIN means USING (p_partkey)""",
+                          WHEN len(segs) > 2 AND len(list_filter(toks, lambda t: starts_with(t, segs[1]) AND regexp_matches(substr(t, length(segs[1]) + 1), array_to_string(segs[2:], '.*')))) > 0 THEN 0.9 ELSE 0.0 END AS compound FROM a),
+        scored AS (SELECT b.*, greatest(coalesce(mean, 0), acronym, compound)::DOUBLE AS score FROM b LEFT JOIN means USING (k))"""
+ORACLES = {
+    "folder_suggest": f"""
+        WITH d AS (SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') WHEN 1 THEN left(p_name, 5) WHEN 2 THEN left(p_name, 6) || 'x' ELSE p_name || ' old' END AS folder
+                   FROM part WHERE p_partkey % 9 <> 0),
+        m AS (SELECT 'Studies of ' || p_name AS title, folder, '/u/' || key || '/' || folder AS path, key % 6 = 0 AS leaf, DATE '2020-01-01' + (key * 7919 % 4000)::INT AS modified FROM d, (SELECT DISTINCT p_name FROM part)), {_SCORED},
+        near AS (SELECT *, max(score) OVER (PARTITION BY title) - score <= 0.1 AS near FROM scored WHERE score >= 0.75),
+        n AS (SELECT *, count(*) FILTER (near AND leaf) OVER (PARTITION BY title) AS leaves, count(*) FILTER (near) OVER (PARTITION BY title) AS nears, max(score) FILTER (NOT near) OVER (PARTITION BY title) AS rival FROM near),
+        i AS (SELECT *, row_number() OVER w AS nth, lead(modified) OVER w AS next, count(*) OVER (PARTITION BY title) AS n FROM n WHERE near AND (leaf OR leaves = 0 OR leaves = nears) WINDOW w AS (PARTITION BY title ORDER BY modified DESC, path)),
+        s AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY score DESC, title) AS first FROM i WHERE nth = 1 AND (n = 1 OR modified - next >= 14) AND (rival IS NULL OR score - rival >= 0.08))
+        SELECT title AS course, path, score FROM s WHERE first = 1""",
+    "name_scores": f"""
+        WITH p AS (SELECT p_partkey, p_partkey % 5 AS kind, (p_partkey % 7 + 2)::INT AS n, string_split(p_name, ' ') AS w, p_name, p_type FROM part),
+        m AS (SELECT p_partkey, p_name || CASE WHEN kind = 2 THEN '' ELSE ' and the ' || p_type END AS title,
+                     CASE kind WHEN 0 THEN upper(left(w[1], n)) || '-' || w[2] WHEN 1 THEN left(w[2], n) || '_' || w[1] || 'x' WHEN 2 THEN left(w[1], 1) || left(w[2], 1)
+                               WHEN 3 THEN left(w[1], 2) || ' ' || right(w[1], 2) || ' 20' ELSE w[2] || ' of old' END AS folder FROM p), {_SCORED}
+        SELECT p_partkey, title, folder, round(score, 6) AS score FROM scored""",
 }
