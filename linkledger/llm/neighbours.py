@@ -40,8 +40,8 @@ from . import _spark as S
 #: Rows of a shard, about, and queries of a block.
 SHARD, BLOCK = 16384, 512
 #: Links of a node that are chosen, links at most, candidates for them, one in LEVEL rises a level.
-LINKS, MOST, CANDIDATES, LEVEL = 16, 32, 40, 16
-BEAM = 128
+LINKS, MOST, CANDIDATES, LEVEL = 24, 48, 56, 16
+BEAM = 224
 INDEX = "dims int, shard int, nodes int, vectors binary, ids array<long>, first array<int>, levels array<struct<nodes:binary,links:binary>>"
 
 
