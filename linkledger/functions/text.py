@@ -266,3 +266,10 @@ def remaining(seconds: Column) -> Column:
         .when(seconds < 48 * 3600, F.concat(n(3600), F.lit(" hours")))
         .otherwise(F.concat(n(86400), F.lit(" days")))
     )
+
+
+def content_length(headers: Column) -> Column:
+    """The content-length of a map of headers, its name in any case; 0 without one or where it is no number."""
+    found = F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == "content-length"))
+    value = strip(F.coalesce(F.get(found, F.lit(0)), F.lit("")))
+    return F.coalesce(F.when(value.rlike(r"^\d+$"), value.try_cast("long")), F.lit(0).cast("long"))

@@ -13,6 +13,8 @@ KEPT_PARAMETERS = ["baseClass", "cmd", "cmdClass", "cmdNode", "crs_next_sess", "
 #: Patterns of addresses.
 ENTRY = r"(?i)/RepositoryEntry/(\d+)"
 NODE = r"(?i)/coursenode/(\d+)(/[^?#]*)?"
+#: Fixed value: where a group keeps its files.
+GROUP_FOLDER = "/menu/MENU_FOLDER"
 
 
 def part(url: Column, n: int) -> Column:
@@ -123,6 +125,11 @@ def without_query(url: Column) -> Column:
     return F.regexp_replace(url, r"[?#].*$", "?...")
 
 
+def group_folder(url: Column) -> Column:
+    """The address of a group's folder."""
+    return F.concat(F.regexp_replace(T.strip(url), "/+$", ""), F.lit(GROUP_FOLDER))
+
+
 def path_of(url: Column) -> Column:
     """The path of an absolute address, other references as they are."""
     return F.when(host(url) != "", part(url, 3)).otherwise(url)

@@ -44,7 +44,7 @@ def customer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What section of its entry each link stands for, and the entry it names itself."""
     url = U.resolve(F.lit(f"{BASE}/start"), F.col("href"))
-    return customer_links(spark, sf_dir).select("k", url.alias("url"), "entry").select("k", "url", U.section_key(F.col("url"), F.col("entry")).alias("key"), U.entry_id(F.col("url")).alias("own"), U.same_host(F.col("url"), F.lit(BASE)).alias("same_host"))
+    return customer_links(spark, sf_dir).select("k", url.alias("url"), "entry").select("k", "url", U.section_key(F.col("url"), F.col("entry")).alias("key"), U.entry_id(F.col("url")).alias("own"), U.same_host(F.col("url"), F.lit(BASE)).alias("same_host"), U.group_folder(F.concat(F.lit(" "), "url")).alias("folder"))
 
 
 def link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ _FILES = f"""f AS (SELECT s_nationkey, s_suppkey, 'Course ' || s_nationkey AS co
 ORACLES = {
     "section_keys": f"""{_LINKS} SELECT k, url, CASE WHEN node <> '' THEN 'repo|' || entry || '|coursenode|' || node || CASE WHEN tail <> '' THEN '|path|' || lower(url_decode(tail)) ELSE '' END
         WHEN own <> '' AND own <> entry THEN 'foreign-repo|' || own WHEN regexp_matches(target, '^(fold|grp|crs)_') THEN 'repo|' || entry || '|target|' || target WHEN node_id <> '' THEN 'repo|' || entry || '|node|' || node_id
-        WHEN cmd_node <> '' THEN 'repo|' || entry || '|cmdnode|' || cmd_node WHEN cmd IN ('', 'view') THEN 'repo|' || entry || '|root' ELSE 'repo|' || entry || '|cmd|' || cmd END AS key, own, {_HOST} AS same_host FROM p""",
+        WHEN cmd_node <> '' THEN 'repo|' || entry || '|cmdnode|' || cmd_node WHEN cmd IN ('', 'view') THEN 'repo|' || entry || '|root' ELSE 'repo|' || entry || '|cmd|' || cmd END AS key, own, {_HOST} AS same_host, rtrim(url, '/') || '/menu/MENU_FOLDER' AS folder FROM p""",
     "link_kinds": f"""{_LINKS} SELECT k, t <> '' AND NOT {_any("h", P.NO_FILE)} AND ({_any("h", P.FILE)} OR regexp_matches(t, '\\.({"|".join(P.FILE_ENDINGS)})$')) AS is_file,
         t <> '' AND NOT {_any("t", P.NO_SECTION_TITLE)} AND NOT {_any("h", P.NO_SECTION)} AND {_any("h", P.SECTION)} AS is_folder,
         t <> '' AND NOT {_any("t", [*P.NO_SECTION_TITLE, P.OVERVIEW_TITLE])} AND NOT {_any("h", P.NO_PLAIN_SECTION)} AND {_any("h", P.SECTION)} AS is_section,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import predicates as P
+from ..functions import text as T
 from . import addresses as A
 
 #: Files of a section from which it is fetched as a whole, seconds without progress that are a stall, seconds
@@ -84,6 +85,29 @@ def replay(log: DataFrame, viewers: DataFrame, job: str) -> DataFrame:
     return viewers.join(log, job).where(F.col("seq") > F.coalesce("seen", F.lit(0)))
 
 
+def without_shared(rows: DataFrame, key: str, shared: str) -> tuple[DataFrame, DataFrame]:
+    """rows without a text that all rows of a key share, and the table (key, shared) that has it once."""
+    return rows.drop(shared), rows.groupBy(key).agg(F.max(shared).alias(shared))
+
+
+def with_shared(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """What without_shared took apart."""
+    return rows.join(texts, key, "left")
+
+
+def first_success(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """jobs (key, source, show_all, expanded) with the first of their pages that results (url, ok) tell to work, null if none, and how many were tried.
+
+    The source is tried even if it is blank, the others only if they aren't; pages that differ
+    in case alone are one.
+    """
+    told = lambda x: F.lower(T.strip(F.coalesce(x, F.lit(""))))
+    pages = F.array_distinct(F.concat(F.array(told(F.col("source"))), F.filter(F.array(told(F.col("show_all")), told(F.col("expanded"))), lambda p: p != "")))
+    each = jobs.select("key", F.posexplode(pages).alias("nth", "url")).join(results.groupBy(told(F.col("url")).alias("url")).agg(F.bool_or("ok").alias("ok")), "url", "left")
+    first = F.min(F.when(F.coalesce("ok", F.lit(False)), F.struct("nth", "url")))
+    return each.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")).select("key", F.col("first.url").alias("page"), F.coalesce(F.col("first.nth") + 1, F.col("n")).cast("long").alias("tried"))
+
+
 def stall_warnings(events: DataFrame, key: str, order: str, until: Column) -> DataFrame:
     """(key, last, n, quiet): a warning after STALL_SECONDS without events of a key, and another one EVERY seconds until the next event or `until`.
 
@@ -155,8 +179,31 @@ def file_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("course").agg(F.count_if(P.is_file(F.col("href"), F.col("title"))).alias("n_files"), F.count_distinct("href").alias("n_addresses"))
 
 
-QUERIES = {f.__name__: f for f in (bulk_jobs, merged_candidates, settings_rows, run_outcomes, request_pacing, event_replay, stalled_runs, file_shaped)}
+def shared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines whose order's priority was taken out of them and put back."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey").join(orders, "o_orderkey")
+    rows, texts = without_shared(lines, "o_orderkey", "o_orderpriority")
+    return with_shared(rows, texts, "o_orderkey")
+
+
+def fallback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' pages in the order in which they are tried, of which suppliers tell some to work."""
+    c, s = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    k = F.col("c_custkey")
+    jobs = c.select(k.alias("key"), F.when(k % 5 != 0, F.concat(F.lit("/P"), k % 40)).alias("source"), F.when(k % 3 == 0, F.concat(F.lit(" /p"), k % 40)).otherwise(F.concat(F.lit("/q"), k % 50)).alias("show_all"), F.when(k % 2 == 0, F.concat(F.lit("/r"), k % 30)).otherwise(" ").alias("expanded"))
+    front = F.get(F.array(F.lit("/p"), F.lit("/Q"), F.lit("/r")), (F.col("s_suppkey") % 3).cast("int"))
+    return first_success(jobs, s.select(F.concat(front, F.col("s_suppkey")).alias("url"), (F.col("s_suppkey") % 4 != 1).alias("ok")))
+
+
+QUERIES = {f.__name__: f for f in (shared_texts, fallback_pages, bulk_jobs, merged_candidates, settings_rows, run_outcomes, request_pacing, event_replay, stalled_runs, file_shaped)}
 ORACLES = {
+    "shared_texts": "SELECT l_orderkey AS o_orderkey, l_linenumber, l_partkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "fallback_pages": """
+        WITH j AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 5 <> 0 THEN '/p' || c_custkey % 40 ELSE '' END AS a, CASE WHEN c_custkey % 3 = 0 THEN '/p' || c_custkey % 40 ELSE '/q' || c_custkey % 50 END AS b, CASE WHEN c_custkey % 2 = 0 THEN '/r' || c_custkey % 30 END AS c FROM customer),
+        r AS (SELECT ['/p', '/q', '/r'][(s_suppkey % 3)::INT + 1] || s_suppkey AS url FROM supplier WHERE s_suppkey % 4 <> 1),
+        k AS (SELECT key, a, CASE WHEN b <> a THEN b END AS b, c FROM j), o AS (SELECT *, a IN (FROM r) AS oa, coalesce(b IN (FROM r), false) AS ob, coalesce(c IN (FROM r), false) AS oc FROM k)
+        SELECT key, CASE WHEN oa THEN a WHEN ob THEN b WHEN oc THEN c END AS page, (CASE WHEN oa THEN 1 WHEN ob THEN 2 ELSE 1 + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT END)::BIGINT AS tried FROM o""",
     "bulk_jobs": """
         WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, max(l_shipdate)::DATE::VARCHAR AS day FROM lineitem GROUP BY 1, 2, 3),
         j AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) >= 2 AND l_partkey % 4 <> 0 AS done FROM d)

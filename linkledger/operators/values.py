@@ -63,8 +63,17 @@ def message_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", P.error_kind(F.concat(tell, "text")).alias("kind"), P.shown_on_console(level, F.when(F.col("doc_id") % 2 == 0, "user").otherwise("log"), False).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (match_texts, course_words, event_values, event_ages, exit_codes, message_kinds)}
+def header_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line prices as content lengths of headers in several spellings, and some that are none."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.floor("l_extendedprice").cast("string").alias("n"))
+    name = F.get(F.array(*map(F.lit, ["Content-Length", "content-length", "CONTENT-LENGTH", "Length"])), (F.col("l_orderkey") % 4).cast("int"))
+    value = F.when(F.col("l_partkey") % 5 == 0, F.concat("n", F.lit("b"))).otherwise(F.concat(F.lit(" "), "n"))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", T.content_length(F.create_map(F.lit("Accept"), F.lit("12"), name, value)).alias("length"))
+
+
+QUERIES = {f.__name__: f for f in (header_lengths, match_texts, course_words, event_values, event_ages, exit_codes, message_kinds)}
 ORACLES = {
+    "header_lengths": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 4 = 3 OR l_partkey % 5 = 0 THEN 0 ELSE floor(l_extendedprice)::BIGINT END AS length FROM lineitem",
     "match_texts": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(nfc_normalize(strip_accents(lower(text))), '\p{Mn}', '', 'g'), '[\s\pZ]+', ' ', 'g'))) AS match,
         md5(replace(translate(lower(text), 'äöüáàâãåéèêëíìîïóòôõøúùûñçý', 'aouaaaaaeeeeiiiiooooouuuncy'), 'ß', 'ss')) AS fold FROM documents""",
     "course_words": """
