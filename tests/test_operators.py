@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from linkledger.functions import text
 from linkledger.operators import changes, merges, messages, redaction, reports, rules, similarity, trees, visits
 from linkledger.plans import listing
 from linkledger.sources import tables
@@ -74,8 +75,34 @@ def test_scores(spark, course, folder, least, most):
 
 
 def test_suggestions(spark):
-    got = {r["course"]: r["path"] for r in similarity.folder_suggest(spark, "").collect()}
-    assert got == {"Algorithmen und Datenstrukturen": "/u/AlgData/Downloads", "Numerische Mathematik": "/u/NuMa", "Programmieren 1 (SoSe 26)": "/u/Prog", "Analysis": "/u/Ana"}
+    courses = ["Algorithmen und Datenstrukturen", "Numerische Mathematik", "Programmieren 1 (SoSe 26)", "Theorie der Informatik", "Lineare Algebra", "Analysis"]
+    folders = [
+        ("/u/AlgData/Downloads", "AlgData", True, "2026-05-01"),
+        ("/u/old/AlgData", "AlgData", False, "2025-05-01"),
+        ("/u/NuMa", "NuMa", False, "2026-05-01"),
+        ("/u/Prog", "Prog", False, "2026-05-01"),
+        ("/u/Programmieren", "Programmieren", False, "2025-11-01"),
+        ("/u/TI", "TI", False, "2026-05-01"),
+        ("/u/LinAlg", "LinAlg", False, "2026-05-01"),
+        ("/u/LinAlg2", "Lin-Alg", False, "2026-04-28"),
+        ("/u/Ana", "Ana", False, "2026-05-01"),
+        ("/u/Musik", "Musik", False, "2026-05-01"),
+    ]
+    made = spark.createDataFrame(folders, "path string, match_name string, downloads_leaf boolean, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
+    taken = spark.createDataFrame([("/U/musik/",)], "path string")
+    got = {r["course"]: r["path"] for r in similarity.suggest(spark.createDataFrame([(c,) for c in courses], "course string"), made, taken).collect()}
+    assert got == {"Algorithmen und Datenstrukturen": "/u/AlgData/Downloads", "Numerische Mathematik": "/u/NuMa", "Programmieren 1 (SoSe 26)": "/u/Prog", "Analysis": "/u/Ana", "Theorie der Informatik": "/u/TI"}
+
+
+def test_telling_words(spark):
+    words = lambda x: spark.createDataFrame([(x,)], "x string").select(text.course_tokens(F.col("x"))).first()[0]
+    assert words("Theorie der Informatik") == ["theorie", "informatik"] and words("Introduction to the Design of Things") == ["introduction", "to", "design", "things"]
+    assert words("Übungen zur Analysis 2, WiSe26") == ["ubungen", "analysis"]
+
+
+def test_exit_codes(spark):
+    kinds = ["not_ready", "already_running", "offline", "already_succeeded", "anything"]
+    assert [r[0] for r in spark.createDataFrame([(k,) for k in kinds], "k string").select(messages.exit_code(F.col("k"))).collect()] == [3, 4, 5, 6, 1]
 
 
 def test_redaction(spark):
