@@ -111,8 +111,9 @@ def history_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_diff_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of each kind of event that only one half of the month has."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("course"), F.col("user_id").alias("name"), F.dayofmonth("ts").alias("day"))
+    """Users and hours of each kind of event that only one half of the month has."""
+    name = F.concat_ws("@", "user_id", F.hour("ts"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("course"), name.alias("name"), F.dayofmonth("ts").alias("day"))
     return set_difference(events.where("day <= 15"), events.where("day > 15"), ["course", "name"])
 
 
@@ -150,7 +151,7 @@ ORACLES = {
         sum(l_quantity::BIGINT)::DOUBLE / (SELECT sum(l_quantity::BIGINT) FROM lineitem) AS share FROM lineitem GROUP BY 1""",
     "history_tail": "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 30",
     "set_diff_by_course": """
-        WITH e AS (SELECT event_type AS course, user_id AS name, day(ts) AS day FROM events), a AS (SELECT DISTINCT course, name FROM e WHERE day <= 15), b AS (SELECT DISTINCT course, name FROM e WHERE day > 15)
+        WITH e AS (SELECT event_type AS course, user_id || '@' || hour(ts) AS name, day(ts) AS day FROM events), a AS (SELECT DISTINCT course, name FROM e WHERE day <= 15), b AS (SELECT DISTINCT course, name FROM e WHERE day > 15)
         SELECT *, 'missing' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'extra' FROM (FROM b EXCEPT FROM a)""",
     "correlation": "SELECT l_returnflag, round(coalesce(corr(l_quantity, l_extendedprice), 0), 9) AS r, round(coalesce(corr(l_quantity * l_quantity, l_extendedprice), 0), 9) AS r_square FROM lineitem GROUP BY 1",
     "size_quartet": "SELECT l_suppkey, count(*) AS n, min(l_extendedprice) AS least, (list_sort(list(l_extendedprice)))[count(*) // 2 + 1] AS median, max(l_extendedprice) AS largest FROM lineitem GROUP BY 1",
