@@ -364,8 +364,8 @@ def with_more(texts: DataFrame, table: Table, words: DataFrame | None) -> DataFr
                 yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["key", "hash"])
 
     key = F.xxhash64("text")  # texts of one key get what any of them has
-    found = texts.select(key.alias("key"), "text").mapInArrow(rest, "key long, hash long").distinct().join(words.select("hash", "class"), "hash")
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("hash", "class")).alias("more"))
+    found = texts.select(key.alias("key"), "text").mapInArrow(rest, "key long, hash long").join(words.select("hash", "class"), "hash")
+    lists = found.groupBy("key").agg(F.collect_set(F.struct("hash", "class")).alias("more"))  # copies of a text add nothing to its set
     return texts.withColumn("key", key).join(lists, "key", "left").drop("key")
 
 
@@ -452,7 +452,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     model, counts, least, rows = learn(rows)
     known = docs.sparkSession.sparkContext.broadcast(model)
     scored = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), _score(known)(F.col("text"), F.col("more")).alias("s"))
-    scored = S.cut(scored.select("doc_id", "row", "s.*"))
+    scored = S.written(scored.select("doc_id", "row", "s.*"))
     rest = scored.select("row", F.explode("rest").alias("hash"))
     rare = counts.where((F.col("n") < least) & (F.col("kind") != END_KIND)).select("hash", "n")
     found = rest.join(rare, "hash", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare"))
