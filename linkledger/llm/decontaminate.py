@@ -22,14 +22,12 @@ Memory: one slab of texts, or the longest document, beside the broadcast part.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import _bytes as B
 from . import _spark as S
