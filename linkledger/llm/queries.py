@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontaminate, language, mixing, near_duplicates, neighbours, repeats, secrets, sharding, token_files
+from . import class_lm, decontaminate, language, mixing, near_duplicates, neighbours, periodic, repeats, secrets, sharding, token_files
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         mixing.op8_mixing,
         token_files.op9_token_files,
         class_lm.op10_class_lm,
+        periodic.op11_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = {**sharding.ORACLES, **secrets.ORACLES, **mixing.ORACLES}
