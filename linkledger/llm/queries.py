@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontaminate, language, mixing, near_duplicates, neighbours, periodic, repeats, secrets, sharding, token_files
+from . import bit_slices, class_lm, decontaminate, language, mixing, near_duplicates, neighbours, periodic, repeats, secrets, sharding, token_files
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         token_files.op9_token_files,
         class_lm.op10_class_lm,
         periodic.op11_periodic_runs,
+        bit_slices.op12_bit_sliced_top,
     )
 }
-ORACLES: dict[str, str] = {**sharding.ORACLES, **secrets.ORACLES, **mixing.ORACLES}
+ORACLES: dict[str, str] = {**sharding.ORACLES, **secrets.ORACLES, **mixing.ORACLES, **bit_slices.ORACLES}
