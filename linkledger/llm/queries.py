@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bit_slices, class_lm, decontaminate, language, mixing, near_duplicates, neighbours, periodic, repeats, secrets, sharding, token_files
+from . import bit_slices, class_lm, decontaminate, filter_audit, language, mixing, near_duplicates, neighbours, periodic, repeats, secrets, sharding, token_files
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         class_lm.op10_class_lm,
         periodic.op11_periodic_runs,
         bit_slices.op12_bit_sliced_top,
+        filter_audit.op13_filter_audit,
     )
 }
-ORACLES: dict[str, str] = {**sharding.ORACLES, **secrets.ORACLES, **mixing.ORACLES, **bit_slices.ORACLES}
+ORACLES: dict[str, str] = {**sharding.ORACLES, **secrets.ORACLES, **mixing.ORACLES, **bit_slices.ORACLES, **filter_audit.ORACLES}
