@@ -8,7 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import text as T
 from . import urls as U
@@ -16,8 +16,13 @@ from . import urls as U
 ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a>"
 ROW = r"(?is)<tr\b[^>]*>.*?</tr>"
 FRAME = r"(?is)<iframe\b[^>]*>"
+FILE_ANCHOR = r'(?i)data-file-name\s*=\s*"'
+#: A character that no page may have, put before each anchor to count them by.
+MARK = "\x01"
 #: Documents of frames that a page may bring along.
 FRAMES = 4
+#: What an anchor's tag says, by the columns that it becomes.
+ATTRIBUTES = {"href": "href", "onclick": "onclick", "data_href": "data-href", "data_url": "data-url", "title": "title", "class_name": "class", "file_name": "data-file-name"}
 
 
 @F.pandas_udf(StringType())
@@ -25,14 +30,24 @@ def _unescaped(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else html.unescape(t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _all_unescaped(x: pd.Series) -> pd.Series:
+    return x.map(lambda texts: [None if t is None else html.unescape(t) for t in texts])
+
+
 def unescape(x: Column) -> Column:
     """A text with its character references resolved; only texts with an ampersand visit Python."""
     return F.when(x.contains("&"), _unescaped(x)).otherwise(x)
 
 
+def unescape_all(x: Column) -> Column:
+    """An array of texts with their character references resolved, in one visit to Python, if any of them has an ampersand."""
+    return F.when(F.exists(x, lambda t: t.contains("&")), _all_unescaped(x)).otherwise(x)
+
+
 def attribute(tag: Column, name: str) -> Column:
     """The last value of an attribute in a tag, character references left as they are; an empty text without one."""
-    found = F.regexp_extract_all(tag, F.lit(rf'(?i)(?:^|\s){name}="([^"]*)"'), F.lit(1))
+    found = F.regexp_extract_all(tag, F.lit(rf'(?i)(?:^|[\s"]){name}\s*=\s*"([^"]*)"'), F.lit(1))
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
@@ -41,20 +56,39 @@ def plain(x: Column) -> Column:
     return T.collapse(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
 
 
+def rows_of_anchors(body: Column) -> Column:
+    """For each anchor of a page, in order, the row around its start if that has exactly one anchor with data-file-name, else null.
+
+    Anchors are marked, and the page is cut at its rows: the marks in each row, and between
+    rows, say how many anchors in turn belong there. So it is one pass over the page and one
+    over its rows, however many there are of either.
+    """
+    marked = F.regexp_replace(body, ANCHOR, f"{MARK}$0")
+    count = lambda x: F.length(x) - F.length(F.translate(x, MARK, ""))
+    single = lambda row: F.when(F.regexp_count(row, F.lit(FILE_ANCHOR)) == 1, F.translate(row, MARK, ""))
+    # as many pieces between rows as rows, and one more
+    pieces = lambda page: F.zip_with(F.split(page, ROW, -1), F.regexp_extract_all(page, F.lit(ROW), F.lit(0)), lambda gap, row: F.concat(F.array_repeat(F.lit(None).cast("string"), count(gap)), F.array_repeat(single(row), F.coalesce(count(row), F.lit(0)))))
+    return F.flatten(T.bind(marked, pieces))
+
+
 def anchors(pages: DataFrame, kept: list[str], body: str = "html") -> DataFrame:
     """A row for each anchor: the kept columns, pos (from 0), href, onclick, data_href, data_url, title, class_name, file_name, text and row_text.
 
-    row_text is the text of the table row around an anchor if that row has exactly one
-    anchor with data-file-name; without such a row it is the anchor's own text.
+    row_text is the text of the table row around an anchor's start if that row has exactly one
+    anchor with data-file-name; without such a row it is the anchor's own text. Pages without
+    a row with data-file-name aren't searched for rows. Time and memory follow a page's length.
     """
-    rows = F.filter(F.regexp_extract_all(F.col(body), F.lit(ROW), F.lit(0)), lambda r: F.size(F.regexp_extract_all(r, F.lit("(?i)data-file-name="), F.lit(0))) == 1)
-    of_rows = F.transform(rows, lambda r: F.struct(F.regexp_extract(r, ANCHOR, 0).alias("anchor"), plain(r).alias("text")))
-    found = pages.select(*kept, of_rows.alias("rows"), F.col(body).alias("body")).select(*kept, "rows", F.posexplode(F.regexp_extract_all("body", F.lit(ANCHOR), F.lit(0))).alias("pos", "anchor"))
-    head, text = F.regexp_extract("anchor", ANCHOR, 1), plain(F.regexp_extract("anchor", ANCHOR, 2))
-    row = F.get(F.filter("rows", lambda r: r["anchor"] == F.col("anchor")), F.lit(0))["text"]
-    values = found.select(*kept, "pos", *(attribute(head, a).alias(n) for a, n in (("href", "href"), ("onclick", "onclick"), ("data-href", "data_href"), ("data-url", "data_url"), ("title", "title"), ("class", "class_name"), ("data-file-name", "file_name"))), text.alias("text"), row.alias("row_text"))
-    values = values.withColumn("row_text", F.coalesce(T.none_if_blank(F.col("row_text")), F.col("text")))
-    return values.select(*kept, "pos", *(unescape(F.col(c)).alias(c) for c in ("href", "onclick", "data_href", "data_url", "title", "class_name", "file_name", "text", "row_text")))
+    page = F.translate(F.col(body), MARK, "")
+    found = F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(0))
+    rows = F.when(page.rlike(FILE_ANCHOR), rows_of_anchors(page)).otherwise(F.array().cast("array<string>"))
+    each = pages.select(*kept, F.posexplode(F.arrays_zip(found.alias("anchor"), rows.alias("row"))).alias("pos", "a"))
+    head, inner = F.regexp_extract("a.anchor", ANCHOR, 1), F.regexp_extract("a.anchor", ANCHOR, 2)
+    bare = lambda x: F.regexp_replace(x, r"(?s)<[^>]*>", " ")
+    raw = each.select(*kept, "pos", F.array(*(attribute(head, a) for a in ATTRIBUTES.values()), bare(inner), bare(F.col("a.row"))).alias("raw"))
+    values = raw.select(*kept, "pos", unescape_all(F.col("raw")).alias("v"))
+    n = len(ATTRIBUTES)
+    texts = values.select(*kept, "pos", *(F.get("v", F.lit(k)).alias(c) for k, c in enumerate(ATTRIBUTES)), T.collapse(F.get("v", F.lit(n))).alias("text"), T.collapse(F.get("v", F.lit(n + 1))).alias("row_text"))
+    return texts.withColumn("row_text", F.coalesce(T.none_if_blank(F.col("row_text")), F.col("text")))
 
 
 def show_all_url(body: Column) -> Column:

@@ -1,5 +1,7 @@
 """Functions on columns, case by case."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,26 @@ def test_rows_around_anchors(spark):
     assert [r["row_text"] for r in got[1:]] == ["x", "y", "out side"]
 
 
+def test_rows_by_position(spark):
+    # equal anchors in and outside rows; a row with a second anchor; a row whose only file is named with spaces; a tag that is no row
+    row = '<tr class="f"><td><a href="/s" data-file-name="s">S</a></td><td>%s</td></tr>'
+    page = "<a href='x'>none</a>" + row % "1&nbsp;KB" + '<a href="/s" data-file-name="s">S</a>' + row % '<a href="/more">more</a> 2 KB' + '<TR><td><a href="/t" data-file-name = "t">T</a>  3\n KB</td></TR><track><a href="/end">E</a>' + row % "4 KB"
+    pages = spark.createDataFrame([(1, page), (2, "<a href=\"/a\">\x01a</a>"), (3, ""), (4, None), (5, "<tr><a href=\"/open\" data-file-name=\"o\">never closed")], "page_id long, html string").withColumn("pos", F.lit("kept out"))
+    got = H.anchors(pages, ["page_id"]).orderBy("page_id", "pos").collect()
+    assert [(r["page_id"], r["pos"], r["href"], r["row_text"]) for r in got] == [(1, 0, "", "none"), (1, 1, "/s", "S 1 KB"), (1, 2, "/s", "S"), (1, 3, "/s", "S more 2 KB"), (1, 4, "/more", "S more 2 KB"), (1, 5, "/t", "T 3 KB"), (1, 6, "/end", "E"), (1, 7, "/s", "S 4 KB"), (2, 0, "/a", "a")]
+
+
+def test_time_of_anchors_follows_the_page(spark):
+    took = []
+    for n in (500, 2000, 16000):
+        page = "".join(f'<tr><td><a href="/s/{k}" data-file-name="f{k}">f{k}</a></td><td>{k} KB</td></tr>' for k in range(n))
+        began = time.time()
+        got = H.anchors(spark.createDataFrame([(1, page)], "page_id long, html string"), ["page_id"]).agg(F.count("*").alias("n"), F.count_if(F.col("row_text") == F.concat(F.col("file_name"), F.lit(" "), F.col("pos"), F.lit(" KB"))).alias("own")).first()
+        assert got["n"] == got["own"] == n
+        took.append(time.time() - began)
+    assert took[2] < 10 * took[1] + 2
+
+
 def test_frames_and_json(spark):
     body = '<iframe width="1" src="doc.html?a=1&amp;b=2" id="z"></iframe><iframe src="https://k.org/e.html"></iframe><iframe src="x.png"></iframe>'
     assert spark.range(1).select(H.frame_documents(F.lit(body), F.lit("https://h.org/p/q")).alias("x")).first()["x"] == ["https://h.org/p/doc.html?a=1&b=2"]
