@@ -75,7 +75,8 @@ def masks(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # 16 bytes of the text's hashes and its length stand for the text from here on
     rows = S.written(kind.select("doc_id", "part", failures(F.col("text")).alias("mask"), F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(77), F.col("text")).alias("_g"), F.length("text").alias("_n")))
     key = ["_h", "_g", "_n"]
-    first = rows.groupBy(*key).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+    # cut, so that both sides of the join are shuffled for it: only such partitions are split by adaptive execution
+    first = S.cut(rows.groupBy(*key).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last"))
     marked = rows.join(first, key, "left").select("doc_id", "part", (F.col("mask") + F.when(F.col("doc_id") > F.col("_first"), 16).otherwise(0)).alias("mask"))
     says = labels.select(F.col("doc_id").alias("_of"), F.col("quality") == 1, F.col("toxic") == 1).toDF("_of", "_good", "_toxic").where("_of is not null")
     says = says.groupBy("_of").agg(F.max("_good").alias("_good"), F.max("_toxic").alias("_toxic"))
