@@ -2,7 +2,7 @@
 
 Rules are a table (priority, pattern, value), small by nature: a person writes them.
 They are read by the driver when a query is built, so their number is checked there,
-and become one expression; more than LIMIT rules are joined instead.
+and become one expression; more than LIMIT rules are joined instead, by rule_tables.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-LIMIT, GRAM = 500, 3
+LIMIT = 500
 
 
 def glob_regex(pattern: str) -> str:
@@ -64,35 +64,10 @@ def matches(normal: Column, pattern: str) -> Column:
 def first_value(normal: Column, rules: list[tuple[str, str]]) -> Column:
     """The value of the first rule (pattern, value) that fits, or null."""
     if len(rules) > LIMIT:
-        raise ValueError(f"{len(rules)} rules; use match_table beyond {LIMIT}")
+        raise ValueError(f"{len(rules)} rules; use rule_tables beyond {LIMIT}")
     return functools.reduce(lambda out, rule: out.when(matches(normal, rule[0]), rule[1]), rules, F.when(F.lit(False), F.lit(None).cast("string"))) if rules else F.lit(None).cast("string")
 
 
-def match_table(names: DataFrame, rules: DataFrame, name: str) -> DataFrame:
-    """names with rule_priority and value of the first fitting rule of a table (priority, pattern, value); names are matched once each.
-
-    Up to LIMIT rules are broadcast. More meet only the names that hold the first GRAM
-    characters of their longest part without wildcards, an equi-join; rules without such a
-    part fit almost anything, so there may be LIMIT of them at most.
-    """
-    normal, each = F.col("_normal"), names.select(name).distinct().withColumn("_normal", T.match_text(F.col(name)))
-    bare = rules.select("priority", "value", T.match_text(F.col("pattern")).alias("plain")).where("plain <> ''")
-    parts = F.split(F.regexp_replace("plain", r"\[[^\]]+\]|[*?]", "\x00"), "\x00")
-    longest = F.reduce(parts, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
-    made = bare.withColumn("regex", _as_regex("plain")).withColumn("gram", F.when(F.length(longest) >= GRAM, F.left(longest, F.lit(GRAM))))
-    if rules.count() <= LIMIT:
-        fitting = each.join(F.broadcast(made), F.rlike(normal, F.col("regex")))
-    else:
-        loose = made.where("gram is null")
-        if loose.count() > LIMIT:
-            raise ValueError(f"more than {LIMIT} rules without {GRAM} characters in a row")
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(normal) - GRAM + 1, F.lit(1))), lambda k: F.substring(normal, k, F.lit(GRAM))))
-        met = each.withColumn("gram", F.explode(grams)).join(made, "gram").where(F.rlike(normal, F.col("regex"))).select(name, "priority", "value")
-        fitting = met.unionByName(each.join(F.broadcast(loose), F.rlike(normal, F.col("regex"))).select(name, "priority", "value"))
-    best = fitting.groupBy(name).agg(F.min(F.struct("priority", "value")).alias("best"))
-    return names.join(best, name, "left").select(names["*"], F.col("best.priority").alias("rule_priority"), F.col("best.value").alias("value"))
-
-
 def course_folder(title: Column, rules: list[tuple[str, str]], default: str = "") -> Column:
     """A course's folder: by rule, else the default one, else its own name made safe."""
     own = F.lit(default) if default.strip() else T.safe_name(title)
@@ -162,7 +137,6 @@ def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> tuple[Dat
 
 
 PART_RULES = [("*brass", "metal/brass"), ("polished*", "finish/polished"), ("STEEL", "metal/steel"), ("?mall*", "size/small"), ("e", "other/e")]
-TABLE_RULES = ["standard ?*", "ROMO", "*c?nomy", "s*all", "[lm][ae]*", "ing", "*ndard"]
 NATION_RULES = [("united*/part", "unions"), ("*/*copper*", "copper"), ("a/s/{blatt}", "sheets/{Blatt}"), ("*/*", "all")]
 
 
@@ -172,15 +146,6 @@ def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", "p_type", first_value(T.match_text(F.col("p_type")), PART_RULES).alias("folder"))
 
 
-def rule_table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each type of part with the first rule of a table of rules, as many as there are customers, that fits."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type")
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
-    shape = F.get(F.array(*map(F.lit, TABLE_RULES)), (F.col("c_custkey") % len(TABLE_RULES)).cast("int"))
-    made = c.where("c_custkey > 0").select(F.col("c_custkey").alias("priority"), F.when(F.col("c_custkey") % 11 == 0, shape).otherwise(F.concat(F.lower("c_mktsegment"), F.lit("*"), "c_custkey")).alias("pattern"), F.concat(F.lit("rule "), "c_custkey").alias("value"))
-    return match_table(parts, made, "p_type").select("p_partkey", F.col("rule_priority").alias("priority"), "value")
-
-
 def rule_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's destination; rules for numbered sheets go first."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")
@@ -214,7 +179,7 @@ def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return problems(made)
 
 
-QUERIES = {"rule_problems": rule_problems, "rule_match": rule_match, "rule_table_match": rule_table_match, "rule_precedence": rule_precedence, "key_collisions": key_collisions, "longest_prefix": longest_prefix_match}
+QUERIES = {"rule_problems": rule_problems, "rule_match": rule_match, "rule_precedence": rule_precedence, "key_collisions": key_collisions, "longest_prefix": longest_prefix_match}
 ORACLES = {
     "rule_problems": f"""
         WITH r AS (SELECT ({[r[0] for r in RULES]})[k + 1] AS kind, replace(({[r[1] for r in RULES]})[k + 1], '{{k}}', c_custkey::VARCHAR) AS pattern, ({[r[2] for r in RULES]})[k + 1] AS value FROM (SELECT *, (c_custkey % {len(RULES)})::INT AS k FROM customer)),
@@ -224,9 +189,6 @@ ORACLES = {
         SELECT * FROM q WHERE problem IS NOT NULL""",
     "rule_match": """SELECT p_partkey, p_type, CASE WHEN regexp_full_match(lower(p_type), '.*brass') THEN 'metal/brass' WHEN regexp_full_match(lower(p_type), 'polished.*') THEN 'finish/polished'
         WHEN contains(lower(p_type), 'steel') THEN 'metal/steel' WHEN regexp_full_match(lower(p_type), '.mall.*') THEN 'size/small' WHEN contains(lower(p_type), 'e') THEN 'other/e' END AS folder FROM part""",
-    "rule_table_match": f"""
-        WITH r AS (SELECT c_custkey AS priority, ({["^standard ..*$", "romo", "^.*c.nomy$", "^s.*all$", "^[lm][ae].*$", "ing", "^.*ndard$"]})[c_custkey % {len(TABLE_RULES)} + 1] AS regex FROM customer WHERE c_custkey % 11 = 0 AND c_custkey > 0)
-        SELECT p_partkey, min(priority) AS priority, 'rule ' || min(priority) AS value FROM part LEFT JOIN r ON regexp_matches(lower(p_type), regex) GROUP BY p_partkey""",
     "rule_precedence": """SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') AND contains(lower(p_type), 's') AND p_partkey % 3 = 0 THEN 'sheets/Blatt' || lpad((p_partkey % 40)::VARCHAR, 2, '0')
         WHEN starts_with(lower(p_name), 'united') AND contains(lower(p_type), 'part') THEN 'unions' WHEN contains(lower(p_type), 'copper') THEN 'copper' ELSE 'all' END AS destination FROM part""",
     "key_collisions": "SELECT p_partkey, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1",

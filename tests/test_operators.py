@@ -35,16 +35,6 @@ def test_globs():
     assert re.match(rules.glob_regex("a*[bc]?"), "a/xxcd") and not re.match(rules.glob_regex("a?"), "abc")
 
 
-def test_rules_of_a_table(spark, monkeypatch):
-    """Broadcast or joined by what they hold, the first rule that fits decides."""
-    names = spark.createDataFrame([("Lineare Algebra",), ("Analysis 2",), ("Übung 3",), ("x",), ("ab",)], "n string")
-    table = spark.createDataFrame([(3, "*", "any"), (1, "algebra", "A"), (2, "ana*[0-9]", "B"), (0, "übung ?", "C"), (4, "", "D")], "priority int, pattern string, value string")
-    want = {"Lineare Algebra": "A", "Analysis 2": "B", "Übung 3": "C", "x": "any", "ab": "any"}
-    for limit in (500, 2):
-        monkeypatch.setattr(rules, "LIMIT", limit)
-        assert {r["n"]: r["value"] for r in rules.match_table(names, table, "n").collect()} == want
-
-
 def test_folders_and_destinations(spark):
     one = spark.createDataFrame([("Lineare Algebra / A", "Übungen", "Blatt_3.pdf"), ("Analysis", "Material", "x.pdf")], "c string, s string, f string")
     rows = one.select(rules.course_folder(F.col("c"), [("*algebra*", "LA")]).alias("a"), rules.section_folder(F.col("s"), [("ubung", "Blaetter")]).alias("b"), rules.destination(F.col("c"), F.col("s"), F.col("f"), [("*/ubung", "plain"), ("algebra/*/{Blatt}", "/d/{BLATT}"), ("bad", "no")]).alias("d")).collect()
