@@ -70,27 +70,29 @@ def groups(pages: DataFrame, key: str, body: str) -> DataFrame:
     return nodes.select(key, "n.id", "n.url", X.first_text(H.unescape(H.plain(F.col("n.text"))), X.strip(F.col("n.title"))).alias("title"))
 
 
-def reachable(roots: DataFrame, links: DataFrame, most: int = 500, rounds: int = 50) -> DataFrame:
-    """(root, node, depth): nodes within reach of each root, nearest first, `most` of a root at most, as a crawl would stop.
+def reachable(roots: DataFrame, links: DataFrame, most: int = 500) -> DataFrame:
+    """(root, node, depth): nodes within reach of each root, nearest first, then by node, `most` of a root at most.
 
-    roots: (root, node); links: (source, target). A round joins the frontier with the
-    links and takes away what was seen; each is checkpointed, and the first empty one ends it.
-    Nodes that are still unseen after the last round are an error, not left out.
+    roots: (root, node); links: (source, target). A round joins the frontier with the links,
+    takes away what was seen and numbers the rest of each root; a root that has its `most`
+    ends there, so nothing beyond is explored and there are `most` rounds at the most, however
+    long a chain is. Each round is checkpointed, and what was seen is written anew at times.
     """
     from ..sources.tables import cut
 
-    frontier = cut(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
-    for depth in range(1, rounds + 1):
-        next_ = frontier.join(links, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
-        frontier = cut(next_.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
+    frontier = cut(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)).withColumn("_nth", F.row_number().over(Window.partitionBy("root").orderBy("node")))).where(F.col("_nth") <= most)
+    frontier = frontier.withColumn("_all", F.max("_nth").over(Window.partitionBy("root")))
+    seen, depth = frontier, 0
+    while not frontier.isEmpty():
+        depth += 1
+        open_ = frontier.where(F.col("_all") < most)
+        next_ = open_.join(links, F.col("node") == F.col("source")).select("root", F.col("target").alias("node"), "_all").distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        ranked = next_.withColumn("_nth", F.row_number().over(Window.partitionBy("root").orderBy("node")) + F.col("_all")).where(F.col("_nth") <= most)
+        frontier = cut(ranked.select("root", "node", F.lit(depth).alias("depth"), "_nth", F.max("_nth").over(Window.partitionBy("root")).alias("_all")))
         seen = seen.unionByName(frontier)
-    else:
-        raise RuntimeError(f"nodes beyond a depth of {rounds}")
-    ranked = seen.withColumn("_nth", F.row_number().over(Window.partitionBy("root").orderBy("depth", "node")))
-    return ranked.where(F.col("_nth") <= most).drop("_nth")
+        if depth % 10 == 0:
+            seen = cut(seen)
+    return seen.select("root", "node", "depth")
 
 
 #: Fixed value: nodes of a root at most.

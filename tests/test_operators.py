@@ -189,11 +189,20 @@ def test_course_rows_of_all_courses(spark):
     assert [tuple(r) for r in got] == [(0, "a", "1"), (1, "b", "2")]
 
 
-def test_nodes_too_deep_are_an_error(spark):
-    roots, links = spark.createDataFrame([("r", 0)], "root string, node long"), spark.createDataFrame([(k, k + 1) for k in range(9)], "source long, target long")
-    assert trees.reachable(roots, links, rounds=10).count() == 10
-    with pytest.raises(RuntimeError):
-        trees.reachable(roots, links, rounds=4)
+def test_what_is_reachable_ends_by_itself(spark):
+    """A chain of any length, and roots that stop at their most while others go on."""
+    chain = [(k, k + 1) for k in range(70)] + [(70, 3)]
+    star = [(1000, 1000 + k) for k in range(1, 30)] + [(1001, 5000)]
+    links = spark.createDataFrame(chain + star, "source long, target long")
+    roots = spark.createDataFrame([("chain", 0), ("star", 1000), ("alone", 7000)], "root string, node long")
+    got = {}
+    for r in trees.reachable(roots, links, most=25).collect():
+        got.setdefault(r["root"], []).append((r["depth"], r["node"]))
+    assert sorted(got["chain"]) == [(k, k) for k in range(25)]
+    assert sorted(got["star"]) == [(0, 1000)] + [(1, 1000 + k) for k in range(1, 25)] and got["alone"] == [(0, 7000)]
+    whole = trees.reachable(roots.where("root <> 'star'"), links).collect()
+    assert sorted(r["node"] for r in whole if r["root"] == "chain") == list(range(71))
+    assert trees.reachable(roots.where("false"), links).collect() == []
 
 
 def run_stream(spark, query, name, mode="append"):
