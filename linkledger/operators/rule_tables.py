@@ -174,8 +174,9 @@ ORACLES = {
         SELECT p_partkey, min(priority) AS priority, 'rule ' || min(priority) AS value FROM part LEFT JOIN r ON regexp_matches(lower(p_type), regex) GROUP BY p_partkey""",
     "table_destinations": f"""
         WITH rules AS (SELECT p_partkey * 7919 % 10007 AS priority, {_SHAPE(0)} AS c, {_SHAPE(1)} AS s, p_partkey % 4 = 0 AS sheet, 'd' || p_partkey AS value FROM part),
+        firsts AS (SELECT c, s, sheet, min((priority, value)) AS best FROM rules GROUP BY ALL),
         pairs AS (SELECT DISTINCT p_name, p_brand FROM part),
-        hit AS (SELECT p_name, p_brand, sheet, arg_min(value, (priority, value)) AS value FROM pairs, rules WHERE {_LIKE("p_name", "c")} AND {_LIKE("p_brand", "s")} GROUP BY ALL)
+        hit AS (SELECT p_name, p_brand, sheet, min(best)[2] AS value FROM pairs, firsts WHERE {_LIKE("p_name", "c")} AND {_LIKE("p_brand", "s")} GROUP BY ALL)
         SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN a.value || '/Blatt' || lpad((p_partkey % 40)::VARCHAR, 2, '0') END, b.value) AS destination
         FROM part LEFT JOIN hit a ON a.p_name = part.p_name AND a.p_brand = part.p_brand AND a.sheet LEFT JOIN hit b ON b.p_name = part.p_name AND b.p_brand = part.p_brand AND NOT b.sheet""",
 }

@@ -71,7 +71,8 @@ def section_links(links: DataFrame) -> DataFrame:
     """(source, kind, pos, url, title, skip) of links that may lead to sections of some course."""
     title = T.section_title(F.col("title"), F.col("text"))
     name = T.file_name(F.col("title"), F.col("text"), F.col("target"))
-    fits = P.is_section_folder(F.col("target"), F.col("section")) & ~P.is_file(F.col("target"), F.col("name"))
+    # bound, so that what they judge is computed once and not written out for each word they look for
+    fits = T.bind(F.struct("target", "section", "name"), lambda x: P.is_section_folder(x["target"], x["section"]) & ~P.is_file(x["target"], x["name"]))
     named = links.where(F.col("kind") < FRAMED).withColumn("section", F.when(F.col("kind") == TREE, F.col("title")).otherwise(title)).withColumn("name", name)
     return named.where((F.col("kind") == TREE) | fits).select("source", "kind", "pos", "url", F.col("section").alias("title"), P.is_empty_node(F.col("class_name")).alias("skip"))
 
@@ -92,8 +93,8 @@ def crawl(courses: DataFrame, pages: DataFrame, base: str, most: int = MOST_SECT
         depth += 1
         offers = frontier.where("not skipped").select("entry", "course", F.col("nth").alias("_by"), "_all", F.col("url").alias("source"))
         offers = offers.join(edges if depth == 1 else edges.where(F.col("kind") > TREE), "source")
-        allowed = P.section_allowed(F.col("url"), F.col("entry")) & P.folder_target(F.col("title"), F.col("url"), F.col("course"))
-        offers = offers.where((F.col("kind") == TREE) | allowed).withColumn("key", U.section_key(F.col("url"), F.col("entry")))
+        allowed = T.bind(F.struct("url", "title", "entry", "course"), lambda x: P.section_allowed(x["url"], x["entry"]) & P.folder_target(x["title"], x["url"], x["course"]))
+        offers = offers.where((F.col("kind") == TREE) | allowed).withColumn("key", T.bind(F.struct("url", "entry"), lambda x: U.section_key(x["url"], x["entry"])))
         order = F.struct("_by", "kind", "pos")
         first = offers.groupBy("entry", "key").agg(F.min_by(F.struct("course", "url", "title", "kind", "skip", "_all"), order).alias("o"), F.min(order).alias("_order"))
         new = first.join(seen.select("entry", "key"), ["entry", "key"], "left_anti").select("entry", "key", "o.*", "_order")
@@ -128,7 +129,7 @@ def crawled_files(found: Crawl, base: str) -> DataFrame:
     links = found.links.where(F.col("kind") > TREE).withColumn("name", T.file_name(F.col("title"), T.first_text(F.col("file_name"), F.col("text")), F.col("target")))
     files = links.where(T.bind(F.struct("target", "name"), lambda f: P.is_file(f["target"], f["name"])))
     joined = visited.join(files.drop("title"), F.col("section_url") == F.col("source"))
-    allowed = joined.where(P.file_allowed(F.col("url"), F.col("entry"), F.lit(base)))
+    allowed = joined.where(T.bind(F.struct("url", "entry"), lambda x: P.file_allowed(x["url"], x["entry"], F.lit(base))))
     best = allowed.groupBy("entry", "url").agg(F.min_by(F.struct("course", "section", "section_url", "name", "row_text"), F.struct("nth", "kind", "pos")).alias("f"))
     return best.select("entry", "f.course", "f.section", "f.section_url", "f.name", "url", T.size_bytes(F.col("f.row_text")).alias("size"), T.modified_text(F.col("f.row_text")).alias("modified"))
 
