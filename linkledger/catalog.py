@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .operators import addresses, changes, discovery, links, merges, messages, migration, names, redaction, reports, rule_tables, rules, similarity, snapshots, trees, usage, values, visits
 from .plans import crawl
+from .streaming import event_log
 
-_MODULES = (links, names, changes, visits, rules, rule_tables, reports, migration, similarity, redaction, trees, discovery, messages, snapshots, usage, addresses, values, merges, crawl)
+_MODULES = (links, names, changes, visits, rules, rule_tables, reports, migration, similarity, redaction, trees, discovery, messages, snapshots, usage, addresses, values, merges, crawl, event_log)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

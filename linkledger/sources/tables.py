@@ -22,14 +22,20 @@ SCHEME = 2
 CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder that the session names; a folder of our own only where one machine is all there is, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; a folder of our own only where one machine is all there is, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if named is None and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

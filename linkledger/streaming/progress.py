@@ -1,20 +1,14 @@
-"""Progress events as streams: runs by gaps, stalled runs, busy hosts, and the level of a rate limiter; and reads that settle."""
+"""Progress events as streams: runs by gaps, stalled runs and busy hosts; and reads that settle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 #: Seconds without progress that make a stall, and answers that ask to slow down.
 STALL_SECONDS = 180
 BUSY = [429, 503]
-#: The limiter's pauses in seconds by level.
-PAUSES = [0, 2, 10, 30, 60]
 
 
 def gap_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "3 minutes", late: str = "10 minutes") -> DataFrame:
@@ -27,7 +21,7 @@ def stalls(events: DataFrame, key: str, ts: str = "ts", what: str = "message", l
     """A row for each time that a key stays without events for STALL_SECONDS of event time: key, last, last_message.
 
     A session that ends by such a gap is one; sums of sessions are all that is kept of a key,
-    however many events it has. operators.merges.stall_warnings tells the warnings that follow.
+    however many events it has. operators.merges.stall_warnings tells the warnings that follow, streaming.stalls those of live runs.
     """
     windowed = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, f"{STALL_SECONDS} seconds").alias("w"))
     return windowed.agg(F.max(ts).alias("last"), F.max_by(what, ts).alias("last_message")).select(key, "last", "last_message")
@@ -39,34 +33,6 @@ def busy_hosts(answers: DataFrame, host: str, ts: str = "ts", width: str = "1 mi
     return windowed.agg(F.count("*").alias("answers"), F.count_if(F.col("status").isin(BUSY)).alias("busy")).select(host, F.col("w.start").alias("minute"), "answers", "busy")
 
 
-def _next_level(level: int, status: int) -> int:
-    if status in BUSY:
-        return min(level + 1, len(PAUSES) - 1)
-    return max(level - 1, 0) if 200 <= status < 400 else level
-
-
-def limiter_levels(answers: DataFrame, key: str) -> DataFrame:
-    """(key, seq, status, level, pause): a host's limiter after each answer (key, seq, status): busy ones raise it, good ones lower it, others leave it.
-
-    Each level follows from the one before, so a host's answers of one micro-batch are put in
-    order in one task; the level is all that is kept between batches. operators.merges.paced
-    gives the times that the least spacing asks for.
-    """
-
-    def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("seq")
-        levels = []
-        for status in rows["status"]:
-            level = _next_level(level, int(status))
-            levels.append(level)
-        state.update((level,))
-        yield pd.DataFrame({key: k[0], "seq": rows["seq"].to_numpy(), "status": rows["status"].to_numpy(), "level": levels, "pause": [PAUSES[x] for x in levels]})
-
-    named = answers.select(F.col(key).cast("string").alias(key), F.col("seq").cast("long").alias("seq"), F.col("status").cast("int").alias("status"))
-    return named.groupBy(key).applyInPandasWithState(fold, f"{key} string, seq long, status int, level int, pause int", "level int", "append", GroupStateTimeout.NoTimeout)
-
-
 def stable_read(sizes: DataFrame, key: str, needed: int = 2) -> DataFrame:
     """(key, best, polls, settled) of repeated reads (key, seq, n; n null for a failed read): the largest read, and whether it held.
 
