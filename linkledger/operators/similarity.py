@@ -72,28 +72,81 @@ def score(course: Column, folder: Column) -> Column:
     return F.when((F.size(tokens) == 0) | (F.size(segments) == 0), 0.0).otherwise(best)
 
 
+def _of_lengths(word: Column, sizes: list[int], mark: str) -> Column:
+    """All stretches of a word of the given lengths, marked."""
+    each = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda k: F.concat(F.lit(f"{mark}{n}:"), F.substring(word, k, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*map(each, sizes))
+
+
+def _keys_of_tokens(tokens: Column) -> Column:
+    """What a course is met by: how its words begin, what they hold, the words as initials, and their initials."""
+    begins = lambda t, n: F.when(F.length(t) >= n, F.concat(F.lit(f"p{n}:"), F.left(t, F.lit(n))))
+    of = lambda t: F.concat(F.array(F.when(F.length(t) == 1, F.concat(F.lit("p1:"), t)), begins(t, 2), begins(t, 3), F.when(F.length(t) >= 2, F.concat(F.lit("i:"), t))), _of_lengths(t, [1, 2, 3], "c"), _of_lengths(t, [4], "h"))
+    whole = F.when(F.length(initials(tokens)) >= 2, F.concat(F.lit("w:"), initials(tokens)))
+    return F.array_distinct(F.filter(F.concat(F.flatten(F.transform(tokens, of)), F.array(whole)), lambda k: k.isNotNull()))
+
+
+def _keys_of_segment(s: Column) -> Column:
+    """Of which a word has one if its score with the segment isn't 0: it begins as the segment does, or holds its first four characters."""
+    n = F.length(s)
+    return F.when(n < 3, F.array(F.concat(F.lit("p"), n, F.lit(":"), s))).when(n == 3, F.array(F.concat(F.lit("p3:"), s))).otherwise(F.array(F.concat(F.lit("p3:"), F.left(s, F.lit(3))), F.concat(F.lit("h4:"), F.left(s, F.lit(4)))))
+
+
+def _keys_of_name(segments: Column) -> Column:
+    """Of which a course has one if it fits a folder by initials, or by segments in one word: the initials, the only segment, the beginning of the longest one."""
+    named = F.filter(segments, lambda s: ~T.is_numeric(s))
+    longest = F.reduce(named, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
+    one = F.get(segments, F.lit(0))
+    keys = F.array(
+        F.when(F.length(initials(segments)) >= 2, F.concat(F.lit("i:"), initials(segments))),
+        F.when((F.size(segments) == 1) & (F.length(one) >= 2), F.concat(F.lit("w:"), one)),
+        F.when((F.size(named) >= 2) & (F.length(longest) > 0), F.concat(F.when(F.length(longest) > 3, "h4:").otherwise(F.concat(F.lit("c"), F.length(longest), F.lit(":"))), F.left(longest, F.lit(4)))),
+    )
+    return F.filter(keys, lambda k: k.isNotNull())
+
+
+def candidates(courses: DataFrame, names: DataFrame) -> DataFrame:
+    """(course, match_name) that may score LEAST or more, of distinct courses (course) and folders' names (match_name): a join by prefix filter.
+
+    A folder that fits by its segments fits with more than three quarters of their length. So
+    of the segments that the fewest courses have, those that make up more than a quarter are
+    taken, and the course must have one of them; common words meet nobody where a rarer one
+    will do. Folders that fit otherwise share their initials or a piece of one word.
+    """
+    asked = courses.select("course", F.explode(_keys_of_tokens(T.course_tokens(F.col("course")))).alias("key"))
+    often = asked.groupBy("key").agg(F.count("*").alias("n"))
+    held = names.select("match_name", T.words(F.col("match_name")).alias("segments"))
+    named = held.select("match_name", F.posexplode(F.filter("segments", lambda s: ~T.is_numeric(s))).alias("nth", "s"))
+    keyed = named.select("match_name", "nth", F.length("s").alias("w"), F.explode(_keys_of_segment(F.col("s"))).alias("key")).join(often, "key", "left")
+    # a row for each segment of a name again, with its keys that any course has
+    each = keyed.groupBy("match_name", "nth", "w").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_set(F.when(F.col("n").isNotNull(), F.col("key"))).alias("keys"))
+    name = Window.partitionBy("match_name")
+    rarer = F.coalesce(F.sum("w").over(name.orderBy("n", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = each.withColumn("_rarer", rarer).withColumn("_all", F.sum("w").over(name)).where(4 * F.col("_rarer") <= F.col("_all")).select("match_name", F.explode("keys").alias("key"))
+    other = held.select("match_name", F.explode(_keys_of_name(F.col("segments"))).alias("key"))
+    return taken.unionByName(other).distinct().join(asked, "key").select("course", "match_name").distinct()
+
+
 def suggest(courses: DataFrame, folders: DataFrame, taken: DataFrame) -> DataFrame:
     """(course, path, score): at most one folder for a course and one course for a folder; none where it isn't clear.
 
-    courses: (course); folders: (path, match_name, downloads_leaf, modified); taken:
-    (path). Courses are a person's own, a few dozen: they are checked and broadcast, so
-    the folders are scored in place and never shuffled as a whole.
+    courses: (course); folders: (path, match_name, downloads_leaf, modified); taken: (path).
+    Names are scored once each, and only with courses that candidates() finds. Of a course's
+    folders only counts, maxima and the two newest are gathered, all of them aggregated before
+    the shuffle, so it doesn't matter how many fit.
     """
     wanted = courses.where(F.trim("course") != "").select("course").distinct()
-    if wanted.count() > 10_000:
-        raise ValueError("suggest is for the courses of one person")
     free = folders.withColumn("folder_key", T.folder_key(F.col("path"))).join(taken.select(T.folder_key(F.col("path")).alias("folder_key")).distinct(), "folder_key", "left_anti")
-    # whatever scores LEAST or more has a segment and a token with the same first character
-    firsts = lambda words: F.explode(F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(1)))))
-    pairs = free.withColumn("_first", firsts(T.words(F.col("match_name")))).join(F.broadcast(wanted.withColumn("_first", firsts(T.course_tokens(F.col("course"))))), "_first").drop("_first").dropDuplicates(["path", "course"])
-    scored = pairs.withColumn("score", score(F.col("course"), F.col("match_name"))).where(F.col("score") >= LEAST)
-    course = Window.partitionBy("course")
-    band = scored.withColumn("best", F.max("score").over(course)).withColumn("near", F.col("best") - F.col("score") <= BAND)
-    leaf = F.col("near") & F.col("downloads_leaf")
-    split = F.count_if(leaf).over(course).between(1, F.count_if("near").over(course) - 1)
-    rivals = band.withColumn("in", F.when(split, leaf).otherwise(F.col("near"))).withColumn("rival", F.max(F.when(~F.col("near"), F.col("score"))).over(course))
-    newest = Window.partitionBy("course").orderBy(F.desc("modified"), "path")
-    picked = rivals.where("in").withColumn("nth", F.row_number().over(newest)).withColumn("next", F.lead("modified").over(newest)).withColumn("n", F.count("*").over(course)).where("nth = 1")
+    pairs = candidates(wanted, free.where(F.col("match_name").isNotNull()).select("match_name").distinct())
+    fitting = pairs.withColumn("score", score(F.col("course"), F.col("match_name"))).where(F.col("score") >= LEAST)
+    scored = free.join(fitting, "match_name").dropDuplicates(["course", "path"])
+    band = scored.join(scored.groupBy("course").agg(F.max("score").alias("best")), "course").withColumn("near", F.col("best") - F.col("score") <= BAND)
+    counts = band.groupBy("course").agg(F.count_if("near").alias("nears"), F.count_if(F.col("near") & F.col("downloads_leaf")).alias("leaves"), F.max(F.when(~F.col("near"), F.col("score"))).alias("rival"))
+    split = F.col("leaves").between(1, F.col("nears") - 1)
+    rivals = band.join(counts, "course").where(F.col("near") & (~split | F.col("downloads_leaf"))).withColumn("n", F.when(split, F.col("leaves")).otherwise(F.col("nears")))
+    newest = rivals.withColumn("nth", F.row_number().over(Window.partitionBy("course").orderBy(F.desc("modified"), "path"))).where("nth <= 2")
+    first = lambda c: F.max(F.when(F.col("nth") == 1, F.col(c))).alias(c)
+    picked = newest.groupBy("course").agg(*map(first, ("path", "folder_key", "score", "modified", "n", "rival")), F.max(F.when(F.col("nth") == 2, F.col("modified"))).alias("next"))
     clear = (F.col("n") == 1) | F.coalesce(F.timestamp_diff("SECOND", F.col("next"), F.col("modified")) >= NEWER_DAYS * 86400, F.lit(False))
     sure = picked.where(clear & (F.col("rival").isNull() | (F.col("score") - F.col("rival") >= LEAD)))
     one = F.row_number().over(Window.partitionBy("folder_key").orderBy(F.desc("score"), "course"))
