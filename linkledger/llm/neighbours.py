@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by inner product: one navigable small-world graph per shard.
 
-Vectors are dealt by a hash into shards of about SHARD rows. A shard is one row: its
-distinct vectors, the ids that share each, and the flat neighbour arrays of a
-hierarchical graph, from which the inner product is searched after one more component
-has made all vectors equally long. Nodes rise to higher levels by chance; on each level
-a node keeps its nearest neighbours that are nearer to it than to one another, and what
-links back to it, up to a fixed number. (Neighbour lists are found exactly, in blocks,
-inside the bounded shard, rather than by one insertion after the other.)
+Vectors are dealt into bands of norms, a factor of two each, and a band by a hash into
+shards of about SHARD rows. A shard is one row: its distinct vectors, the ids that share
+each, and the flat neighbour arrays of a hierarchical graph, from which the inner product is
+searched after one more component has made all vectors equally long. In a band that
+component is of the others' size, so no vector's length hides the differences of others, and
+vectors are scaled to a length of one for the search, so no component is too large for it.
+Rows of bands with fewer than an eighth of SHARD rows are in shards without graph, which
+are searched exactly. Nodes rise to higher levels by chance; on each level a node keeps its
+nearest neighbours that are nearer to it than to one another, and what links back to it, up
+to a fixed number. (Neighbour lists are found exactly, in blocks, inside the bounded shard,
+rather than by one insertion after the other.)
 
 Queries are packed into blocks; each block meets each shard of its dimension, descends the
 levels and widens a beam of BEAM nodes on the lowest. The shards' results are merged by
@@ -15,11 +19,13 @@ measured and left out: of vectors without clusters, a quarter of the rows, those
 centroid, hold just 0.6 of the 20 nearest.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
-take no part; vectors meet only those of their own length; equal vectors are one node,
-so a crowd of copies is found by its smallest ids; equal scores go by the smaller id;
-a query finds no row of its own id; rows repeated as a whole are one query; fewer
-candidates than k give fewer rows. A shard or a block of queries is the largest thing
-in a task.
+take no part; vectors meet only those of their own length; norms may differ by any factor;
+products beyond a double are infinite, and sums of opposite infinities rank last; equal
+vectors are one node, so a crowd of copies is found by its smallest ids; equal scores go by
+the smaller id, whichever shards they are in; a query finds no row of its own id; rows
+repeated as a whole are one query; fewer candidates than k give fewer rows; an empty table
+gives an empty result; columns of other names, clashing ones too, are not read. A shard or
+a block of queries is the largest thing in a task.
 """
 
 from __future__ import annotations
@@ -42,6 +48,8 @@ SHARD, BLOCK = 16384, 512
 #: Links of a node that are chosen, links at most, candidates for them, one in LEVEL rises a level.
 LINKS, MOST, CANDIDATES, LEVEL = 24, 48, 56, 16
 BEAM = 224
+#: Bands of fewer rows than a shard by this factor get no graph.
+SPARSE = 8
 INDEX = "dims int, shard int, nodes int, vectors binary, ids array<long>, first array<int>, levels array<struct<nodes:binary,links:binary>>"
 
 
@@ -94,10 +102,28 @@ def links_of(vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def band(vector: Column) -> Column:
+    """log2 of a vector's norm, to the nearest whole number; components are scaled first, so that no square is too large or too small."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x)))
+    squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / most) * (x / most))
+    return F.floor(F.log2(most) + 0.5 * F.log2(squares) + 0.5).cast("int")
+
+
+def of_length_one(vectors: np.ndarray) -> np.ndarray:
+    """Each vector, none of them zero, scaled to a length of one."""
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def at_most_one(vectors: np.ndarray) -> np.ndarray:
+    """All vectors, none of them zero, scaled alike, the longest one to a length of one."""
+    x = vectors / np.abs(vectors).max()
+    return x / np.sqrt((x * x).sum(axis=1).max())
+
+
 def long_as_all(vectors: np.ndarray) -> np.ndarray:
-    """The vectors with one more component that makes all equally long; inner products with (query, 0) stay."""
-    squares = (vectors * vectors).sum(1)
-    return np.hstack([vectors, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]]).astype(np.float32)
+    """Vectors of a length of one at most, with one more component that makes it one; inner products with (query, 0) stay."""
+    return np.hstack([vectors, np.sqrt(np.maximum(1 - (vectors * vectors).sum(axis=1), 0))[:, None]]).astype(np.float32)
 
 
 def build(k: int):
@@ -111,15 +137,17 @@ def build(k: int):
         ids = rows["vec_id"].to_numpy()[order][rank <= k]  # one more than asked for: the query's own may be among them
         held = np.minimum(n, k + 1)
         nodes = vectors[first]
-        x = long_as_all(nodes)
+        row = {"dims": int(key[0]), "shard": int(key[1]), "nodes": len(nodes), "vectors": nodes.tobytes(), "ids": ids, "first": (np.cumsum(held) - held).astype(np.int32), "levels": []}
+        if not key[2]:
+            return pd.DataFrame([row])
+        x = long_as_all(at_most_one(nodes))
         chance = B.mix(np.arange(len(nodes), dtype=B.U64) + B.U64(77)).astype(np.float64) / 2.0**64
         level = np.floor(-np.log(np.maximum(chance, 1e-18)) / np.log(LEVEL)).astype(int)
-        levels = []
         for at in range(level.max() + 1):
             own = np.flatnonzero(level >= at).astype(np.int32)
             links = links_of(x[own])
-            levels.append({"nodes": own.tobytes(), "links": np.where(links >= 0, own[links], -1).astype(np.int32).tobytes()})
-        return pd.DataFrame([{"dims": int(key[0]), "shard": int(key[1]), "nodes": len(nodes), "vectors": nodes.tobytes(), "ids": ids, "first": (np.cumsum(held) - held).astype(np.int32), "levels": levels}])
+            row["levels"].append({"nodes": own.tobytes(), "links": np.where(links >= 0, own[links], -1).astype(np.int32).tobytes()})
+        return pd.DataFrame([row])
 
     return of
 
@@ -129,14 +157,22 @@ class Shard:
 
     def __init__(self, nodes: int, dims: int, vectors: bytes, ids: np.ndarray, first: np.ndarray, levels: list[tuple[bytes, bytes]]) -> None:
         self.vectors = np.frombuffer(vectors, np.float64).reshape(nodes, dims)
-        self.near = self.vectors.astype(np.float32)
+        self.near = at_most_one(self.vectors).astype(np.float32)
         self.ids, self.first = ids, np.append(first, len(ids))
         self.links = []
         for own, links in levels:
             full = np.full((nodes, MOST), -1, np.int32)
             full[np.frombuffer(own, np.int32)] = np.frombuffer(links, np.int32).reshape(-1, MOST)
             self.links.append(full)
-        self.entry = int(np.frombuffer(levels[-1][0], np.int32)[0])
+        self.entry = int(np.frombuffer(levels[-1][0], np.int32)[0]) if levels else 0
+
+    def all_nodes(self, queries: np.ndarray, width: int) -> np.ndarray:
+        """The best nodes of all, of a shard without graph; which of some thousands they are is judged in doubles."""
+        n = len(self.vectors)
+        if width >= n:
+            return np.tile(np.arange(n, dtype=np.int32), (len(queries), 1))
+        with np.errstate(all="ignore"):
+            return np.argpartition(-(queries @ self.vectors.T), width - 1, axis=1)[:, :width].astype(np.int32)
 
     def beam(self, queries: np.ndarray, width: int) -> np.ndarray:
         """The nodes found for each query, -1 where there are fewer."""
@@ -194,10 +230,12 @@ class Shard:
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the query, vec_id, score) of each query's k best, its own id left out."""
-        found = self.beam(queries.astype(np.float32), max(beam, k + 1))
+        width = max(beam, k + 1)
+        found = self.beam(of_length_one(queries).astype(np.float32), width) if self.links else self.all_nodes(queries, width)
         r, c = np.nonzero(found >= 0)
         node = found[r, c]
-        score = np.einsum("nd,nd->n", queries[r], self.vectors[node])
+        with np.errstate(all="ignore"):
+            score = np.einsum("nd,nd->n", queries[r], self.vectors[node])
         order = np.lexsort((-score, r))
         r, node, score = r[order], node[order], score[order]
         keep = np.arange(len(r)) - np.searchsorted(r, r) <= k
@@ -215,13 +253,29 @@ class Shard:
 
 def index(vectors: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, dict[int, int]]:
     """A row for each shard of vectors (vec_id, vector), as INDEX has it, and how many shards each length of vectors has."""
-    sized = vectors.withColumn("dims", F.size("vector"))
-    n = {r["dims"]: r["n"] for r in sized.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
-    counts = {d: max(1, round(m / shard)) for d, m in n.items()}
+    sized = vectors.withColumn("dims", F.size("vector")).withColumn("band", band(F.col("vector")))
+    n = {(r["dims"], r["band"]): r["n"] for r in sized.groupBy("dims", "band").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors and band, of which doubles have some 2100
+    counts: dict[int, int] = {}
     if not n:
         return vectors.sparkSession.createDataFrame([], INDEX), counts
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), shards_of(counts)).cast("int"))
-    return S.cut(dealt.groupBy("dims", "shard").applyInPandas(build(k), INDEX)), counts
+    # the shards of each band with a graph, then those of the rest, numbered on for each length
+    of_band: dict[str, tuple[int, int]] = {}
+    for (d, b), m in sorted(n.items()):
+        if m * SPARSE >= shard:
+            of_band[f"{d}:{b}"] = (counts.get(d, 0), max(1, round(m / shard)))
+            counts[d] = sum(of_band[f"{d}:{b}"])
+    rest: dict[int, int] = {}
+    for (d, b), m in n.items():
+        if f"{d}:{b}" not in of_band:
+            rest[d] = rest.get(d, 0) + m
+    of_rest = {d: (counts.get(d, 0), -(-m // shard)) for d, m in rest.items()}
+    counts |= {d: sum(x) for d, x in of_rest.items()}
+    place = lambda of: F.create_map(*(F.lit(x) if i % 2 == 0 else F.struct(F.lit(x[0]).alias("from"), F.lit(x[1]).alias("n")) for pair in of.items() for i, x in enumerate(pair)))
+    dense = F.try_element_at(place(of_band), F.concat_ws(":", F.col("dims").cast("string"), F.col("band").cast("string"))) if of_band else F.lit(None).cast("struct<from:int,n:int>")
+    sparse = F.try_element_at(place(of_rest), F.col("dims")) if of_rest else F.lit(None).cast("struct<from:int,n:int>")
+    dealt = sized.withColumn("_dense", dense).withColumn("graph", F.col("_dense").isNotNull()).withColumn("_at", F.coalesce("_dense", sparse))
+    dealt = dealt.withColumn("shard", F.col("_at.from") + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("_at.n")).cast("int")).select("dims", "shard", "graph", "vec_id", "vector")
+    return S.cut(dealt.groupBy("dims", "shard", "graph").applyInPandas(build(k), INDEX)), counts
 
 
 def shards_of(counts: dict[int, int]) -> Column:
@@ -275,7 +329,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
                 yield pa.record_batch([pa.array(ids[r]), pa.array(asked_by[r]), pa.array(vec), pa.array(score)], ["query_id", "asked", "vec_id", "score"])
 
     found = pairs.mapInArrow(search, "query_id long, asked long, vec_id long, score double")
-    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "asked").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -417,3 +417,38 @@ def test_neighbours(spark):
     assert hits >= 0.95 * 1800
     assert found[905] == [(910, 4.0)] and found[910] == [(905, 4.0)] and not {900, 901, 902, 903, 904} & set(found)
     assert neighbours.nearest(vectors.where("false"), vectors, 3).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["one 1e4 times as long", "one 1e8 times as long", "mixed norms", "large components", "small components"])
+def test_neighbours_of_any_norm(spark, kind):
+    """Recall of at least 0.9 in shards with graphs, whatever the norms beside."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 32))
+    if kind.startswith("one"):
+        x[7] *= float(kind.split()[1])
+    elif kind == "mixed norms":
+        x *= 10.0 ** rng.integers(-3, 4, size=(4000, 1))
+    else:
+        x *= 1e30 if kind == "large components" else 1e-160
+    vectors = spark.createDataFrame([(k, r) for k, r in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours.nearest(vectors, vectors.where("vec_id % 40 = 0"), 20, shard=1500)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert math.isclose(r["score"], float(x[r["query_id"]] @ x[r["vec_id"]]), rel_tol=1e-9)
+    hits = 0
+    for q in range(0, 4000, 40):
+        y = x / np.abs(x).max()
+        best = [k for k in np.argsort(-(y @ (x[q] / np.abs(x[q]).max()))) if k != q][:20]
+        hits += len(found[q] & set(best))
+    assert hits >= 0.9 * 100 * 20
+
+
+def test_neighbours_tied_across_shards(spark):
+    """Equal scores go by the smaller id, in whichever shards and bands they are."""
+    one, two = [1.0, 0.0, 0.0], [1.0, 0.0, 5.0]  # equal products with the query, norms far apart
+    data = [(0, [2.0, 0.0, 0.0])] + [(k, two if k % 3 else one) for k in range(1, 400)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("dims", F.lit("clash"))
+    for shard in (40, 100_000):
+        got = neighbours.nearest(vectors, vectors.where("vec_id = 0"), 20, shard=shard).orderBy("rank").collect()
+        assert [(r["vec_id"], r["score"]) for r in got] == [(k, 2.0) for k in range(1, 21)]
