@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,22 +149,15 @@ def without_volatile(body: Column) -> Column:
     return body
 
 
-def _balanced(page: str | None, marker: str) -> str | None:
-    """The JSON array that follows a marker in a page."""
-    if page is None or (at := page.find(marker)) < 0 or (begin := page.find("[", at)) < 0:
-        return None
-    try:
-        value, _ = json.JSONDecoder(strict=False).raw_decode(page, begin)
-    except ValueError:
-        return None
-    return json.dumps(value, ensure_ascii=False)
+#: Fixed value: what stands before the trees of a page's script.
+TREES = r"var\s+initial_data\s*=\s*"
 
 
-def embedded_json(body: Column, marker: str = "var initial_data =") -> Column:
-    """The JSON array that follows a marker in a page's script, as text; null where there is none or it doesn't end."""
+def embedded_arrays(body: Column) -> Column:
+    """array<variant> of the JSON arrays that follow each `var initial_data =` of a page's scripts, in order; those that don't end are left out.
 
-    @F.pandas_udf(StringType())
-    def balanced(x: pd.Series) -> pd.Series:
-        return x.map(lambda p: _balanced(p, marker))
-
-    return F.when(body.contains(marker), balanced(body))
+    The parser reads one value and stops, whatever script follows, so nothing has to be balanced first.
+    """
+    parts = F.split(body, TREES, -1)
+    begun = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p.startswith("["))
+    return F.filter(F.transform(begun, F.try_parse_json), lambda v: v.isNotNull())

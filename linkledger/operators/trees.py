@@ -2,72 +2,64 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import html as H
-from ..functions import text as X
+from ..functions import text as T
 
 COURSE_NODE, GROUP = r"/CourseNode/(\d+)", r"/BusinessGroup/(\d+)(?:[/?#]|$)"
-NODE = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("class", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("depth", T.IntegerType())]))
-
-
-def _walk(payload: str | None, pattern: re.Pattern) -> list[dict] | None:
-    """The fitting nodes of one tree, parents first; a node's depth counts the fitting ones from the root to it."""
-    import json
-
-    if payload is None:
-        return None
-    out, seen = [], set()
-    stack = [(node, 1) for node in reversed(json.loads(payload))]
-    while stack:
-        node, depth = stack.pop()
-        if not isinstance(node, dict):
-            continue
-        a, li = node.get("a_attr") or {}, node.get("li_attr") or {}
-        url = a.get("href") or ""
-        found = pattern.search(url)
-        if found and url not in seen:
-            seen.add(url)
-            out.append({"id": found[1], "url": url, "class": (a.get("class") or "").strip() or (li.get("class") or "").strip(), "title": a.get("title") or "", "text": node.get("text") or "", "depth": depth})
-        children = node.get("children")
-        if isinstance(children, list):
-            stack.extend((child, depth + bool(found)) for child in reversed(children))
-    return out
 
 
-def tree_nodes(pages: DataFrame, key: str, body: str, pattern: str = COURSE_NODE) -> DataFrame:
-    """A row for each node of a page's embedded tree whose address fits: key, pos, id, url, class, title and depth.
+def _walked(pages: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, place, depth, href, title, text, class, li_class) of all nodes of a page's trees; place puts parents before children, in their order.
 
-    Each tree is walked where its page is; the recursion is that of JSON of any depth,
-    which no column type can hold. Titles are the attribute, else the label's text.
+    Trees are variants, opened level by level; each level is cut, and the first empty one ends
+    the walk, so trees may have any depth. Nodes that are no objects, and children that are no
+    lists (but `true`, for what comes later), hold nothing.
     """
-    fitting = re.compile(pattern)
+    from ..sources.tables import cut
 
-    @F.pandas_udf(NODE)
-    def walk(payloads: pd.Series) -> pd.Series:
-        return payloads.map(lambda p: _walk(p, fitting))
+    nodes = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    text = lambda path: F.coalesce(F.try_variant_get("v", path, "string"), F.lit(""))
+    arrays = pages.where(F.col(body).rlike(H.TREES)).select(key, F.posexplode(H.embedded_arrays(F.col(body))).alias("_tree", "v"))
+    level = cut(arrays.select(key, F.array("_tree").alias("place"), F.posexplode(nodes(F.col("v"), "$")).alias("_pos", "v")).select(key, F.concat("place", F.array("_pos")).alias("place"), "v"))
+    out, depth = None, 0
+    while out is None or not level.isEmpty():
+        read = level.select(key, "place", F.lit(depth).alias("depth"), T.strip(text("$.a_attr.href")).alias("href"), text("$.a_attr.title").alias("title"), text("$.text").alias("text"), text("$.a_attr.class").alias("class"), text("$.li_attr.class").alias("li_class"))
+        out = read if out is None else out.unionByName(read)
+        below = level.select(key, "place", F.posexplode(nodes(F.col("v"), "$.children")).alias("_pos", "v"))
+        level, depth = cut(below.select(key, F.concat("place", F.array("_pos")).alias("place"), "v")), depth + 1
+    return out
 
-    nodes = pages.select(key, F.posexplode(walk(H.embedded_json(F.col(body)))).alias("pos", "n"))
-    title = X.first_text(F.col("n.title"), H.unescape(H.plain(F.col("n.text"))))
-    return nodes.select(key, "pos", "n.id", "n.url", F.col("n.class").alias("class"), title.alias("title"), "n.depth")
 
+def _fitting(pages: DataFrame, key: str, body: str, pattern: str) -> DataFrame:
+    """The nodes whose address fits, the first of each page and address, with its id."""
+    fits = _walked(pages, key, body).withColumn("id", F.regexp_extract("href", pattern, 1)).where("id <> ''")
+    first = fits.groupBy(key, F.col("href").alias("url")).agg(F.min_by(F.struct("id", "title", "text", "class", "li_class", "depth"), "place").alias("n"), F.min("place").alias("place"))
+    return first.select(key, "url", "place", "n.*")
 
-def groups(pages: DataFrame, key: str, body: str) -> DataFrame:
-    """The groups of a page's embedded tree: key, id, url and title, the label before the attribute."""
-    fitting = re.compile(GROUP)
 
-    @F.pandas_udf(NODE)
-    def walk(payloads: pd.Series) -> pd.Series:
-        return payloads.map(lambda p: _walk(p, fitting))
+def tree_nodes(pages: DataFrame, key: str, body: str, pattern: str = COURSE_NODE) -> DataFrame:
+    """A row for each node of a page's embedded trees whose address fits: key, pos, id, url, class, title and depth.
+
+    The first of equal addresses counts, parents before children (pos); depth counts all nodes
+    above it. The class is the link's, else the list item's; the title is the attribute, else
+    the label without tags, its character references as they are.
+    """
+    nodes = _fitting(pages, key, body, pattern)
+    pos = F.row_number().over(Window.partitionBy(key).orderBy("place")) - 1
+    title = F.when(T.strip(F.col("title")) != "", T.strip(F.col("title"))).otherwise(H.plain(F.col("text")))
+    kind = F.when(T.strip(F.col("class")) != "", T.strip(F.col("class"))).otherwise(T.strip(F.col("li_class")))
+    return nodes.select(key, pos.cast("int").alias("pos"), "id", "url", kind.alias("class"), title.alias("title"), "depth")
 
-    nodes = pages.select(key, F.explode(walk(H.embedded_json(F.col(body)))).alias("n"))
-    return nodes.select(key, "n.id", "n.url", X.first_text(H.unescape(H.plain(F.col("n.text"))), X.strip(F.col("n.title"))).alias("title"))
+
+def groups(pages: DataFrame, key: str, body: str) -> DataFrame:
+    """The groups of a page's embedded trees: key, id, url and title, the label before the attribute, references resolved."""
+    nodes = _fitting(pages, key, body, GROUP)
+    label, title = (T.collapse(H.unescape(x)) for x in (H.plain(F.col("text")), F.col("title")))
+    return nodes.select(key, "id", "url", F.when(label != "", label).otherwise(title).alias("title"))
 
 
 def reachable(roots: DataFrame, links: DataFrame, most: int = 500) -> DataFrame:
@@ -105,8 +97,8 @@ def folders_by_name(listing: DataFrame) -> DataFrame:
     Folders that such a leaf stands for, and folders under a skipped one, are left out.
     """
     parts = F.split(F.regexp_replace("path", "^/+|/+$", ""), "/")
-    generic = lambda x: F.lower(F.trim(x)).isin(X.GENERIC_FOLDERS)
-    skipped = F.exists(parts, lambda x: x.startswith(".") | F.lower(x).isin(X.SKIPPED_FOLDERS))
+    generic = lambda x: F.lower(F.trim(x)).isin(T.GENERIC_FOLDERS)
+    skipped = F.exists(parts, lambda x: x.startswith(".") | F.lower(x).isin(T.SKIPPED_FOLDERS))
     named = F.filter(parts, lambda x: ~generic(x))
     kept = listing.where(~skipped & (F.size(named) > 0)).withColumn("match_name", F.element_at(named, -1)).withColumn("downloads_leaf", generic(F.element_at(parts, -1)))
     parents = kept.where("downloads_leaf").select(F.regexp_replace("path", "/[^/]*/*$", "").alias("path")).distinct()
@@ -124,7 +116,7 @@ def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     branch = F.struct(F.concat(F.lit("<b>"), "n_name", F.lit("</b> &amp; more")).alias("text"), F.struct(F.when(F.col("n_nationkey") % 4 == 1, "/Overview").otherwise(url(F.col("n_regionkey"), F.col("n_nationkey"))).alias("href")).alias("a_attr"), F.struct(F.lit("node-st").alias("class")).alias("li_attr"), F.col("children"))
     regions = nations.join(leaves, "n_nationkey", "left").groupBy("n_regionkey").agg(listed(F.struct("n_nationkey", branch.alias("node"))).alias("children")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     top = F.array(F.struct(F.lit("ignored ]").alias("text"), F.struct(url(F.col("r_regionkey"), F.col("r_regionkey") + 1000).alias("href"), F.concat(F.col("r_name"), F.lit(' "x"')).alias("title")).alias("a_attr"), F.col("children")))
-    pages = regions.select(F.col("r_name").alias("page"), F.concat(F.lit("<script>var initial_data = "), F.to_json(top), F.lit("; var more = [1];</script>")).alias("html"))
+    pages = regions.select(F.col("r_name").alias("page"), F.concat(F.lit("<script>var  initial_data="), F.to_json(top), F.lit('; var more = [1];</script> var initial_data = [{"text": null, "a_attr": {"href": "/CourseNode/7 "}}, 5, null];')).alias("html"))
     return tree_nodes(pages.unionByName(pages.select(F.concat("page", F.lit(" cut")).alias("page"), F.substring("html", 1, 60).alias("html"))), "page", "html")
 
 
@@ -141,10 +133,11 @@ QUERIES = {"tree_nodes": tree_listing, "reachable_pages": reachable_pages}
 ORACLES = {
     "tree_nodes": """
         WITH n AS (SELECT r_name AS page, r_regionkey AS r, n_nationkey AS n, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
-        nodes AS (SELECT r_name AS page, r_regionkey AS r, -1 AS n, -1 AS s, (r_regionkey + 1000)::VARCHAR AS id, '' AS class, r_name || ' "x"' AS title, 1 AS depth FROM region
-                  UNION ALL SELECT page, r, n, -1, n::VARCHAR, 'node-st', n_name || ' & more', 2 FROM n WHERE n % 4 <> 1
-                  UNION ALL SELECT page, r, n, s_suppkey, (s_suppkey + 10000)::VARCHAR, 'node-bc', s_name, CASE WHEN n % 4 = 1 THEN 2 ELSE 3 END FROM n JOIN supplier ON s_nationkey = n)
-        SELECT page, (row_number() OVER (PARTITION BY page ORDER BY n, s) - 1)::INT AS pos, id, '/RepositoryEntry/' || r || '/CourseNode/' || id AS url, class, title, depth FROM nodes""",
+        nodes AS (SELECT r_name AS page, r_regionkey AS r, -1 AS n, -1 AS s, (r_regionkey + 1000)::VARCHAR AS id, '' AS class, r_name || ' "x"' AS title, 0 AS depth FROM region
+                  UNION ALL SELECT r_name, r_regionkey, 1000, 1000, '7', '', '', 0 FROM region
+                  UNION ALL SELECT page, r, n, -1, n::VARCHAR, 'node-st', n_name || ' &amp; more', 1 FROM n WHERE n % 4 <> 1
+                  UNION ALL SELECT page, r, n, s_suppkey, (s_suppkey + 10000)::VARCHAR, 'node-bc', s_name, 2 FROM n JOIN supplier ON s_nationkey = n)
+        SELECT page, (row_number() OVER (PARTITION BY page ORDER BY n, s) - 1)::INT AS pos, id, CASE WHEN n = 1000 THEN '' ELSE '/RepositoryEntry/' || r END || '/CourseNode/' || id AS url, class, title, depth FROM nodes""",
     "reachable_pages": """
         WITH RECURSIVE links AS (SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey),
         reach AS (SELECT p_brand AS root, min(p_partkey) AS node, 0 AS depth FROM part GROUP BY 1 UNION SELECT root, target, depth + 1 FROM reach JOIN links ON node = source WHERE depth < 12)

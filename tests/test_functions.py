@@ -155,8 +155,9 @@ def test_time_of_anchors_follows_the_page(spark):
 def test_frames_and_json(spark):
     body = '<iframe width="1" src="doc.html?a=1&amp;b=2" id="z"></iframe><iframe src="https://k.org/e.html"></iframe><iframe src="x.png"></iframe>'
     assert spark.range(1).select(H.frame_documents(F.lit(body), F.lit("https://h.org/p/q")).alias("x")).first()["x"] == ["https://h.org/p/doc.html?a=1&b=2"]
-    assert apply(spark, H.embedded_json, 'x var initial_data = [{"a": "]\\""}]; more [') == '[{"a": "]\\""}]'
-    assert apply(spark, H.embedded_json, "var initial_data = [1, 2") is None
+    arrays = lambda page: spark.range(1).select(F.transform(H.embedded_arrays(F.lit(page)), lambda v: F.to_json(v)).alias("x")).first()["x"]
+    assert arrays('x var initial_data = [{"a": "]\\""}]; more [ var  initial_data=[1, 2 var initial_data = {}; var initial_data = [[]]') == ['[{"a":"]\\""}]', "[[]]"]
+    assert arrays("var initial_data = [1, 2") == arrays("") == []
     assert apply(spark, H.unescape, "a &lt; &uuml;") == "a < ü"
     assert apply(spark, H.content_region, 'a<div id="content">b</div><footer>c') == 'id="content">b</div>'
     one, two = ('<a id="row-1a2b3c" href="/p;jsessionid=AA">t</a>', '<a id="row-9f8e7d" href="/p;jsessionid=BB">t</a>')

@@ -110,7 +110,20 @@ def test_redaction(spark):
 def test_groups_and_names(spark):
     page = 'var initial_data = [{"text": "<i>G\\u00a0 1</i>", "a_attr": {"href": "/BusinessGroup/5", "title": "t"}, "children": [{"text": "", "a_attr": {"href": "/BusinessGroup/6/x", "title": " T2"}}]}]'
     got = trees.groups(spark.createDataFrame([("p", page)], "p string, html string"), "p", "html").collect()
-    assert [(r["id"], r["title"]) for r in got] == [("5", "G 1"), ("6", "T2")]
+    assert sorted((r["id"], r["title"]) for r in got) == [("5", "G 1"), ("6", "T2")]
+
+
+def test_trees_of_any_depth_without_python(spark):
+    deep = '{"text": "d", "a_attr": {"href": "/CourseNode/%d"}, "children": ['
+    chain = "var initial_data = [" + "".join(deep % k for k in range(40)) + "]}" * 40 + "]"
+    two = 'var initial_data = [{"a_attr": {"href": "/CourseNode/1", "class": " "}, "li_attr": {"class": " node-en "}, "text": "<b>A</b> &amp; B", "children": true}, {"children": [{"a_attr": {"href": " /CourseNode/2 ", "title": " T "}}, {"a_attr": {"href": "/CourseNode/1"}}]}]; var initial_data = [{"a_attr": {"href": "/BusinessGroup/9"}}, {"a_attr": {"href": "/CourseNode/3"}, "children": "x"}]'
+    pages = spark.createDataFrame([("deep", chain), ("two", two), ("none", "<p>"), ("cut", "var initial_data = [{"), (None, None)], "p string, html string")
+    nodes = trees.tree_nodes(pages, "p", "html")
+    got = nodes.collect()
+    assert [(r["id"], r["depth"]) for r in sorted((r for r in got if r["p"] == "deep"), key=lambda r: r["pos"])] == [(str(k), k) for k in range(40)]
+    assert [tuple(r) for r in sorted(got, key=lambda r: r["pos"]) if r["p"] == "two"] == [("two", 0, "1", "/CourseNode/1", "node-en", "A &amp; B", 0), ("two", 1, "2", "/CourseNode/2", "", "T", 1), ("two", 2, "3", "/CourseNode/3", "", "", 0)]
+    assert {r["p"] for r in got} == {"deep", "two"}
+    assert [(r["p"], r["id"]) for r in trees.groups(pages, "p", "html").collect()] == [("two", "9")]
 
 
 def test_folders(spark):
