@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.window import Window
 
+from ..sources.files import opened
 from ..sources.tables import cut
 
 SCHEMA = "job long, seq long, time timestamp, kind string, course string, file string, message string, error string"
@@ -34,11 +35,6 @@ _JOB = re.compile(r"job-(\d{10})$")
 _COMMIT = re.compile(r"commit-(\d{20})-(\d{20})\.json$")
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or address, and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _names(files: fs.FileSystem, folder: str) -> list[str]:
     return sorted(i.path for i in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
 
@@ -52,13 +48,13 @@ def _written(files: fs.FileSystem, path: str, data: bytes) -> None:
 
 
 def jobs(path: str) -> list[int]:
-    files, root = _opened(path)
+    files, root = opened(path)
     return sorted(int(m[1]) for p in _names(files, root) if (m := _JOB.search(p)))
 
 
 def start_job(path: str) -> int:
     """A new job's number; its log is empty. Logs of earlier jobs stay until forget() takes them."""
-    files, root = _opened(path)
+    files, root = opened(path)
     job = max(jobs(path), default=0) + 1
     files.create_dir(f"{root}/job-{job:010d}", recursive=True)
     return job
@@ -66,7 +62,7 @@ def start_job(path: str) -> int:
 
 def forget(path: str, before: int) -> None:
     """Deletes the logs of jobs before a job; a stream that hasn't read them goes on with that job."""
-    files, root = _opened(path)
+    files, root = opened(path)
     for job in jobs(path):
         if job < before:
             files.delete_dir(f"{root}/job-{job:010d}")
@@ -74,7 +70,7 @@ def forget(path: str, before: int) -> None:
 
 def commits(path: str, job: int) -> list[tuple[int, int, str]]:
     """(first, last, file) of a job's commits, in order."""
-    files, root = _opened(path)
+    files, root = opened(path)
     return [(int(m[1]), int(m[2]), p) for p in _names(files, f"{root}/job-{job:010d}") if (m := _COMMIT.search(p))]
 
 
@@ -89,7 +85,7 @@ def publish(events: DataFrame, path: str, job: int, order: list[str], each: int
     meets in a single task. One publisher of a job at a time: a second one's commit of the
     same numbers fails.
     """
-    files, root = _opened(path)
+    files, root = opened(path)
     folder, begin = f"{root}/job-{job:010d}", last_seq(path, job)
     kept = [c for c in dict.fromkeys(["time", *FIELDS, *order]) if c in events.columns]
     n = max(1, -(-events.count() // each))
@@ -101,7 +97,7 @@ def publish(events: DataFrame, path: str, job: int, order: list[str], each: int
     numbered = placed.join(F.broadcast(heads), "_part").select((F.lit(begin + 1) + F.col("_before") + F.col("_nth") - F.col("_from")).alias("seq"), *values)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, where = _opened(path)
+        own, where = opened(path)
         held = [batch for batch in batches if len(batch)]  # a range: some `each` events
         if held:
             rows = pd.concat(held).sort_values("seq")
@@ -131,7 +127,7 @@ class Piece(InputPartition):
 
 def pieces(path: str, job: int, after: int, upto: int) -> list[Piece]:
     """What of a job's files has the numbers after one and up to another."""
-    files, _ = _opened(path)
+    files, _ = opened(path)
     out = []
     for first, last, commit in commits(path, job):
         if last > after and first <= upto:
@@ -143,7 +139,7 @@ def pieces(path: str, job: int, after: int, upto: int) -> list[Piece]:
 
 
 def _events(path: str, piece: Piece) -> Iterator[tuple]:
-    files, _ = _opened(path)
+    files, _ = opened(path)
     with files.open_input_stream(piece.file) as f:
         for line in f.read().decode().splitlines():  # `each` events at most
             event = json.loads(line)
