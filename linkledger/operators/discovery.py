@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import predicates as P
 from ..functions import text as T
 from ..functions import urls as U
+from ..sources.tables import in_order
 
 #: Link texts that are no course titles, and what a title without name begins with.
 NO_TITLES = ["kurs öffnen", "weitere kursinhalte ansehen", "weitere kursinhalte", "kursinhalte ansehen", "zum kurs", "kurs starten", "details anzeigen", "mehr anzeigen", "inhalte anzeigen", "was lernt man in diesem kurs"]
@@ -31,8 +32,8 @@ def courses(cards: DataFrame, base: str, wanted: list[str] | None = None) -> Dat
 def course_index(files: DataFrame) -> DataFrame:
     """(course, course_index, total_courses): courses numbered from 1 in the order of their first path."""
     first = files.groupBy("course").agg(F.min("path").alias("first"))
-    everything = Window.orderBy("first", "course")
-    return first.select("course", F.row_number().over(everything).cast("int").alias("course_index"), F.count("*").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("int").alias("total_courses"))
+    numbered = in_order(first, ["first", "course"], "nth")
+    return numbered.join(F.broadcast(first.agg(F.count("*").cast("int").alias("total_courses")))).select("course", (F.col("nth") + 1).cast("int").alias("course_index"), "total_courses")
 
 
 def truncated(before: Column, after: Column) -> Column:

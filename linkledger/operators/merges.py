@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import predicates as P
 from ..functions import text as T
+from ..sources.tables import in_order
 from . import addresses as A
 
 #: Files of a section from which it is fetched as a whole, seconds without progress that are a stall, seconds
@@ -45,9 +46,9 @@ def course_rows(wanted: DataFrame, folders: DataFrame) -> DataFrame:
     """
     named = wanted.where(F.trim("name") != "*")
     listed = named.join(folders, "name", "left").select("place", "name", F.coalesce("folder", F.lit("")).alias("folder"))
-    rest = folders.join(named, "name", "left_anti").select(F.row_number().over(Window.orderBy("name")).cast("long").alias("nth"), "name", "folder")  # what a person wrote: small
+    rest = in_order(folders.join(named, "name", "left_anti"), ["name"], "nth").select("nth", "name", "folder")
     after = listed.agg(F.coalesce(F.max("place") + 1, F.lit(0)).alias("after"))
-    return listed.unionByName(rest.join(after).select((F.col("after") + F.col("nth") - 1).alias("place"), "name", "folder"))
+    return listed.unionByName(rest.join(after).select((F.col("after") + F.col("nth")).alias("place"), "name", "folder"))
 
 
 def run_stats(outcomes: DataFrame, key: str) -> DataFrame:
@@ -61,7 +62,8 @@ def paced(requests: DataFrame, key: str, at: str, order: str, spacing: int = SPA
     """requests with `sent`, in milliseconds, no two of a key nearer than `spacing`, and `held`: how long each was held back.
 
     A request goes out at its own time or `spacing` after the one before it. Counted back by
-    its place, that is a running maximum, so no state has to be carried from row to row.
+    its place, that is a running maximum, so no state has to be carried from row to row. The
+    longer pauses that answers of 429 or 503 would ask for aren't added.
     """
     turn = Window.partitionBy(key).orderBy(at, order)
     ahead = (F.row_number().over(turn) - 1) * spacing
@@ -71,7 +73,7 @@ def paced(requests: DataFrame, key: str, at: str, order: str, spacing: int = SPA
 
 
 def limiter_stats(sent: DataFrame, key: str) -> DataFrame:
-    """Waits, delayed ones and the time held of each key's paced requests, and its answers that ask to slow down."""
+    """Waits, delayed ones and the time held of each key's paced requests, and its answers that ask to slow down, which are only counted."""
     return sent.groupBy(key).agg(F.count("*").alias("waits"), F.count_if(F.col("held") > 0).alias("delayed"), F.sum("held").alias("held"), F.count_if(F.col("status").isin(429, 503)).alias("busy"))
 
 
@@ -141,7 +143,7 @@ def settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of some segments as wanted courses, and folders for others too."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
     wanted = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("place"), F.col("c_name").alias("name"))
-    folders = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), F.concat(F.lit("folder "), "c_custkey").alias("folder"))
+    folders = c.where("c_custkey % 3 <> 0 or c_custkey % 2 = 0").select(F.col("c_name").alias("name"), F.concat(F.lit("folder "), "c_custkey").alias("folder"))
     return course_rows(wanted, folders)
 
 
@@ -210,7 +212,7 @@ ORACLES = {
         SELECT l_orderkey AS section_url, 'a/' || l_orderkey || '/f' || l_linenumber || '-' || l_partkey AS path, CASE WHEN done THEN day END AS modified, done FROM j""",
     "merged_candidates": "SELECT p_partkey::VARCHAR AS url, CASE WHEN p_size > 25 THEN 'size ' || p_size WHEN p_size % 3 = 0 THEN p_type ELSE p_brand END AS title FROM part",
     "settings_rows": """
-        WITH f AS (SELECT c_name AS name, 'folder ' || c_custkey AS folder, c_custkey FROM customer WHERE c_custkey % 2 = 0), w AS (SELECT c_custkey AS place, c_name AS name FROM customer WHERE c_custkey % 3 = 0)
+        WITH f AS (SELECT c_name AS name, 'folder ' || c_custkey AS folder, c_custkey FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0), w AS (SELECT c_custkey AS place, c_name AS name FROM customer WHERE c_custkey % 3 = 0)
         SELECT place, name, coalesce(folder, '') AS folder FROM w LEFT JOIN f USING (name)
         UNION ALL SELECT (SELECT max(place) FROM w) + row_number() OVER (ORDER BY name), name, folder FROM f WHERE c_custkey % 3 <> 0""",
     "run_outcomes": """SELECT user_id, count(*) FILTER (event_type NOT IN ('view', 'click', 'error')) AS downloaded, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type = 'error') AS errors,

@@ -61,6 +61,13 @@ def active_alert(status: DataFrame, dismissed: Column) -> DataFrame:
     return latest.where(~F.col("outcome").isin("success", "skipped") & ~F.coalesce(F.col("timestamp") == dismissed, F.lit(False)))
 
 
+def active_alerts(status: DataFrame, key: str, dismissed: DataFrame) -> DataFrame:
+    """active_alert of each key of status (key, timestamp, n, outcome), with the times that keys have dismissed (key, dismissed)."""
+    latest = status.groupBy(key).agg(F.max_by(F.struct("timestamp", "n", "outcome"), F.struct("timestamp", "n")).alias("s")).select(key, "s.*")
+    open_ = latest.join(dismissed.select(key, "dismissed").distinct(), (latest[key] == dismissed[key]) & (F.col("timestamp") == F.col("dismissed")), "left_anti")
+    return open_.where(~F.col("outcome").isin("success", "skipped"))
+
+
 def succeeded_on(status: DataFrame, day: Column, zone: str) -> DataFrame:
     """One row: whether a success was recorded on a calendar day of a zone."""
     return status.agg(F.coalesce(F.bool_or((F.col("outcome") == "success") & (F.to_date(F.from_utc_timestamp("timestamp", zone)) == day)), F.lit(False)).alias("succeeded"))
@@ -79,12 +86,14 @@ def log_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "skipped").otherwise("partial")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("timestamp"), kind.alias("outcome"), F.col("event_id").alias("n"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("timestamp"), kind.alias("outcome"), F.col("event_id").alias("n"))
 
 
 def latest_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The status that a person should see now, if any."""
-    return active_alert(_status(spark, sf_dir), F.lit(None).cast("timestamp")).select("n", "outcome")
+    """The status that each user should see now; every fourth one has dismissed the last one."""
+    status = _status(spark, sf_dir)
+    dismissed = status.where("user_id % 4 = 0").groupBy("user_id").agg(F.max("timestamp").alias("dismissed"))
+    return active_alerts(status, "user_id", dismissed).select("user_id", "n", "outcome")
 
 
 def success_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +102,9 @@ def success_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"latest_alert": latest_alert, "success_of_day": success_of_day, "visit_report": visit_report, "log_budget": log_budget}
-_STATUS = "SELECT ts, event_id AS n, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'skipped' ELSE 'partial' END AS outcome FROM events"
+_STATUS = "SELECT user_id, ts, event_id AS n, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'skipped' ELSE 'partial' END AS outcome FROM events"
 ORACLES = {
-    "latest_alert": f"SELECT n, outcome FROM (SELECT * FROM ({_STATUS}) ORDER BY ts DESC, n DESC LIMIT 1) WHERE outcome NOT IN ('success', 'skipped')",
+    "latest_alert": f"SELECT user_id, n, outcome FROM (SELECT * FROM ({_STATUS}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, n DESC) = 1) WHERE outcome NOT IN ('success', 'skipped') AND user_id % 4 <> 0",
     "success_of_day": f"SELECT coalesce(bool_or(outcome = 'success' AND ts::DATE = DATE '2024-01-05'), false) AS succeeded FROM ({_STATUS})",
     "visit_report": V.ORACLES["visit_stats"].replace("SELECT course, section_url, count(*)", ", stats AS (SELECT course, section_url, count(*)", 1)
     + """) SELECT course, section_url, rpad(course, 30, ' ') || ' ' || rpad(section_title, 35, ' ') || ' ' || lpad(visits::VARCHAR, 6, ' ') || ' ' || lpad(empty_visits::VARCHAR, 6, ' ') || '  '

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import ranges
+
 #: Percent that a total may drop, history rows, log lines, and log lines in a report.
 DROP_PERCENT, HISTORY, LOG_LINES, REPORT_LINES = 20.0, 30, 400, 60
 
@@ -20,12 +22,17 @@ def baseline_series(totals: DataFrame, order: str, total: str, threshold: float
 
     With nothing before it a run establishes the baseline. Nothing found, or a drop by
     more than the threshold, fails and leaves the baseline; a smaller drop passes and
-    leaves it too; so it is the largest total so far.
+    leaves it too; so it is the largest total so far: that of the rows before in a row's
+    range of the order, and of all ranges before, of each of which one number is gathered.
     """
-    before = F.max(total).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranges(totals, [order])
+    earlier = F.max("_most").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    heads = placed.groupBy("_part").agg(F.max(total).alias("_most")).select("_part", earlier.alias("_earlier"))
+    inside = F.max(total).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     drop = F.when(F.col(total) < F.col("baseline"), 100.0 * (F.col("baseline") - F.col(total)) / F.col("baseline")).otherwise(0.0)
     verdict = F.when(F.col("baseline").isNull(), "established").when(F.col(total) == 0, "failed").when(F.col("drop_percent") > threshold, "failed").otherwise("passed")
-    return totals.withColumn("baseline", before).withColumn("drop_percent", drop).withColumn("verdict", verdict)
+    known = placed.join(F.broadcast(heads), "_part").withColumn("baseline", F.greatest(inside, "_earlier")).drop("_part", "_earlier")
+    return known.withColumn("drop_percent", drop).withColumn("verdict", verdict)
 
 
 def breakdown(rows: DataFrame, step: str, total: str, waited: str) -> DataFrame:

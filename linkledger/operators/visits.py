@@ -67,8 +67,9 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of each section in the first half of the month against the second."""
-    visits = _visits(spark, sf_dir).withColumn("late", F.dayofmonth("ts") > 15).where("section_url % 3 <> 0 or late").where("section_url % 5 <> 0 or not late")
+    """Files of each section in the first half of the month against the second; some sections get other addresses in between."""
+    visits = _visits(spark, sf_dir).withColumn("late", F.dayofmonth("ts") > 15)
+    visits = visits.withColumn("section_url", F.concat("section_url", F.when(F.col("late") & F.expr("section_url % 5 = 0"), "-new").when(~F.col("late") & F.expr("section_url % 3 = 0"), "-old").otherwise("")))
     files = lambda late: visits.where(F.col("late") == late).groupBy("section_url").agg(F.sum("files_found").alias("files"))
     return run_difference(files(False), files(True))
 
@@ -84,7 +85,8 @@ ORACLES = {
     "run_totals": f"""{_VISITS}, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM visits WINDOW w AS (PARTITION BY section_url ORDER BY ts)),
         numbered AS (SELECT *, sum(new) OVER (PARTITION BY section_url ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM marked)
         SELECT section_url, run::BIGINT AS run, count(*) AS visits, sum(files_found)::BIGINT AS files, count(DISTINCT course) AS courses, min(ts) AS began FROM numbered GROUP BY section_url, run""",
-    "run_diff": f"""{_VISITS}, halves AS (SELECT section_url, day(ts) > 15 AS late, sum(files_found)::BIGINT AS files FROM visits WHERE (section_url::INT % 3 <> 0 OR day(ts) > 15) AND (section_url::INT % 5 <> 0 OR day(ts) <= 15) GROUP BY ALL)
+    "run_diff": f"""{_VISITS}, named AS (SELECT section_url || CASE WHEN day(ts) > 15 AND section_url::INT % 5 = 0 THEN '-new' WHEN day(ts) <= 15 AND section_url::INT % 3 = 0 THEN '-old' ELSE '' END AS section_url, day(ts) > 15 AS late, files_found FROM visits),
+        halves AS (SELECT section_url, late, sum(files_found)::BIGINT AS files FROM named GROUP BY ALL)
         SELECT coalesce(a.section_url, b.section_url) AS section_url, a.files AS files_before, b.files AS files_after,
                CASE WHEN a.files IS NULL THEN 'NEW' WHEN b.files IS NULL THEN 'GONE' WHEN a.files <> b.files THEN 'CHANGED' ELSE 'SAME' END AS change
         FROM (SELECT * FROM halves WHERE NOT late) a FULL JOIN (SELECT * FROM halves WHERE late) b USING (section_url)""",

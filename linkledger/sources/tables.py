@@ -39,6 +39,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ranges(df: DataFrame, order: list[str], each: int = 100_000) -> DataFrame:
+    """df, cut, in ranges of an order of about `each` rows: _part is the number of a row's range."""
+    n = max(1, -(-df.count() // each))
+    return cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def in_order(df: DataFrame, order: list[str], name: str, each: int = 100_000) -> DataFrame:
+    """df with its rows numbered from 0 in an order; only a count for each range of it meets in one task."""
+    placed = ranges(df, order, each)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    return placed.join(F.broadcast(heads), "_part").withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part", "_before")
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """(key, size, modified, fail_count, failed_at, unverified, schema_version) of a state's JSON file; no file, no rows.
 
@@ -142,7 +156,7 @@ def write_tsv(rows: DataFrame, path: str, columns: list[str]) -> None:
 def bounded_history(history: DataFrame, new: DataFrame, most: int = 30) -> DataFrame:
     """The latest rows of a history with new ones."""
     both = history.unionByName(new, allowMissingColumns=True)
-    return both.withColumn("_nth", F.row_number().over(Window.orderBy(F.desc("timestamp")))).where(F.col("_nth") <= most).drop("_nth")
+    return both.orderBy(F.desc("timestamp")).limit(most)
 
 
 def assets_of(releases: DataFrame, body: str, name: str) -> DataFrame:
