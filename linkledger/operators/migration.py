@@ -46,6 +46,15 @@ def relocation(old_there: Column, new_there: Column, same: Column) -> Column:
     return F.when(same | ~old_there, "NOOP").when(new_there, "LEFT").otherwise("MOVE")
 
 
+def relocations(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """files (key, old_path, new_path) with action: what relocation() says by the paths that exist (path), and unverified: whether it was left for lack of room."""
+    there = existing.select("path").distinct()
+    old = files.join(there.select(F.col("path").alias("old_path"), F.lit(True).alias("_old")), "old_path", "left")
+    both = old.join(there.select(F.col("path").alias("new_path"), F.lit(True).alias("_new")), "new_path", "left")
+    action = relocation(F.coalesce("_old", F.lit(False)), F.coalesce("_new", F.lit(False)), F.col("old_path").eqNullSafe(F.col("new_path")))
+    return both.select("key", "old_path", "new_path", action.alias("action")).withColumn("unverified", F.col("action") == "LEFT")
+
+
 def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
     name, course = F.concat_ws(" ", "p_name", (F.col("p_partkey") % 97).cast("string")), F.col("p_brand")
