@@ -451,14 +451,37 @@ def repeats_of(texts: DataFrame) -> DataFrame:
     return S.written(cells.join(answers, "cell").drop("n_starts").mapInArrow(_removed(hot, buckets), RESULT))
 
 
+#: Keys that several texts may share, and times that they are told apart; of 10 ** 11 texts, some hundred keys are, once.
+SHARED, TURNS = 10_000, 4
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.octet_length(text))
 
 
+def text_check(text: Column) -> Column:
+    """A second hash, independent of the key."""
+    return F.xxhash64(F.lit("check"), text)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows (text) with `key`, a long that differs wherever the two hashes of texts do: keys that texts of different checks share are replaced."""
+    key, check = text_key(F.col("text")), text_check(F.col("text"))
+    for turn in range(TURNS):
+        told = rows.select(key.alias("key"), check.alias("check")).groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high")
+        shared = [r["key"] for r in told.select("key").limit(SHARED + 1).collect()]  # by chance, hardly ever any
+        if not shared:
+            return rows.withColumn("key", key)
+        if len(shared) > SHARED:
+            break
+        key = F.when(key.isin(shared), F.xxhash64(key, check, F.lit(turn))).otherwise(key)
+    raise RuntimeError("texts can't be told apart by their hashes")
+
+
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans' starts and ends in bytes."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).withColumn("key", text_key(F.col("text")))
+    rows = keyed(docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")))
     found = repeats_of(rows.select("key", "text"))
     small = rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     copies = small.groupBy("key").agg((F.count("*") > 1).alias("copied")).where("copied")

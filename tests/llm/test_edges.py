@@ -23,6 +23,18 @@ def test_repeats(rows):
     assert all(r["n_removed"] == 0 for r in got if r["doc_id"] != 2)
 
 
+@pytest.mark.parametrize("key", ["all alike", "two kinds"])
+def test_repeats_of_texts_with_equal_keys(spark, rows, monkeypatch, key):
+    """Texts that share a 64-bit key aren't taken for copies, and keep what they hold."""
+    body = " ".join(f"shared{k}" for k in range(60))
+    more = spark.createDataFrame([(20, f"{body} left"), (21, f"right {body}"), (22, body), (23, body), (24, "unlike any other " * 2)], "doc_id long, text string")
+    docs = rows.select("doc_id", "text").unionByName(more)
+    want = sorted(map(tuple, repeats.find_repeats(docs).drop("starts", "ends").collect()), key=str)
+    monkeypatch.setattr(repeats, "text_key", lambda text: F.lit(7).cast("long") if key == "all alike" else F.length(text).cast("long") % 2)
+    assert sorted(map(tuple, repeats.find_repeats(docs).drop("starts", "ends").collect()), key=str) == want
+    assert sum(r[2] > 0 for r in want) == 6
+
+
 def test_decontamination(spark, rows):
     items = spark.createDataFrame([(None, "same row"), (5, "same row twice"), (6, None)], "item_id long, text string")
     got = decontaminate.find_hits(rows, items, "h").collect()
