@@ -178,9 +178,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, result: str, text: str = "t
         if parts == 1:
             return hits
         key = S.free_name(docs, "_row")
-        hits = hits.withColumn(key, F.xxhash64(text, F.length(text)))
+        # a text's parts meet by 128 bits of it; null is a text of its own
+        name = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))
+        hits = hits.withColumn(key, name)
         if found is None:
-            base, found = docs.withColumn(key, F.xxhash64(text, F.length(text))), None
+            base, found = docs.withColumn(key, name), None
         hits = hits.select(key, result).where((F.size(F.col(result)["items"]) > 0) | (F.lit(k) == 0)).dropDuplicates([key])
         found = hits if found is None else found.unionByName(hits)
     merged_hits = found.groupBy(key).agg(F.max(F.col(result)["n_words"]).alias("n_words"), F.flatten(F.collect_list(F.arrays_zip(F.col(result)["starts"].alias("s"), F.col(result)["ends"].alias("e")))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(result)["items"])))).alias("items"))
