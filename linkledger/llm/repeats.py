@@ -485,7 +485,9 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = repeats_of(rows.select("key", "text"))
     small = rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     copies = small.groupBy("key").agg((F.count("*") > 1).alias("copied")).where("copied")
-    joined = small.join(copies, "key", "left").join(found, "key", "left")
+    # a row for each text of note, cut: so there is one join with the rows, both sides shuffled for it, and copies of one text can be split
+    told = S.cut(copies.join(found, "key", "full"))
+    joined = small.join(told, "key", "left")
     all_gone = F.coalesce(F.col("copied"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     pick = lambda whole, part, none: F.when(all_gone, whole).when(F.col("n_removed").isNotNull(), part).otherwise(none)
     empty = F.array().cast("array<int>")
