@@ -48,7 +48,7 @@ def test_empty_documents(spark):
         assert docs.collect() == []
 
 
-def test_entry_registers_all_eleven():
+def test_entry_registers_all_thirteen_and_the_pipeline():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
