@@ -24,7 +24,7 @@ def create(state: DataFrame, table: str, path: str, parts: int = PARTS, buckets:
 
     With as many buckets as a shuffle has partitions, or more, a run's join reads the state as it lies.
     """
-    placed = state.select(*COLUMNS, part_of(F.col("key"), parts).alias("part"))
+    placed = state.select(*COLUMNS, part_of(F.col("key"), parts).alias("part")).repartition("part")  # a file for each bucket of a part, not for each task
     placed.write.option("path", path).partitionBy("part").bucketBy(buckets, "key").sortBy("key").saveAsTable(table)
     placed.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('parts' = '{parts}')")
 
@@ -56,7 +56,7 @@ def apply(spark: SparkSession, table: str, planned: DataFrame, outcomes: DataFra
         before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
-            held.write.insertInto(table, overwrite=True)
+            held.repartition("part").write.insertInto(table, overwrite=True)
         finally:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
     return touched
@@ -66,7 +66,7 @@ def state_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after a run, read from a table in which the run recorded it."""
     listing, state, present = changes._orders(spark, sf_dir)
     name = f"state_{uuid.uuid4().hex}"
-    create(state, name, f"{checkpoint_folder(spark)}/{name}")
+    create(state, name, f"{checkpoint_folder(spark)}/{name}", parts=8)
     planned = changes.plan(listing, spark.table(name).drop("part"), present, F.lit(changes.NOW).cast("timestamp"))
     status = F.when(F.col("key").cast("long") % 8 == 0, "failed").when(F.col("action") == "VERIFY", "unchanged").otherwise("ok")
     planned = cut(planned)  # it was planned by the state as it was
