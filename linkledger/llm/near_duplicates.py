@@ -12,13 +12,16 @@ the full sets: first the best candidate of each class, then every candidate betw
 classes that these links leave apart.
 
 Regions in which some row has more than BEST likely partners, or that are larger than a
-tile or lie in two partitions, are crowds. Of a crowd all pairs of rows that are still in
-different components are compared on the full sets, in tiles of bounded size, and only
-links leave a tile. The rows of a crowd's largest component are sent once for each tile of
-other rows, so a crowd that is one component but for a few rows costs little more than
-those. So no link is lost between rows that share LEAST values in some tree; a pair at a
-similarity of exactly 0.8 shares them in none with a chance of 2 in 10000, a closer pair
-with less.
+tile or lie in two partitions, are crowds. Where a crowd's rows outside its largest
+component fit a tile, they are compared with all its rows on the full sets, in tiles of
+bounded size, and only links leave a tile. In wider crowds the keys go deeper: two sets can
+only be a link if they share one of the shingles that are rarest among all such rows, as
+many of them as the sizes of both leave room for (a prefix filter, by bands of sizes).
+Rows of wide crowds meet by those shingles, and what meets is confirmed; only rows of a
+shingle that more than LIST of them still have among their rarest are compared in tiles.
+So texts that share a long passage but no more than that never meet, and no link is lost
+between rows that share LEAST values in some tree; a pair at a similarity of exactly 0.8
+shares them in none with a chance of 2 in 10000, a closer pair with less.
 
 Defined cases: A-Z count as a-z; a text with fewer words than a shingle is one shingle;
 null, empty and wordless texts have no set and link with nothing; an empty table gives an
@@ -26,7 +29,8 @@ empty result; ties are broken by the smaller id; repeated rows are equal sets; r
 an id link, and are kept where no row of their component has one; very long texts are whole
 sets, one in a task's memory at a time; other columns, whatever their names, never enter.
 No group is gathered in one task: classes are aggregated before the shuffle, trees are
-split by ranges that include the row's id, and crowds are dealt out in tiles.
+split by ranges that include the row's id, and crowds are dealt out by shingle or in tiles.
+Sets are told apart by 128 bits: 64-bit names that different sets share are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -50,6 +54,14 @@ TREES, DEPTH, LEAST = 12, 8, 3
 REACH, BEST = 4, 8
 #: Rows and bytes of sets in a tile, on average.
 TILE, TILE_BYTES = 2048, 16 << 20
+#: Rows of a wide crowd that meet in pairs by one shingle; counters by which shingles are ordered, a broadcast of 2 MB.
+LIST, SLOTS = 64, 1 << 18
+#: Least sizes of the bands in which sets of alike sizes meet, each a twentieth above the one before.
+BANDS = [1]
+while BANDS[-1] < 1 << 40:
+    BANDS.append(max(BANDS[-1] + 1, BANDS[-1] * 21 // 20))
+#: Names that several sets may share, and times that they are told apart; of 10 ** 10 sets, some three are, once.
+SHARED, TURNS = 10_000, 4
 WORDS = B.Words(B.SPACES, seed=6)
 FEATURES = "struct<n:long,node:long,check:long,signature:binary>"
 
@@ -66,6 +78,31 @@ def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
             yield np.unique(spans[a : b - shingle + 1] if b - a >= shingle else B.spans_of(hashes[a:b], b - a) if b > a else hashes[:0])
 
 
+def names_of(one: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set."""
+    if not len(one):
+        return 0, 0
+    return int(B.mix(one).sum(dtype=B.U64).view(np.int64)), int(B.mix(one * B.U64(B.BASE)).sum(dtype=B.U64).view(np.int64))
+
+
+def named_by(node: Column) -> Column:
+    """What sets are named by, before those that share a name are told apart."""
+    return node
+
+
+def name_of_sets(classes: DataFrame) -> Column:
+    """The name of a set, of the columns `node` and `check`: one long for each pair of them among the classes (node, check)."""
+    name = named_by(F.col("node"))
+    for turn in range(TURNS):
+        shared = [r["name"] for r in classes.groupBy(name.alias("name")).count().where("count > 1").select("name").limit(SHARED + 1).collect()]  # by chance, hardly ever any
+        if not shared:
+            return name
+        if len(shared) > SHARED:
+            break
+        name = F.when(name.isin(shared), F.xxhash64(name, F.col("check"), F.lit(turn))).otherwise(name)
+    raise RuntimeError("sets can't be told apart by their hashes")
+
+
 def limit_of_agreement(similarity: float, values: int) -> int:
     """Equal values below which a pair of the given similarity is four deviations off."""
     return int(values * similarity - 4 * np.sqrt(values * similarity * (1 - similarity)))
@@ -97,8 +134,9 @@ def _features(shingle: int):
         for one in shingle_sets(texts, shingle):
             n.append(len(one))
             with np.errstate(over="ignore"):
-                node.append(int(B.mix(one).sum(dtype=B.U64).view(np.int64)) if len(one) else 0)
-                check.append(int(B.mix(one * B.U64(B.BASE)).sum(dtype=B.U64).view(np.int64)) if len(one) else 0)
+                first, second = names_of(one)
+            node.append(first)
+            check.append(second)
             wait.append(one)
             held += len(one)
             if held > 1 << 16:
@@ -264,17 +302,117 @@ def _links_of_tiles(percent: int):
     return typed
 
 
+def _rarest(percent: int, counts):
+    """Rows by the shingles that a link of theirs must share: (key, node, root, n, least), a key for each shingle and band of sizes.
+
+    `least`: the row's own size is in the band, so that it can be the smaller of two.
+    """
+
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, lows = np.frombuffer(counts.value, np.int64), np.array(BANDS)
+
+        def rows_of(keys: list, own: list) -> pa.RecordBatch:
+            times = [len(k) for k in keys]
+            node, root, n, least = (np.repeat(np.array(x), times) for x in zip(*own, strict=True))
+            return pa.record_batch([pa.array(x) for x in (np.concatenate(keys).view(np.int64), node, root, n, least)], ["key", "node", "root", "n", "least"])
+
+        for batch in batches:
+            keys, own, held = [], [], 0
+            for node, root, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = unpacked(packed)
+                values = values[np.lexsort((values, often[_slots(values)]))]
+                least = -(-percent * n // 100)
+                first, last = np.searchsorted(lows, [least, n], "right") - 1
+                for band in range(first, last + 1):
+                    # the smaller of both sets is in this band, so they share this many shingles, or more
+                    both = -(-percent * (n + max(least, BANDS[band])) // (100 + percent))
+                    keys.append((values[: max(0, len(values) - both + 1)] << B.U64(12)) | B.U64(band))
+                    own.append((node, root, n, band == last))
+                    held += len(keys[-1])
+                if held > 1 << 18:
+                    yield rows_of(keys, own)
+                    keys, own, held = [], [], 0
+            if keys:
+                yield rows_of(keys, own)
+
+    return deep
+
+
+def _slots(values: np.ndarray) -> np.ndarray:
+    return ((values * B.U64(B.BASE)) >> B.U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def counted_shingles(sets: DataFrame):
+    """How many sets have shingles of each of SLOTS counters: any total order finds all links, a good one has rare shingles first."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            packed = batch.column(0).to_pylist()
+            for k in range(0, len(packed), 256):
+                often += np.bincount(_slots(unpacked(b"".join(packed[k : k + 256]))), minlength=SLOTS)
+        slot = np.flatnonzero(often)
+        yield pa.record_batch([pa.array(slot), pa.array(often[slot])], ["slot", "n"])
+
+    found = sets.select("packed").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(often.tobytes())
+
+
+def deep_candidates(known: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b, ra, rb) of rows (node, root) that share one of their rarest shingles, and the nodes of those that too many share.
+
+    Any two rows of different roots that are a link are a pair, or both among those nodes.
+    """
+    own = S.cut(known.join(sets, "node").select("node", "root", "n", "packed"))
+    entries = own.mapInArrow(_rarest(percent, counted_shingles(own)), "key long, node long, root long, n long, least boolean")
+    lists = S.gathered(entries.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("least").alias("least")).where("lo < hi and least").select("key", "rows"))
+    listed = S.cut(entries.join(lists, "key"))
+    few = listed.where(F.col("rows") <= LIST)
+    one, two = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("least").alias(f"l{x}")) for x in "ab")
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("la") | F.col("lb")) & alike).select("a", "b", "ra", "rb").distinct()
+    return S.gathered(pairs), S.gathered(listed.where(F.col("rows") > LIST).select("node").distinct())
+
+
 def crowd_links(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b): roots between which a crowd's rows (tree, prefix, node, root) have a link.
+    """(a, b): roots between which a crowd's rows (tree, prefix, node, root) have a link.
 
-    The rows of a crowd are dealt into tiles, and those outside its largest component into
-    tiles of guests as well; each tile meets each tile of guests.
+    Crowds whose rows outside the largest component fit a tile are compared in tiles; the
+    rows of wider ones meet by their rarest shingles, once for all trees.
     """
     known = S.gathered(known.join(sets.select("node", "n"), "node"))
+    mixed = S.gathered(_mixed(known))
+    if mixed.where("others > 1").isEmpty():
+        return _tiled_links(known, mixed, sets, percent)
+    wide = S.gathered(known.join(mixed.where("others > 1").select("tree", "prefix"), ["tree", "prefix"]))
+    pairs, hot = deep_candidates(wide.select("node", "root").distinct(), sets, percent)
+    links = confirmed(pairs, sets, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    narrow = _tiled_links(known, mixed.where("others = 1"), sets, percent)
+    if hot.isEmpty():
+        return links.unionByName(narrow)
+    # shingles that very many have among their rarest: their rows in tiles, those apart after the links found
+    met = S.gathered(links.distinct())
+    rest = wide.join(hot, "node", "left_semi")
+    rest = S.gathered(through(rest, [components(met)]) if not met.isEmpty() else rest)
+    return met.unionByName(narrow).unionByName(_tiled_links(rest, S.gathered(_mixed(rest)), sets, percent))
+
+
+def _mixed(known: DataFrame) -> DataFrame:
+    """Crowds of several components: (tree, prefix, most, tiles, others), the largest component, tiles of all rows and of those outside it."""
     each = known.groupBy("tree", "prefix", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     whole = each.groupBy("tree", "prefix").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "n", "root")).alias("top")).where("rows > top.rows")
     tiles = lambda rows, n: F.ceil(F.greatest(rows / TILE, n * 6 / TILE_BYTES)).cast("int")
-    mixed = whole.select("tree", "prefix", F.col("top.root").alias("most"), tiles(F.col("rows"), F.col("n")).alias("tiles"), tiles(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("others"))
+    return whole.select("tree", "prefix", F.col("top.root").alias("most"), tiles(F.col("rows"), F.col("n")).alias("tiles"), tiles(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("others"))
+
+
+def _tiled_links(known: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b): roots between which rows of a crowd have a link.
+
+    The rows of a crowd are dealt into tiles, and those outside its largest component into
+    tiles of guests as well; each tile meets each tile of guests.
+    """
     dealt = S.gathered(known.drop("n").join(mixed, ["tree", "prefix"]))
     of = lambda name, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(name)).cast("int")
     as_own = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct("tree", "prefix", of("tiles", 1).alias("i"), j.alias("j"), F.lit(False).alias("guest")))
@@ -292,18 +430,18 @@ def _sets(shingle: int, sketch):
     def sets(ids: pa.Array, texts: pa.Array) -> pa.Array:
         wanted = in_sketch(sketch, ids)
         rows = np.flatnonzero(wanted)
-        n, node, packed = [None] * len(ids), [None] * len(ids), [None] * len(ids)
+        n, node, check, packed = ([None] * len(ids) for _ in range(4))
         for k, one in zip(rows.tolist(), shingle_sets(texts.take(pa.array(rows)), shingle), strict=True):
             with np.errstate(over="ignore"):
-                node[k] = int(B.mix(one).sum(dtype=B.U64).view(np.int64)) if len(one) else 0
+                node[k], check[k] = names_of(one)
             n[k], packed[k] = len(one), np.unique(one >> B.U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(packed, pa.binary())], ["n", "node", "packed"], mask=pa.array(~wanted))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(packed, pa.binary())], ["n", "node", "check", "packed"], mask=pa.array(~wanted))
 
     def typed(ids, texts):
         return sets(ids, texts)
 
     typed.__annotations__ = {"ids": pa.Array, "texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(typed, "struct<n:long,node:long,packed:binary>").asNondeterministic()
+    return F.arrow_udf(typed, "struct<n:long,node:long,check:long,packed:binary>").asNondeterministic()
 
 
 def unpacked(packed: bytes) -> np.ndarray:
@@ -354,11 +492,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), named.alias("named"), _features(shingle)(F.col(text)).alias("f"))
     rows = S.cut(made.select("doc_id", "named", "f.n", "f.node", "f.check", "f.signature"))
     classes = S.cut(rows.where("n > 0").groupBy("node", "check").agg(F.min("named").alias("named"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    name = name_of_sets(classes)
+    rows, classes = rows.withColumn("node", name), classes.withColumn("node", name)
     pairs, crowds = candidates(classes, percent)
     pairs, crowd = S.gathered(pairs), S.gathered(members(classes, S.gathered(crowds)))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
     sketch = sketch_of(classes.join(ends, "node", "left_semi"), "named")
-    sets = docs.select(_sets(shingle, sketch)(named, F.col(text)).alias("s")).where("s is not null").select("s.*")
+    sets = docs.select(_sets(shingle, sketch)(named, F.col(text)).alias("s")).where("s.n > 0").select("s.*").withColumn("node", name)
     sets = S.gathered(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed")), 5000)
     # the best candidate of each node first
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "equal").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "equal"))
