@@ -5,7 +5,8 @@ Rules and rows meet where a row holds one of the rule's literal parts, cut to GR
 characters: of all such grams of a rule, in any of its columns, the one that the fewest
 rows hold. A rule of which no row holds some gram fits nothing and meets nobody. So rules
 that begin alike don't meet all rows that begin so, and a table with a catch-all pattern
-in one column is met by the other one. Each key is dealt to SALT partitions.
+in one column is met by the other one. Each key is dealt to SALT partitions. Of rules with
+the same pattern only the first one is matched.
 
 Rules without any literal character fit by length or by classes of characters. Of those
 without classes, only the first one for each length counts; the rest is broadcast in
@@ -90,7 +91,7 @@ def fitting(rows: DataFrame, rules: DataFrame, patterns: dict[str, str], kind: s
     """
     columns = list(patterns)
     texts = [f"_t{k}" for k in range(len(columns))]
-    each = rows.select(*columns).distinct().select(*columns, *(T.match_text(F.col(c)).alias(t) for c, t in zip(columns, texts, strict=True))).where(" and ".join(f"{t} is not null" for t in texts))
+    each = rows.select(*columns).dropna().distinct().select(*columns, *(T.match_text(F.col(c)).alias(t) for c, t in zip(columns, texts, strict=True)))
     prepared = cut(_prepared(rules, list(patterns.values())))
     test = F.lit(True)
     for k, t in enumerate(texts):
@@ -105,12 +106,22 @@ def fitting(rows: DataFrame, rules: DataFrame, patterns: dict[str, str], kind: s
     return found
 
 
+def first_of_alike(rules: DataFrame) -> DataFrame:
+    """Of rules (priority, pattern, value) with the same pattern the first one, as no other can decide.
+
+    Dealt by whole rules before, so that those alike aren't one task's; cut, so that what is asked
+    of patterns later isn't asked of each rule.
+    """
+    dealt = rules.select("priority", "pattern", "value").repartition("priority", "pattern", "value")
+    return cut(dealt.groupBy("pattern").agg(F.min(F.struct("priority", "value")).alias("_first")).select("pattern", "_first.*"))
+
+
 def match_table(names: DataFrame, rules: DataFrame, name: str) -> DataFrame:
     """names with rule_priority and value of the first fitting rule of a table (priority, pattern, value); null where none fits.
 
     Of equal priorities the smaller value counts. Names are matched once each; null names fit nothing.
     """
-    best = fitting(names, rules.select("priority", "pattern", "value"), {name: "pattern"}).groupBy(name).agg(F.min(F.struct("priority", "value")).alias("best"))
+    best = fitting(names, first_of_alike(rules), {name: "pattern"}).groupBy(name).agg(F.min(F.struct("priority", "value")).alias("best"))
     return names.join(best, name, "left").select(names["*"], F.col("best.priority").alias("rule_priority"), F.col("best.value").alias("value"))
 
 
@@ -131,7 +142,7 @@ def destination_table(files: DataFrame, rules: DataFrame, course: str, section:
     rule for numbered sheets and its first other one.
     """
     best = lambda only: F.min(F.when(F.col("sheet_only") == F.lit(only), F.struct("priority", "value")))["value"]
-    pairs = fitting(files, split_destinations(rules), {course: "course_pattern", section: "section_pattern"}, "sheet_only")
+    pairs = fitting(files, split_destinations(first_of_alike(rules)), {course: "course_pattern", section: "section_pattern"}, "sheet_only")
     pairs = pairs.groupBy(course, section).agg(best(True).alias("_sheet"), best(False).alias("_plain"))
     number = T.sheet_number(F.col(file))
     joined = files.join(pairs, [course, section], "left")

@@ -64,6 +64,21 @@ def test_destinations_as_by_single_rules(spark):
     assert got.where("c is null").count() == 8
 
 
+def test_rules_alike_are_matched_once(spark, monkeypatch):
+    """However many rules have the same pattern, only the first of them meets names."""
+    seen = []
+    prepared = rule_tables._prepared
+    monkeypatch.setattr(rule_tables, "_prepared", lambda rules, patterns: seen.append(rules.count()) or prepared(rules, patterns))
+    table = spark.range(2000).select((F.lit(5000) - F.col("id")).alias("priority"), F.concat(F.lit("a*/"), F.when(F.col("id") % 2 == 0, "b").otherwise("?/{Blatt}")).alias("pattern"), F.concat(F.lit("d"), "id").alias("value"))
+    table = table.unionByName(table.where("priority <= 3002").withColumn("value", F.lit("c")))
+    files = spark.createDataFrame([("ax", "b", "Blatt_3.pdf"), ("ax", "b", "x.pdf"), ("ax", "c", "Blatt_3.pdf"), ("x", "b", "x.pdf")], "c string, s string, f string")
+    got = rule_tables.destination_table(files, table, "c", "s", "f").collect()
+    assert {(r["c"], r["s"], r["f"]): r["destination"] for r in got} == {("ax", "b", "Blatt_3.pdf"): "c", ("ax", "b", "x.pdf"): "c", ("ax", "c", "Blatt_3.pdf"): "c", ("x", "b", "x.pdf"): None}
+    found = rule_tables.match_table(files, table.withColumn("pattern", F.lit("?x")), "c").collect()
+    assert {(r["c"], r["rule_priority"], r["value"]) for r in found} == {("ax", 3001, "c"), ("x", None, None)}
+    assert seen == [2, 1]
+
+
 def test_empty_tables(spark):
     names = spark.createDataFrame([("a",)], "n string")
     none = spark.createDataFrame([], "priority int, pattern string, value string")
