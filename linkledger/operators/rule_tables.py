@@ -3,7 +3,8 @@
 A rule has a pattern for each of some columns and fits a row if all its patterns fit.
 Rules and rows meet where a row holds one of the rule's literal parts, cut to GRAM
 characters: of all such grams of a rule, in any of its columns, the one that the fewest
-rows hold. A rule of which no row holds some gram fits nothing and meets nobody. So rules
+rows hold. Grams are told apart by hashes, since whoever meets is tested in full anyway. A rule of
+which no row holds some gram fits nothing and meets nobody. So rules
 that begin alike don't meet all rows that begin so, and a table with a catch-all pattern
 in one column is met by the other one. Each key is dealt to SALT partitions. Of rules with
 the same pattern only the first one is matched.
@@ -23,6 +24,8 @@ from ..sources.tables import cut
 from . import rules as R
 
 GRAM, SALT, PART = 3, 16, 500
+#: Bits of a gram's key, its size above its hash; a count stands above them when the rarest is chosen, so that no aggregate holds more than a number.
+KEY, HASH = 40, 38
 CLASS = r"\[[^\]]+\]"
 
 
@@ -32,15 +35,20 @@ def _grams(x: Column, size: int) -> Column:
     return F.when(F.length(x) >= size, F.array_distinct(F.transform(at, lambda k: F.substring(x, k, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
+def _key(gram: Column, column: int) -> Column:
+    """A number for a gram of a column, with its size in the two bits above its hash."""
+    return F.shiftleft(F.length(gram).cast("long"), HASH).bitwiseOR(F.xxhash64(F.lit(column), gram).bitwiseAND(F.lit((1 << HASH) - 1)))
+
+
 def _keys_of_rule(pattern: Column, column: int) -> Column:
-    """The grams of a pattern's literal parts, the whole part where it is shorter, each with its column and size."""
+    """The keys of the grams of a pattern's literal parts, the whole part where it is shorter."""
     parts = F.filter(F.split(F.regexp_replace(pattern, rf"{CLASS}|[*?]", "\x00"), "\x00"), lambda p: p != "")
     grams = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) >= GRAM, _grams(p, GRAM)).otherwise(F.array(p))))
-    return F.transform(F.array_distinct(grams), lambda g: F.concat(F.lit(column), F.length(g), g))
+    return F.array_distinct(F.transform(grams, lambda g: _key(g, column)))
 
 
 def _keys_of_row(text: Column, column: int, sizes: list[int]) -> Column:
-    return F.transform(F.flatten(F.array(*(_grams(text, n) for n in sizes))), lambda g: F.concat(F.lit(column), F.length(g), g))
+    return F.transform(F.flatten(F.array(*(_grams(text, n) for n in sizes))), lambda g: _key(g, column))
 
 
 def _fits(text: Column, pattern: Column, regex: Column) -> Column:
@@ -49,27 +57,33 @@ def _fits(text: Column, pattern: Column, regex: Column) -> Column:
 
 
 def _prepared(rules: DataFrame, patterns: list[str]) -> DataFrame:
-    """rules with normalised patterns p0.., their expressions r0.. and the keys of all literal parts; those with an empty pattern fit nothing."""
+    """rules with normalised patterns p0.. and the keys of all literal parts; those with an empty pattern fit nothing."""
     kept = [c for c in rules.columns if c not in patterns]
     normal = rules.select(*kept, *(T.match_text(F.col(p)).alias(f"_p{k}") for k, p in enumerate(patterns)))
     for k in range(len(patterns)):
-        normal = normal.where(F.col(f"_p{k}") != "").withColumn(f"_r{k}", R._as_regex(f"_p{k}"))
+        normal = normal.where(F.col(f"_p{k}") != "")
     return normal.withColumn("_keys", F.flatten(F.array(*(_keys_of_rule(F.col(f"_p{k}"), k) for k in range(len(patterns))))))
 
 
+def _expressed(rules: DataFrame) -> DataFrame:
+    """Prepared rules with the expressions r0.. of their patterns: for those that meet anybody."""
+    count = len([c for c in rules.columns if c.startswith("_p")])
+    return rules.select("*", *(R._as_regex(f"_p{k}").alias(f"_r{k}") for k in range(count)))
+
+
 def candidates(rows: DataFrame, prepared: DataFrame, texts: list[str]) -> DataFrame:
     """Rows (texts as `texts`, normalised) beside the rules with literal parts that may fit them: those whose rarest key they hold."""
     keyed = prepared.where(F.size("_keys") > 0)
-    sizes = sorted(int(r["n"]) for r in keyed.select(F.explode(F.transform("_keys", lambda k: F.substring(k, 2, 1))).alias("n")).distinct().collect()) or [GRAM]  # GRAM values at most
+    sizes = sorted(r["n"] for r in keyed.select(F.explode(F.transform("_keys", lambda k: F.shiftright(k, HASH))).alias("n")).distinct().collect()) or [GRAM]  # GRAM values at most
     wanted = keyed.select(F.explode("_keys").alias("_key")).distinct()
     own = F.array_distinct(F.flatten(F.array(*(_keys_of_row(F.col(t), k, sizes) for k, t in enumerate(texts)))))
     held = rows.withColumn("_key", F.explode(own)).join(wanted, "_key", "left_semi")
     often = held.groupBy("_key").agg(F.count("*").alias("_n"))
     # by its content: the rarest key of each rule, none where no row holds one of them
     same = [c for c in prepared.columns if c != "_keys"]
-    rarest = keyed.select(*same, F.explode("_keys").alias("_key")).join(often, "_key", "left")
-    rarest = rarest.groupBy(*same).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_best")).where("_best.n > 0")
-    chosen = rarest.select(*same, F.col("_best.key").alias("_key")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    count = F.least(F.coalesce("_n", F.lit(0)), F.lit((1 << 63 - KEY) - 1))
+    rarest = keyed.select(*same, F.explode("_keys").alias("_key")).join(often, "_key", "left").groupBy(*same).agg(F.min(F.shiftleft(count, KEY).bitwiseOR(F.col("_key"))).alias("_best"))
+    chosen = _expressed(rarest.where(F.col("_best") >= 1 << KEY)).withColumn("_key", F.col("_best").bitwiseAND(F.lit((1 << KEY) - 1))).drop("_best").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     met = held.join(chosen.select("_key").distinct(), "_key", "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*texts), F.lit(SALT)).cast("int"))
     return met.join(chosen, ["_key", "_salt"]).drop("_key", "_salt")
 
@@ -98,7 +112,7 @@ def fitting(rows: DataFrame, rules: DataFrame, patterns: dict[str, str], kind: s
         test = test & _fits(F.col(t), F.col(f"_p{k}"), F.col(f"_r{k}"))
     out = [*columns, "priority", "value", *([kind] if kind else [])]
     found = candidates(each, prepared, texts).where(test).select(*out)
-    loose = cut(_loose(prepared, kind))
+    loose = cut(_expressed(_loose(prepared, kind)))
     parts = -(-loose.count() // PART)
     for part in range(parts):
         own = loose.where(F.pmod(F.xxhash64(*(f"_p{k}" for k in range(len(columns)))), F.lit(parts)) == part)
