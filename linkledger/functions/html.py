@@ -86,7 +86,7 @@ def anchors(pages: DataFrame, kept: list[str], body: str = "html") -> DataFrame:
     raw = each.select(*kept, "pos", F.array(*(attribute(head, a) for a in ATTRIBUTES.values()), bare(inner), bare(F.col("a.row"))).alias("raw"))
     values = raw.select(*kept, "pos", unescape_all(F.col("raw")).alias("v"))
     n = len(ATTRIBUTES)
-    texts = values.select(*kept, "pos", *(F.get("v", F.lit(k)).alias(c) for k, c in enumerate(ATTRIBUTES)), T.collapse(F.get("v", F.lit(n))).alias("text"), T.collapse(F.get("v", F.lit(n + 1))).alias("row_text"))
+    texts = T.once(values, *(F.get("v", F.lit(k)).alias(c) for k, c in enumerate(ATTRIBUTES)), T.collapse(F.get("v", F.lit(n))).alias("text"), T.collapse(F.get("v", F.lit(n + 1))).alias("row_text")).drop("v")
     return texts.withColumn("row_text", F.coalesce(T.none_if_blank(F.col("row_text")), F.col("text")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -36,6 +36,11 @@ def bind(x: Column, function) -> Column:
     return F.get(F.transform(F.array(x), function), F.lit(0))
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df and the columns behind its own, each computed once a row: as generated rows, so that filters on them stay above instead of computing them wherever they name them."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, Unicode spaces included."""
     return F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")

@@ -11,6 +11,8 @@ from ..functions import urls as U
 from ..plans import listing as L
 
 BASE = "https://h.example"
+#: Suppliers whose pages one task makes and searches, about.
+PAGES = 5000
 #: Addresses by the remainder of a link's number; {k} is the number, {n} its nation.
 SHAPES = [
     "/auth/RepositoryEntry/{n}/CourseNode/{k}/A%20B/",
@@ -71,6 +73,8 @@ def link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_url, entry, course, section, html): a page for each supplier with two files in a table, and a link that is none."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    # a file of suppliers is small and one task's, its pages aren't
+    s = s.repartition(max(1, -(-s.count() // PAGES)), "s_suppkey")
     k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
     row = lambda name, text: F.concat(F.lit('<tr><td><a href="/sendfile/'), name, F.lit('" data-file-name="'), name, F.lit('">'), name, F.lit("</a></td><td>"), text, F.lit("</td></tr>"))
     one, two = F.concat(F.lit("sheet"), k, F.lit(".pdf")), F.concat(F.lit("common"), n, F.lit(".zip"))
