@@ -6,14 +6,18 @@ any store that it knows.
 
 from __future__ import annotations
 
+import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import ExitStack
+from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Bytes and lines of a log's end.
 TAIL_BYTES, TAIL_LINES = 256 << 10, 400
@@ -66,7 +70,11 @@ def tail(data: bytes, cut: bool, lines: int) -> tuple[list[str], bool]:
 
 
 class LogTail(DataSource):
-    """Format `log_tail`: the last lines of each log. Options: path, of a file or folder; ending ("" takes all files); bytes and lines of each."""
+    """Format `log_tail`: the last lines of each log. Options: path, of a file or folder; ending ("" takes all files); bytes and lines of each.
+
+    Written are logs of rows (a file's name, a line) below the folder `path`, a file for each
+    name. A name's rows are to be one partition's, in turn and in the order of the lines.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -78,6 +86,46 @@ class LogTail(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Tails(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Logs(self.options["path"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The folder that a task's logs are in."""
+
+    folder: str
+
+
+class _Logs(DataSourceArrowWriter):
+    """Each task writes its logs in a hidden folder of its own; the driver shows those of the tasks that count, a folder each and not a file."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def write(self, iterator) -> Written:
+        files, root = opened(self.path)
+        folder = uuid.uuid4().hex
+        files.create_dir(f"{root}/_{folder}")
+        last, out = None, None
+        with ExitStack() as stack:
+            for batch in iterator:
+                names, lines = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+                starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]][: len(names)])
+                for begin, end in zip(starts, [*starts[1:], len(names)], strict=True):
+                    if names[begin] != last:
+                        stack.close()
+                        last, out = names[begin], stack.enter_context(files.open_output_stream(f"{root}/_{folder}/{names[begin]}"))
+                    out.write("".join(f"{line}\n" for line in lines[begin:end]).encode())
+        return Written(folder)
+
+    def commit(self, messages: list) -> None:
+        files, root = opened(self.path)
+        files.create_dir(root)
+        for m in messages:
+            if m is not None:
+                files.move(f"{root}/_{m.folder}", f"{root}/{m.folder}")
+
 
 class _Tails(DataSourceReader):
     def __init__(self, options) -> None:
@@ -166,6 +214,12 @@ def log_tails(spark: SparkSession, path: str, **options: str | int) -> DataFrame
     return spark.read.format("log_tail").options(path=path, **options).load()
 
 
+def write_logs(rows: DataFrame, path: str, name: str, order: str, line: str) -> None:
+    """A log for each name below a new folder, with its lines in order."""
+    rows.sparkSession.dataSource.register(LogTail)
+    rows.repartition(name).sortWithinPartitions(name, order).select(name, line).write.format("log_tail").mode("append").save(path)
+
+
 def archive_entries(spark: SparkSession, path: str, **options: str | int) -> DataFrame:
     """(path, entry, name, modified, content) of the files in archives; options as ZipEntries has them."""
     spark.dataSource.register(ZipEntries)
@@ -177,13 +231,11 @@ QUERY_BYTES, QUERY_LINES = 2000, 30
 
 def log_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ends of users' logs, one file of all events of each user."""
-    import uuid
-
     from .tables import checkpoint_folder
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", "props", F.when(F.col("event_id") % 3 == 0, "é")).alias("line"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("user_id="), "user_id", F.lit(".txt")).alias("log"), "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", "props", F.when(F.col("event_id") % 3 == 0, "é")).alias("line"))
     path = f"{checkpoint_folder(spark)}/logs-{uuid.uuid4().hex}"
-    e.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "line").write.partitionBy("user_id").text(path)
+    write_logs(e, path, "log", "event_id", "line")
     found = log_tails(spark, path, ending=".txt", bytes=QUERY_BYTES, lines=QUERY_LINES)
     return found.select(F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long").alias("user_id"), "number", "line", "truncated")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from linkledger.operators import addresses
 from linkledger.plans import listing
+from linkledger.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +19,20 @@ def test_links_of_pages_are_judged_where_they_are_computed(spark, monkeypatch):
     assert pages.rdd.getNumPartitions() == -(-pages.count() // 2)
     few = listing.files(pages.where("entry = '2'").withColumn("html", F.concat("html", F.lit('<a href="x.pdf">a &amp; b.pdf</a><a href="#">no.pdf</a>'))), addresses.BASE).collect()
     assert {r["name"] for r in few if r["url"].endswith("/x.pdf")} <= {"a & b.pdf"} and not [r for r in few if r["name"] == "no.pdf"]
+
+
+def test_logs_are_written_a_folder_for_each_task(spark, tmp_path):
+    """The driver moves folders of tasks, not a file or folder for each log; logs run on over batches of rows."""
+    rows = spark.range(3000).select(F.concat(F.lit("u"), F.col("id") % 300, F.lit(".txt")).alias("log"), "id", F.concat(F.lit("zeile é "), "id").alias("line"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        files.write_logs(rows, f"file://{tmp_path}/logs", "log", "id", "line")
+        files.write_logs(rows.where("false"), f"file://{tmp_path}/none", "log", "id", "line")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    folders = list((tmp_path / "logs").iterdir())
+    assert 0 < len(folders) <= 8 and not [f for f in folders if f.name.startswith("_")]
+    got = {p.name: p.read_text() for p in (tmp_path / "logs").rglob("*.txt")}
+    assert got == {f"u{k}.txt": "".join(f"zeile é {n}\n" for n in range(k, 3000, 300)) for k in range(300)}
+    assert files.log_tails(spark, f"{tmp_path}/logs", ending=".txt", lines=2).count() == 600
+    assert files.log_tails(spark, f"{tmp_path}/none").count() == 0
