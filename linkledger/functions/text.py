@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -81,13 +82,35 @@ def _without_marks(x: pd.Series) -> pd.Series:
     return x.map(plain)
 
 
+@functools.cache
+def _plain_letters() -> tuple[str, str, str]:
+    """Letters with marks, and marks; the letters' plain ones; and a class of characters that `translate` can't settle: they become several, or change places."""
+    letters, plain, marks, other = [], [], [], []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)]):
+        left = [d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn"]
+        if not left:
+            marks.append(c)
+        elif len(left) > 1 or unicodedata.combining(left[0]):
+            other.append(c)
+        elif left[0] != c:
+            letters.append(c)
+            plain.append(left[0])
+    rest = "".join(c for c in other if not "\uac00" <= c <= "\ud7a3")
+    return "".join(letters + marks), "".join(plain), f"[\uac00-\ud7a3{rest}]"
+
+
 def match_text(x: Column) -> Column:
     """Lower case without combining marks, white space collapsed: what patterns are matched with.
 
-    Only texts beyond ASCII visit Python; there is no Spark function that decomposes letters.
+    Letters are translated. Only texts with the few characters that become several without
+    their marks, or whose marks have an order, visit Python (Hangul, some Indic vowels, notes):
+    others are null there, since a function in Python is computed for every row.
     """
     lower = F.lower(strip(x))
-    return collapse(F.when(lower.rlike(r"[^\x00-\x7F]"), _without_marks(lower)).otherwise(lower))
+    letters, plain, other = _plain_letters()
+    # a class of many characters is slow, one range is not: none of them comes before it
+    special = lower.rlike(r"[\x{9CB}-\x{10FFFF}]") & lower.rlike(other)
+    return collapse(F.when(special, _without_marks(F.when(special, lower))).when(lower.rlike(r"[^\x00-\x7F]"), F.translate(lower, letters, plain)).otherwise(lower))
 
 
 def fold(x: Column) -> Column:

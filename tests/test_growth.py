@@ -1,7 +1,12 @@
 """What keeps queries in step with their input: what is computed once, and where."""
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from linkledger.functions import text as T
 from linkledger.operators import addresses
 from linkledger.plans import listing
 from linkledger.sources import files
@@ -36,3 +41,23 @@ def test_logs_are_written_a_folder_for_each_task(spark, tmp_path):
     assert got == {f"u{k}.txt": "".join(f"zeile é {n}\n" for n in range(k, 3000, 300)) for k in range(300)}
     assert files.log_tails(spark, f"{tmp_path}/logs", ending=".txt", lines=2).count() == 600
     assert files.log_tails(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_letters_lose_their_marks_without_python(spark, monkeypatch):
+    """Every character by itself and between others, as decomposition has it; Python sees special texts only."""
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    letters, bare, other = T._plain_letters()
+    special = re.compile(other)
+    by = str.maketrans(dict(zip(letters, [*bare, *[""] * (len(letters) - len(bare))])))
+    assert [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if not special.match(c) and c.translate(by) != plain(c)] == []
+    texts = ["Übung é", "ạ̇ ệ", "한국어 é", "কো", "\U0001d15e é", "᭄〮", "naïve ÅNGSTRÖM \U0002f800", "plain", "", None, "".join(c for c in letters if c.lower() == c and c.strip())]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    want = [None if t is None else " ".join(plain(t.strip().lower()).split()) for t in texts]
+    assert [r["m"] for r in df.select("k", T.match_text(F.col("t")).alias("m")).orderBy("k").collect()] == want
+
+    @F.pandas_udf("string")
+    def seen(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else "seen")
+
+    monkeypatch.setattr(T, "_without_marks", seen)
+    assert [r["m"] for r in df.where("k < 8").select("k", T.match_text(F.col("t")).alias("m")).orderBy("k").collect()] == ["ubung e", "a e", "seen", "seen", "seen", "seen", want[6], "plain"]
